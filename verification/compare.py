@@ -29,7 +29,7 @@ def connect(path: str):
 
 
 def _cell(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return None
     if hasattr(value, "item") and not isinstance(value, pd.Timestamp):
         value = value.item()
