@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +33,14 @@ def count_if(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("bigint")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind a value inside one expression, so that it is computed once however often ``use`` mentions it.
+
+    Plain column references would be inlined wherever Spark pushes a filter below the projection that made them.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ratio(numerator: Column, denominator: Column, digits: int | None = None) -> Column:
     """NULL when the denominator is NULL or zero."""
     value = F.try_divide(numerator.cast("double"), denominator.cast("double"))

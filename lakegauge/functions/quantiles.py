@@ -25,9 +25,7 @@ def value_bucket(value: Column) -> Column:
 
 
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join on keys that may be NULL. Without keys the right side is a single row."""
-    if not keys:
-        return left.crossJoin(right)
+    """Inner join on keys that may be NULL."""
     condition = F.lit(True)
     for key in keys:
         condition = condition & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
@@ -98,7 +96,9 @@ def add_percentiles(
     """Attach percentiles of ``df`` to a per-group summary; groups without any value keep NULL."""
     found = exact_percentiles(df, keys, value, probabilities)
     if not keys:
-        return summary.join(found, F.lit(True), "left")
+        row = found.select(F.struct(*probabilities)).scalar()
+        bound = summary.withColumn("_p", row)
+        return bound.select(*summary.columns, *[F.col(f"_p.{name}").alias(name) for name in probabilities])
     condition = F.lit(True)
     for key in keys:
         condition = condition & F.col(f"s.{key}").eqNullSafe(F.col(f"p.{key}"))

@@ -62,7 +62,7 @@ def compare(left: pd.DataFrame, right: pd.DataFrame) -> str | None:
     if wrong:
         return f"{len(wrong)} rows differ, first {wrong[0]}"
     kinds = {c: (left[c].dtype.kind, right[c].dtype.kind) for c in left.columns}
-    odd = {c: k for c, k in kinds.items() if k[0] != k[1] and set(k) != {'O', 'M'} and len(left)}
+    odd = {c: k for c, k in kinds.items() if k[0] != k[1] and set(k) != {'O', 'M'} and len(left) and not left[c].isna().any()}
     return None if not odd else f"types {odd}"
 
 

@@ -409,6 +409,38 @@ class Tables:
 
         return billing.cost_from_usd(scope.scope_origin(self.billing_usage, "real"))
 
+    @cached_property
+    def analysed(self) -> DataFrame:
+        """The wide ETL frame of the real query history."""
+        from lakegauge.operators import query_etl
+
+        return query_etl.analyse(scope.scope_origin(self.nested_history, "real"))
+
+    def _child(self, name: str) -> DataFrame:
+        from lakegauge.operators import query_etl
+
+        return getattr(query_etl, name)(self.analysed)
+
+    @cached_property
+    def qs(self) -> DataFrame:
+        return self._child("qi_statements")
+
+    @cached_property
+    def qt(self) -> DataFrame:
+        return self._child("qi_tables")
+
+    @cached_property
+    def qc(self) -> DataFrame:
+        return self._child("qi_columns")
+
+    @cached_property
+    def qe(self) -> DataFrame:
+        return self._child("qi_errors")
+
+    @cached_property
+    def qg(self) -> DataFrame:
+        return self._child("qi_tags")
+
     @cached_property
     def nested_history(self) -> DataFrame:
         """Query history in its source shape: structs and maps instead of flat columns."""

@@ -22,7 +22,7 @@ class Check:
 
     def run(self, spark: SparkSession, path: str) -> DataFrame:
         """The Spark side; fractional columns are shown as rounded doubles so that both engines print alike."""
-        df = self.build(Tables(prepare(spark), path))
+        df = self.build(tables(prepare(spark), path))
         shown = [
             F.round(F.col(f"`{c}`").cast("double"), self.digits).alias(c) if c in self.num else F.col(f"`{c}`")
             for c in df.columns
@@ -40,6 +40,15 @@ class Check:
 
 
 CHECKS: dict[str, Check] = {}
+_TABLES: dict[tuple[str, str], Tables] = {}
+
+
+def tables(spark: SparkSession, path: str) -> Tables:
+    """The lazy fixture frames of a session and folder; only plans are kept, never data."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        _TABLES[key] = Tables(spark, path)
+    return _TABLES[key]
 
 
 def check(key: str, sql: str | None = None, num: Sequence[str] = (), digits: int = 4):
