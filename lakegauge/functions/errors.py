@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lakegauge.functions.common import let
+
 ERROR_CODE = r"\[([A-Z][A-Z0-9_]+)\]"
 SQLSTATE = r"(?i)SQLSTATE:\s*([A-Z0-9]+)"
 ERROR_OBJECT = r"`([^`]+)`(?:\.`([^`]+)`)?(?:\.`([^`]+)`)?"
@@ -52,17 +54,16 @@ def sqlstate(message: Column) -> Column:
 
 def error_category(message: Column) -> Column:
     """Exact code first, then the first category whose code occurs anywhere in the message, else ``OTHER``."""
-    code = error_code(message)
-    upper = F.upper(message)
-    out = F.when(message.isNull() | (message == ""), F.lit(None).cast("string"))
-    for category, codes in ERROR_CATEGORIES.items():
-        out = out.when(code.isin(*codes), category)
-    for category, codes in ERROR_CATEGORIES.items():
-        found = F.lit(False)
-        for needle in codes:
-            found = found | upper.contains(needle)
-        out = out.when(found, category)
-    return out.otherwise("OTHER")
+
+    def classify(m: Column) -> Column:
+        out = F.when(m["text"].isNull() | (m["text"] == ""), F.lit(None).cast("string"))
+        for category, codes in ERROR_CATEGORIES.items():
+            out = out.when(m["code"].isin(*codes), category)
+        for category, codes in ERROR_CATEGORIES.items():
+            out = out.when(m["text"].rlike("|".join(codes)), category)
+        return out.otherwise("OTHER")
+
+    return let(F.struct(error_code(message).alias("code"), F.upper(message).alias("text")), classify)
 
 
 def error_object(message: Column) -> Column:
@@ -75,14 +76,13 @@ def error_user(message: Column) -> Column:
 
 
 def driver_family(driver: Column) -> Column:
-    name = F.lower(F.replace(F.substring_index(driver, ",", 1), F.lit(" "), F.lit("")))
-    out = F.when(driver.isNull() | (name == ""), F.lit(None).cast("string"))
-    for family, needles in DRIVER_FAMILIES:
-        found = F.lit(False)
-        for needle in needles:
-            found = found | name.contains(needle)
-        out = out.when(found, family)
-    return out.otherwise("Other")
+    def classify(name: Column) -> Column:
+        out = F.when(name.isNull() | (name == ""), F.lit(None).cast("string"))
+        for family, needles in DRIVER_FAMILIES:
+            out = out.when(name.rlike("|".join(needles)), family)
+        return out.otherwise("Other")
+
+    return let(F.lower(F.replace(F.substring_index(driver, ",", 1), F.lit(" "), F.lit(""))), classify)
 
 
 def driver_version(driver: Column) -> Column:

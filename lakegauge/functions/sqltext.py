@@ -9,6 +9,8 @@ they textually stand in), joins without a condition inside statements that also
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,9 +105,7 @@ def first_keyword(text: Column) -> Column:
 
 def looks_like_sql(text: Column) -> Column:
     head = F.substring(F.btrim(text, F.lit(WHITE)), 1, 200)
-    tells = F.lit(False)
-    for tell in PYTHON_TELLS:
-        tells = tells | head.contains(tell)
+    tells = head.rlike("|".join(re.escape(tell) for tell in PYTHON_TELLS))
     return F.coalesce(~tells & first_keyword(text).isin(*SQL_KEYWORDS), F.lit(False))
 
 

@@ -143,9 +143,14 @@ def source_category() -> Column:
     return out.otherwise("AD_HOC")
 
 
+def _four_places(value: Column) -> Column:
+    """Rounding in binary arithmetic only, so that every engine gives the same double on ties."""
+    return F.floor(value * 10000 + 0.5) / F.lit(10000.0)
+
+
 def _share(part: Column, whole: Column) -> Column:
     """Quotient to four places, NULL unless the whole is positive."""
-    return F.when(whole > 0, F.round(part.cast("double") / whole.cast("double"), 4))
+    return F.when(whole > 0, _four_places(part.cast("double") / whole.cast("double")))
 
 
 def metric_columns() -> dict[str, Column]:
@@ -154,7 +159,8 @@ def metric_columns() -> dict[str, Column]:
     waiting = F.coalesce("waiting_for_compute_duration_ms", zero) + F.coalesce("waiting_at_capacity_duration_ms", zero)
     files = F.col("read_files") + F.col("pruned_files")
     selectivity = F.when(
-        F.col("read_rows") != 0, F.round(F.col("produced_rows").cast("double") / F.col("read_rows").cast("double"), 4)
+        F.col("read_rows") != 0,
+        _four_places(F.col("produced_rows").cast("double") / F.col("read_rows").cast("double")),
     )
     scan = (F.col("read_bytes") > F.lit(FULL_SCAN_BYTES)) & (F.col("produced_rows") < FULL_SCAN_ROWS)
     return {

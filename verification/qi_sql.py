@@ -47,7 +47,7 @@ def _family() -> str:
 
 
 def _share(part: str, whole: str) -> str:
-    return f"CASE WHEN {whole} > 0 THEN round(CAST({part} AS DOUBLE) / CAST({whole} AS DOUBLE), 4) END"
+    return f"CASE WHEN {whole} > 0 THEN floor(CAST({part} AS DOUBLE) / CAST({whole} AS DOUBLE) * 10000 + 0.5) / 10000.0 END"
 
 
 _TOTAL = "coalesce(total_duration_ms, 0)"
@@ -87,7 +87,7 @@ QI_STATEMENTS = f"""SELECT statement_id, workspace_id, executed_by, executed_by_
  is_sql, {', '.join(f'(is_sql AND ({v})) AS {k}' for k, v in FLAGS.items())},
  CASE WHEN is_sql THEN sha1(lower(regexp_replace(clean, {q(r'\b\d+(?:\.\d+)?\b')}, '?', 'g'))) END AS normalized_sql_hash,
  {_share('pruned_files', '(read_files + pruned_files)')} AS pruning_ratio,
- CASE WHEN read_rows <> 0 THEN round(CAST(produced_rows AS DOUBLE) / CAST(read_rows AS DOUBLE), 4) END AS selectivity_ratio,
+ CASE WHEN read_rows <> 0 THEN floor(CAST(produced_rows AS DOUBLE) / CAST(read_rows AS DOUBLE) * 10000 + 0.5) / 10000.0 END AS selectivity_ratio,
  {_share(_WAIT, _TOTAL)} AS waiting_pct, {_share('coalesce(compilation_duration_ms, 0)', _TOTAL)} AS compile_pct,
  coalesce(read_bytes > {Q.FULL_SCAN_BYTES} AND produced_rows < {Q.FULL_SCAN_ROWS}, FALSE) AS is_full_scan, from_result_cache AS is_cache_hit,
  CAST(start_time AS DATE) AS start_date, CAST(hour(start_time) AS INT) AS start_hour, CAST(isodow(start_time) - 1 AS INT) AS start_day_of_week,
