@@ -69,10 +69,10 @@ def anomaly_bands(daily: DataFrame, window: int = 30, width: float = 2.0) -> Dat
 
 
 def rolling_z(daily: DataFrame, window: int = 30, threshold: float = 2.0) -> DataFrame:
-    """The sample-deviation variant: upward outliers only and no minimum row count."""
+    """The sample-deviation variant, without a minimum row count."""
     based = rolling_baseline(daily, window, sample=True)
     z = F.try_divide(F.col("_value") - F.col("_mean"), F.col("_std"))
-    return based.withColumn("z", z).filter(F.col("z") > threshold).select("usage_date", "total_cost", "z")
+    return based.withColumn("z", z).filter(F.abs("z") > threshold).select("usage_date", "total_cost", "z")
 
 
 def cost_forecast(daily: DataFrame, as_of: date, history_days: int = 90, horizon: int = 30) -> DataFrame:

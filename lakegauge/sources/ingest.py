@@ -134,10 +134,18 @@ def profile_columns(df: DataFrame, table: str, samples: int = 5) -> DataFrame:
 # How the tables relate (table, column, related table, related column).
 RELATIONSHIPS = (
     ("billing_usage", "sku_name", "list_prices", "sku_name"),
+    ("billing_usage", "cloud", "list_prices", "cloud"),
+    ("billing_usage", "usage_unit", "list_prices", "usage_unit"),
     ("billing_usage", "cluster_id", "clusters", "cluster_id"),
     ("billing_usage", "warehouse_id", "warehouses", "warehouse_id"),
     ("billing_usage", "job_id", "jobs", "job_id"),
-    ("billing_usage", "workspace_id", "workspaces", "workspace_id"),
+    ("billing_usage", "workspace_id", "clusters", "workspace_id"),
+    ("billing_usage", "workspace_id", "warehouses", "workspace_id"),
+    ("billing_usage", "workspace_id", "jobs", "workspace_id"),
+    ("billing_usage", "account_id", "list_prices", "account_id"),
+    ("billing_usage", "account_id", "clusters", "account_id"),
+    ("billing_usage", "account_id", "warehouses", "account_id"),
+    ("billing_usage", "account_id", "jobs", "account_id"),
 )
 
 
@@ -147,6 +155,8 @@ def relationship_coverage(tables: Mapping[str, DataFrame]) -> DataFrame:
     for table, column, other, other_column in RELATIONSHIPS:
         if table not in tables or other not in tables:
             continue
+        if column not in tables[table].columns or other_column not in tables[other].columns:
+            continue
         left = tables[table].filter(F.col(column).isNotNull()).select(F.col(column).alias("k")).distinct()
         right = tables[other].select(F.col(other_column).alias("k"), F.lit(1).alias("_hit")).distinct()
         one = left.join(right, "k", "left").agg(F.count(F.lit(1)).alias("keys"), F.count("_hit").alias("matched"))

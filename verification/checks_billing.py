@@ -201,7 +201,7 @@ def _(t):
     return analytics.anomaly_bands(analytics.daily_costs(t.bu))
 
 
-@check("rolling_z", f"SELECT usage_date, v AS total_cost, (v - m) / nullif(ss, 0) AS z FROM {ROLL} WHERE (v - m) / nullif(ss, 0) > 2", num=("total_cost", "z"))
+@check("rolling_z", f"SELECT usage_date, v AS total_cost, (v - m) / nullif(ss, 0) AS z FROM {ROLL} WHERE abs((v - m) / nullif(ss, 0)) > 2", num=("total_cost", "z"))
 def _(t):
     return analytics.rolling_z(analytics.daily_costs(t.bu))
 

@@ -293,6 +293,17 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "deleted_at": "CAST(NULL AS TIMESTAMP_NTZ)",
         },
     ),
+    # Billing intervals inside the period the events cover, so that statements and spend overlap.
+    "compute_spend": (
+        "lineitem",
+        {
+            "record_id": "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING))",
+            "compute_id": "concat('w-', CAST(l_suppkey % 20 AS STRING))",
+            "usage_start_time": "TIMESTAMP_NTZ '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(l_orderkey % 720 AS BIGINT) + INTERVAL '1' MINUTE * CAST(l_linenumber * 7 AS BIGINT)",
+            "usage_end_time": "TIMESTAMP_NTZ '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(l_orderkey % 720 AS BIGINT) + INTERVAL '1' MINUTE * CAST(l_linenumber * 7 + 90 AS BIGINT)",
+            "cost": "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(20,6))",
+        },
+    ),
     # Reference tables without a counterpart in the driver's data: derived from the event tables.
     "node_types": (
         "(SELECT DISTINCT user_id % 2 AS m FROM events) e",
@@ -416,6 +427,14 @@ class Tables:
 
         return query_etl.analyse(scope.scope_origin(self.nested_history, "real"))
 
+    @cached_property
+    def allocated(self) -> DataFrame:
+        """Compute spend shared out to statements."""
+        from lakegauge.operators import spend
+
+        ran = self.qs.select("statement_id", F.col("warehouse_id").alias("compute_id"), "start_time", "end_time")
+        return spend.query_cost_allocation(self.compute_spend, ran)
+
     def _child(self, name: str) -> DataFrame:
         from lakegauge.operators import query_etl
 
