@@ -58,7 +58,7 @@ def error_category(message: Column) -> Column:
     def classify(m: Column) -> Column:
         out = F.when(m["text"].isNull() | (m["text"] == ""), F.lit(None).cast("string"))
         for category, codes in ERROR_CATEGORIES.items():
-            out = out.when(m["code"].isin(*codes), category)
+            out = out.when(F.find_in_set(m["code"], F.lit(",".join(codes))) > 0, category)
         for category, codes in ERROR_CATEGORIES.items():
             out = out.when(m["text"].rlike("|".join(codes)), category)
         return out.otherwise("OTHER")

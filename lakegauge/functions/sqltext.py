@@ -98,6 +98,11 @@ TABLE_TYPE = (
 COLUMN_TYPE = "array<struct<column_name:string,table_hint:string,role:string>>"
 
 
+def one_of(value: Column, words: tuple[str, ...]) -> Column:
+    """Membership in a fixed word list, as one expression instead of one literal per word."""
+    return F.find_in_set(value, F.lit(",".join(words))) > 0
+
+
 def first_keyword(text: Column) -> Column:
     """First token of the first line that is not a comment, in capitals and without semicolons."""
     return F.btrim(F.upper(F.regexp_extract(text, FIRST_TOKEN, 1)), F.lit(";"))
@@ -106,7 +111,7 @@ def first_keyword(text: Column) -> Column:
 def looks_like_sql(text: Column) -> Column:
     head = F.substring(F.btrim(text, F.lit(WHITE)), 1, 200)
     tells = head.rlike("|".join(re.escape(tell) for tell in PYTHON_TELLS))
-    return F.coalesce(~tells & first_keyword(text).isin(*SQL_KEYWORDS), F.lit(False))
+    return F.coalesce(~tells & one_of(first_keyword(text), SQL_KEYWORDS), F.lit(False))
 
 
 def reduced(text: Column) -> Column:
@@ -157,7 +162,7 @@ def _nth_last(parts: Column, n: int) -> Column:
 
 
 def _in(value: Column, words: tuple[str, ...]) -> Column:
-    return F.upper(value).isin(*words)
+    return one_of(F.upper(value), words)
 
 
 def _describe_table(name: Column, first: Column, keyword: Column, ctes: Column) -> Column:
@@ -165,7 +170,7 @@ def _describe_table(name: Column, first: Column, keyword: Column, ctes: Column)
         table = F.element_at(parts, -1)
 
         def role(temp: Column) -> Column:
-            target = (first & keyword.isin(*WRITES)) | ((keyword == "WITH") & name["kw"].isin("INTO", "OVERWRITE"))
+            target = (first & one_of(keyword, WRITES)) | ((keyword == "WITH") & name["kw"].isin("INTO", "OVERWRITE"))
             return F.struct(
                 F.when(~temp, _nth_last(parts, 3)).alias("catalog"),
                 F.when(~temp, _nth_last(parts, 2)).alias("schema"),
@@ -212,7 +217,7 @@ def sql_tables(clean: Column, keyword: Column) -> Column:
     )
     names = F.filter(names, lambda n: ~_in(n["name"], NOT_TABLES) & (n["name"] != ""))
     found = let(ctes, lambda c: F.transform(names, lambda n, i: _describe_table(n, i == 0, keyword, c)))
-    return F.when(keyword.isin(*COMMANDS), F.array().cast(TABLE_TYPE)).otherwise(F.array_distinct(found).cast(TABLE_TYPE))
+    return F.when(one_of(keyword, COMMANDS), F.array().cast(TABLE_TYPE)).otherwise(F.array_distinct(found).cast(TABLE_TYPE))
 
 
 def freetext_tables(text: Column) -> Column:
@@ -274,4 +279,4 @@ def sql_columns(clean: Column, keyword: Column) -> Column:
         _segments(every(AGGREGATE), "aggregate"),
     )
     columns = F.array_distinct(F.flatten(F.transform(segments, _refs))).cast(COLUMN_TYPE)
-    return F.when(keyword.isin(*COMMANDS, "GRANT", "REVOKE"), F.array().cast(COLUMN_TYPE)).otherwise(columns)
+    return F.when(one_of(keyword, (*COMMANDS, "GRANT", "REVOKE")), F.array().cast(COLUMN_TYPE)).otherwise(columns)

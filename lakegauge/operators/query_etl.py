@@ -226,7 +226,7 @@ def project_keywords(tables: Column, tags: Column, params: Column, cap: int = 30
         F.concat(tokens, F.transform(params, lambda p: F.lower(p["param_name"]))), lambda t: F.length(t) > 2
     )
     values = _non_empty(F.transform(tags, lambda t: F.lower(t["tag_value"])))
-    stop = F.array(*[F.lit(w) for w in KEYWORD_STOPLIST])
+    stop = F.split(F.lit(",".join(KEYWORD_STOPLIST)), ",")
     return F.slice(F.array_sort(F.array_except(F.concat(long_tokens, values), stop)), 1, cap)
 
 

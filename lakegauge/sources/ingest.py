@@ -11,7 +11,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lakegauge.functions.common import conform
@@ -237,7 +236,7 @@ def ingest_all(
     return table_counts(loaded)
 
 
-CURSOR_SCHEMA = T.StructType.fromDDL(
+CURSOR_SCHEMA = (
     "table_name string, data_origin string, max_update_time timestamp_ntz, max_record_id string, rows_ingested bigint"
 )
 
