@@ -1,7 +1,7 @@
 """Previous row, nearest marked row and running sums per key, without ordering a whole key in one task.
 
 A key is cut into time buckets. Bucket summaries (few per key) are ordered first and give every bucket what came before
-or after it; rows are then only ordered inside their bucket. A key with a third of all rows is spread over its buckets.
+or after it; rows are then only ordered inside their bucket. A key with a third of all rows is spread over its buckets. Times must not be NULL.
 """
 
 from __future__ import annotations
@@ -12,31 +12,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_BUCKET = "_bucket"
-
+from lakegauge.functions.quantiles import packed_key
 
-def _bucketed(df: DataFrame, time: str, grain: str) -> DataFrame:
-    return df.withColumn(_BUCKET, F.date_trunc(grain, F.col(time)))
+_BUCKET = "_bucket"
 
 
-def _attach(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    condition = F.col(f"d.{_BUCKET}").eqNullSafe(F.col(f"c.{_BUCKET}"))
-    for key in keys:
-        condition = condition & F.col(f"d.{key}").eqNullSafe(F.col(f"c.{key}"))
-    joined = df.alias("d").join(carry.alias("c"), condition, "left")
-    return joined.select("d.*", "c._carry")
+def _bucketed(df: DataFrame, keys: Sequence[str], time: str, grain: str) -> DataFrame:
+    return df.withColumn("_k", packed_key(keys)).withColumn(_BUCKET, F.date_trunc(grain, F.col(time)))
 
 
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], grain: str = "hour"
 ) -> DataFrame:
     """Add ``prev_<column>`` from the previous row of the key. ``order`` starts with a timestamp and must be total."""
-    rows = _bucketed(df, order[0], grain)
+    rows = _bucketed(df, keys, order[0], grain)
     packed = F.struct(*order, *[F.col(c).alias(f"_v_{c}") for c in columns])
-    last = rows.groupBy(*keys, _BUCKET).agg(F.max(packed).alias("_last"))
-    carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(_BUCKET))).drop("_last")
-    inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    found = _attach(rows, carry, keys).withColumn("_prev", F.coalesce(F.lag(packed).over(inside), F.col("_carry")))
+    last = rows.groupBy("_k", _BUCKET).agg(F.max(packed).alias("_last"))
+    carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy("_k").orderBy(_BUCKET))).drop("_last")
+    inside = Window.partitionBy("_k", _BUCKET).orderBy(*order)
+    found = rows.join(carry, ["_k", _BUCKET]).withColumn("_prev", F.coalesce(F.lag(packed).over(inside), F.col("_carry")))
     return found.select(*df.columns, *[F.col(f"_prev._v_{c}").alias(f"prev_{c}") for c in columns])
 
 
@@ -44,19 +38,19 @@ def with_nearest(
     df: DataFrame, keys: Sequence[str], time: str, mark: str, into: str, after: bool = False, grain: str = "hour"
 ) -> DataFrame:
     """Add the time of the nearest row for which ``mark`` holds, at or before each row (``after``: at or after it)."""
-    rows = _bucketed(df, time, grain).withColumn("_mark", F.when(F.col(mark), F.col(time)))
+    rows = _bucketed(df, keys, time, grain).withColumn("_mark", F.when(F.col(mark), F.col(time)))
     pick = F.min if after else F.max
-    per = rows.groupBy(*keys, _BUCKET).agg(pick("_mark").alias("_m"))
-    group = Window.partitionBy(*keys).orderBy(_BUCKET)
+    per = rows.groupBy("_k", _BUCKET).agg(pick("_mark").alias("_m"))
+    group = Window.partitionBy("_k").orderBy(_BUCKET)
     beyond = group.rowsBetween(1, Window.unboundedFollowing) if after else group.rowsBetween(Window.unboundedPreceding, -1)
     carry = per.withColumn("_carry", pick("_m").over(beyond)).drop("_m")
-    inside = Window.partitionBy(*keys, _BUCKET).orderBy(time)
+    inside = Window.partitionBy("_k", _BUCKET).orderBy(time)
     frame = (
         inside.rangeBetween(Window.currentRow, Window.unboundedFollowing)
         if after
         else inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    found = _attach(rows, carry, keys)
+    found = rows.join(carry, ["_k", _BUCKET])
     return found.withColumn(into, F.coalesce(pick("_mark").over(frame), F.col("_carry"))).select(*df.columns, into)
 
 
@@ -64,10 +58,10 @@ def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, into: str, grain: str = "hour"
 ) -> DataFrame:
     """Running sum of ``value`` per key in ``order``, which starts with a timestamp and must be total."""
-    rows = _bucketed(df, order[0], grain)
-    per = rows.groupBy(*keys, _BUCKET).agg(F.sum(value).alias("_s"))
-    group = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    rows = _bucketed(df, keys, order[0], grain)
+    per = rows.groupBy("_k", _BUCKET).agg(F.sum(value).alias("_s"))
+    group = Window.partitionBy("_k").orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry = per.withColumn("_carry", F.coalesce(F.sum("_s").over(group), F.lit(0))).drop("_s")
-    inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = _attach(rows, carry, keys)
+    inside = Window.partitionBy("_k", _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.join(carry, ["_k", _BUCKET])
     return found.withColumn(into, F.col("_carry") + F.sum(value).over(inside)).select(*df.columns, into)

@@ -24,13 +24,10 @@ def value_bucket(value: Column) -> Column:
     return F.when(value < 0, -magnitude).otherwise(magnitude)
 
 
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys that may be NULL."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-    joined = left.alias("l").join(right.alias("r"), condition, "inner")
-    return joined.select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in keys])
+def packed_key(keys: Sequence[str]) -> Column:
+    """The keys as one struct. Structs with NULL fields compare equal, so one plain equi join and one partitioning
+    serve every step, NULL groups included."""
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
 
 
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column]) -> DataFrame:
@@ -42,15 +39,16 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping
     keys = list(keys)
     counts = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
+        .groupBy(packed_key(keys).alias("_k"), F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_b", value_bucket(F.col("_v")))
     )
-    per_bucket = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    group = Window.partitionBy("_k")
     running = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     located = (
-        per_bucket.withColumn("n", F.sum("_bc").over(group))
+        counts.groupBy("_k", "_b")
+        .agg(F.sum("_c").alias("_bc"))
+        .withColumn("n", F.sum("_bc").over(group))
         .withColumn("_before", F.sum("_bc").over(running) - F.col("_bc"))
     )
     for name, rank in ranks.items():
@@ -59,9 +57,8 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping
     for name in ranks:
         r = F.col(f"_r_{name}")
         wanted = wanted | ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_bc")))
-    located = located.filter(wanted).drop("_bc")
-    inside = _join(counts, located, [*keys, "_b"])
-    order = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = counts.join(located.filter(wanted).drop("_bc"), ["_k", "_b"])
+    order = Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("_hi", F.col("_before") + F.sum("_c").over(order)).withColumn(
         "_lo", F.col("_hi") - F.col("_c")
     )
@@ -69,13 +66,17 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping
         F.max(F.when((F.col(f"_r_{n}") >= F.col("_lo")) & (F.col(f"_r_{n}") < F.col("_hi")), F.col("_v"))).alias(n)
         for n in ranks
     ]
-    return inside.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+    found = inside.groupBy("_k").agg(F.max("n").alias("n"), *picks)
+    return found.select(*[F.col(f"_k.{k}").alias(k) for k in keys], "n", *ranks)
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float], count_as: str | None = None
 ) -> DataFrame:
-    """Continuous percentiles (linear interpolation, NULLs ignored) per group: ``keys`` plus one column per name."""
+    """Continuous percentiles (linear interpolation, NULLs ignored) per group: ``keys`` plus one column per name.
+
+    ``count_as`` adds the number of values under that name.
+    """
     ranks: dict[str, Column] = {}
     for name, p in probabilities.items():
         position = (F.col("n") - 1) * F.lit(p)
@@ -87,7 +88,8 @@ def exact_percentiles(
         position = (F.col("n") - 1) * F.lit(p)
         low, high = F.col(f"{name}__lo").cast("double"), F.col(f"{name}__hi").cast("double")
         out.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    return found.select(*keys, *out)
+    counted = [F.col("n").alias(count_as)] if count_as else []
+    return found.select(*keys, *counted, *out)
 
 
 def add_percentiles(
@@ -99,11 +101,8 @@ def add_percentiles(
         row = found.select(F.struct(*probabilities)).scalar()
         bound = summary.withColumn("_p", row)
         return bound.select(*summary.columns, *[F.col(f"_p.{name}").alias(name) for name in probabilities])
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(f"s.{key}").eqNullSafe(F.col(f"p.{key}"))
-    joined = summary.alias("s").join(found.alias("p"), condition, "left")
-    return joined.select("s.*", *[F.col(f"p.{name}") for name in probabilities])
+    left, right = summary.withColumn("_k", packed_key(keys)), found.withColumn("_k", packed_key(keys)).drop(*keys)
+    return left.join(right, "_k", "left").drop("_k")
 
 
 def running_total(df: DataFrame, value: str, order: Sequence[Column], into: str) -> DataFrame:

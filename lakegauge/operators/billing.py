@@ -19,8 +19,8 @@ from lakegauge.functions.common import MONEY, date_range, latest_by_key, ratio,
 #: Product of two six-digit decimals; wide enough to stay exact.
 _FACTOR = T.DecimalType(18, 6)
 
-#: date_format patterns of the supported periods.
-_PERIOD_FORMAT = {"day": "yyyy-MM-dd", "week": "yyyy-MM-dd", "month": "yyyy-MM"}
+#: Supported periods with the pattern of their label; a week is named by its Monday.
+_PERIODS = {"day": "yyyy-MM-dd", "week": "yyyy-MM-dd", "month": "yyyy-MM"}
 
 
 def cost_from_usd(usage: DataFrame) -> DataFrame:
@@ -80,11 +80,14 @@ def usage_and_cost() -> list[Column]:
     return [total("usage_quantity").alias("total_usage"), total("cost").alias("total_cost")]
 
 
-def period(grain: str) -> Column:
-    """Period label of a usage date; a week is named by its Monday."""
-    if grain not in _PERIOD_FORMAT:
-        raise ValueError(f"grain must be one of {sorted(_PERIOD_FORMAT)}")
-    return F.date_format(F.trunc("usage_date", "week") if grain == "week" else F.col("usage_date"), _PERIOD_FORMAT[grain])
+def _by_period(df: DataFrame, grain: str, *keys: str) -> DataFrame:
+    """Usage and cost per period. Rows are grouped by the first date of their period; labels are made afterwards."""
+    if grain not in _PERIODS:
+        raise ValueError(f"grain must be one of {sorted(_PERIODS)}")
+    first = F.col("usage_date") if grain == "day" else F.trunc("usage_date", grain)
+    sums = df.groupBy(first.alias("_first"), *keys).agg(*usage_and_cost())
+    label = F.date_format("_first", _PERIODS[grain]).alias("period")
+    return sums.select(label, *keys, "total_usage", "total_cost").orderBy("period", *keys)
 
 
 def by_cost(*ties: str) -> list[Column]:
@@ -93,7 +96,7 @@ def by_cost(*ties: str) -> list[Column]:
 
 def usage_summary(priced: DataFrame, grain: str = "day", start: date | None = None, end: date | None = None) -> DataFrame:
     df = date_range(priced, "usage_date", start, end)
-    return df.groupBy(period(grain).alias("period")).agg(*usage_and_cost()).orderBy("period")
+    return _by_period(df, grain)
 
 
 def top_labels(priced: DataFrame, column: str, limit: int) -> DataFrame:
@@ -108,10 +111,7 @@ def usage_summary_by_sku(
     """Period totals of the costliest SKUs, long form."""
     df = date_range(priced, "usage_date", start, end)
     winners = F.broadcast(top_labels(df, "sku_name", top_skus).select("sku_name"))
-    kept = df.join(winners, "sku_name", "left_semi")
-    return (
-        kept.groupBy(period(grain).alias("period"), "sku_name").agg(*usage_and_cost()).orderBy("period", "sku_name")
-    )
+    return _by_period(df.join(winners, "sku_name", "left_semi"), grain, "sku_name")
 
 
 def breakdown(priced: DataFrame, column: str, start: date | None = None, end: date | None = None) -> DataFrame:

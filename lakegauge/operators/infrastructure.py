@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakegauge.functions.common import count_if, ratio, top
 from lakegauge.functions.ordered import running_sum, with_nearest, with_previous
-from lakegauge.functions.quantiles import add_percentiles
+from lakegauge.functions.quantiles import exact_percentiles
 
 
 def _n() -> Column:
@@ -49,8 +49,7 @@ def autoscale_gap(events: DataFrame) -> DataFrame:
     gaps = paired.filter(F.col("prev_event_time").isNotNull()).withColumn(
         "gap", _seconds(F.col("event_time"), F.col("prev_event_time"))
     )
-    summary = gaps.groupBy("cluster_id").agg(_n().alias("gaps"))
-    return add_percentiles(summary, gaps, ["cluster_id"], "gap", {"median_gap_seconds": 0.5})
+    return exact_percentiles(gaps, ["cluster_id"], "gap", {"median_gap_seconds": 0.5}, count_as="gaps")
 
 
 def memory_pressure(timeline: DataFrame, threshold: float = 90, min_share: float = 0.0) -> DataFrame:

@@ -39,7 +39,7 @@ def iteration_gap(s: DataFrame) -> DataFrame:
     gaps = paired.filter(F.col("prev_start_time").isNotNull()).withColumn(
         "gap_ms", _millis(F.col("start_time"), F.col("prev_start_time"))
     )
-    return add_percentiles(gaps.agg(_n().alias("gaps")), gaps, [], "gap_ms", {"median_gap_ms": 0.5})
+    return exact_percentiles(gaps, [], "gap_ms", {"median_gap_ms": 0.5}, count_as="gaps")
 
 
 def session_length(s: DataFrame) -> DataFrame:
