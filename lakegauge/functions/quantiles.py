@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Buckets per doubling of the value. 64 doublings x 32 bounds the buckets of one group at about 2,000 per sign.
-_PER_DOUBLING = 32
+#: Buckets per doubling of the value. 64 doublings bound the buckets of one group at 32,768 per sign, and one bucket
+#: spans 0.14 % of its value, so only that sliver of a group is ever ordered in one task.
+_PER_DOUBLING = 512
 
 
 def value_bucket(value: Column) -> Column:

@@ -79,33 +79,39 @@ def stream_sessions(statements: DataFrame, gap: str = "30 minutes", delay: str =
 GAP_SCHEMA = "warehouse_id string, started_at timestamp, running_at timestamp, seconds double"
 
 
-class StartGap(StatefulProcessor):
-    """Remembers the open start of a warehouse between batches and emits the gap when it runs."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._open = handle.getValueState("open", "started_at timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["event_time", "event_type"])
-        started = self._open.get()[0] if self._open.exists() else None
-        found = []
-        for event in events.itertuples(index=False):
-            if event.event_type == "STARTING":
-                started = event.event_time
-            elif started is not None:
-                seconds = (event.event_time - pd.Timestamp(started)).total_seconds()
-                found.append((key[0], started, event.event_time, seconds))
-                started = None
-        if started is None:
-            if self._open.exists():
-                self._open.clear()
-        else:
-            self._open.update((pd.Timestamp(started).to_pydatetime(),))
-        if found:
-            yield pd.DataFrame(found, columns=["warehouse_id", "started_at", "running_at", "seconds"])
-
-    def close(self) -> None:
-        pass
+def start_gap_processor() -> StatefulProcessor:
+    """The state machine of ``stream_wh_gap``. The class is local so that it travels to the workers by value."""
+
+    class StartGap(StatefulProcessor):
+        """Remembers the open start of a warehouse between batches and emits the gap when it runs."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self._open = handle.getValueState("open", "started_at timestamp")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            events = pd.concat(list(rows)).sort_values(["event_time", "event_type"])
+            started = self._open.get()[0] if self._open.exists() else None
+            found = []
+            for event in events.itertuples(index=False):
+                # A start older than the remembered one, or a run older than it, arrived late and changes nothing.
+                if event.event_type == "STARTING":
+                    started = event.event_time if started is None else max(event.event_time, pd.Timestamp(started))
+                elif started is not None and event.event_time >= pd.Timestamp(started):
+                    seconds = (event.event_time - pd.Timestamp(started)).total_seconds()
+                    found.append((key[0], started, event.event_time, seconds))
+                    started = None
+            if started is None:
+                if self._open.exists():
+                    self._open.clear()
+            else:
+                self._open.update((pd.Timestamp(started).to_pydatetime(),))
+            if found:
+                yield pd.DataFrame(found, columns=["warehouse_id", "started_at", "running_at", "seconds"])
+
+        def close(self) -> None:
+            pass
+
+    return StartGap()
 
 
 def stream_wh_gap(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -119,7 +125,7 @@ def stream_wh_gap(events: DataFrame, delay: str = "1 hour") -> DataFrame:
         .withWatermark("event_time", delay)
     )
     return kept.groupBy("warehouse_id").transformWithStateInPandas(
-        statefulProcessor=StartGap(), outputStructType=GAP_SCHEMA, outputMode="Append", timeMode="None"
+        statefulProcessor=start_gap_processor(), outputStructType=GAP_SCHEMA, outputMode="Append", timeMode="None"
     )
 
 

@@ -15,6 +15,7 @@ def spark(tmp_path_factory):
     warehouse = str(tmp_path_factory.mktemp("warehouse"))
     session = local_session(
         4, "tests", **{"spark.sql.shuffle.partitions": "4", "spark.sql.warehouse.dir": warehouse,
+                       "spark.sql.maxMetadataStringLength": "100000", "spark.sql.debug.maxToStringFields": "1000",
                        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))}
     )
     session.sparkContext.setLogLevel("ERROR")

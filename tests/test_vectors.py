@@ -238,7 +238,7 @@ def test_off_hours(spark, hour, minute, off):
     assert (row.is_off_hours, row.start_day_of_week, row.is_weekend) == (off, 0, False)
 
 
-@pytest.mark.parametrize("durations, expected", [([7], [7]), (list(range(1, 101)), [99, 100]), ([0, 0, None], []), ([5, None, 0], [5])])
+@pytest.mark.parametrize("durations, expected", [([7], [7]), (list(range(1, 101)), [99, 100]), ([0, 0, None], []), ([5, None, 0], []), ([5] * 99 + [9], [5] * 99 + [9])])
 def test_expensive(spark, durations, expected):
     df = spark.createDataFrame([(str(i), d) for i, d in enumerate(durations)], "statement_id string, total_duration_ms bigint")
     found = query_etl.qi_expensive(df).filter("is_expensive").collect()

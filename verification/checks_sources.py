@@ -354,7 +354,10 @@ def _(t):
 @check("scoped_views", "SELECT b.workspace_id, count(*) AS n, count(DISTINCT c.cluster_id) AS clusters FROM bu b JOIN clusters c ON b.cluster_id = c.cluster_id WHERE b.workspace_id IN ('ws-1', 'ws-5') AND c.workspace_id IN ('ws-1', 'ws-5') GROUP BY 1")
 def _(t):
     scope.scoped_views(t.spark, {"billing_usage": t.billing_usage, "clusters": t.clusters}, "real", {"workspace_ids": ["ws-1", "ws-5"]})
-    return t.spark.sql("SELECT b.workspace_id, count(*) AS n, count(DISTINCT c.cluster_id) AS clusters FROM billing_usage b JOIN clusters c ON b.cluster_id = c.cluster_id GROUP BY 1")
+    answer = t.spark.sql("SELECT b.workspace_id, count(*) AS n, count(DISTINCT c.cluster_id) AS clusters FROM billing_usage b JOIN clusters c ON b.cluster_id = c.cluster_id GROUP BY 1")
+    for name in ("billing_usage", "clusters"):
+        t.spark.catalog.dropTempView(name)
+    return answer
 
 
 check("policy_dimension_values", """SELECT DISTINCT 'workspace_ids' AS dimension, workspace_id AS value FROM billing_usage UNION ALL SELECT DISTINCT 'clouds', cloud FROM billing_usage
