@@ -13,14 +13,11 @@ from verification.registry import load_all
 
 CHECKS = load_all()
 SPREAD = """
-usage_summary usage_summary_by_sku cost_expr by_workspace user_cluster_breakdown sku_user_matrix share_of_total cost_anomalies
-cost_forecast mom_growth kpi_summary sku_leaderboard origin_leaderboard sku_identity concentration_by_origin cost_trend_stacked
-drill_owners cluster_inventory warehouse_detail qi_flatten qi_sql_flags qi_tables qi_columns qi_freetext_tables qi_errors
-qi_project_keywords qi_expensive qi_overview top_tables adoption_trend slowest_dashboards project_search_summary bulk_export
-lineage_stats neighbour_entities lineage_rollups lineage_closure cycles catalog_search audit_search node_stats usage_extract
-append_dedup upsert_keep_existing incremental_load origin_state_counts profile_columns effective_policy sql_text_safety
-cumulative_share query_cost_allocation pii_spend freshness_lag iteration_gap pool_idle preempt_restart_match schema_drift
-stream_incremental stream_cost_hourly
+usage_summary_by_sku cost_expr user_cluster_breakdown share_of_total cost_anomalies cost_forecast sku_leaderboard sku_identity
+cost_trend_stacked drill_owners cluster_inventory warehouse_detail qi_flatten qi_sql_flags qi_tables qi_columns qi_project_keywords
+qi_overview top_tables adoption_trend slowest_dashboards lineage_stats neighbour_entities lineage_rollups lineage_closure
+catalog_search audit_search node_stats usage_extract upsert_keep_existing origin_state_counts profile_columns effective_policy
+sql_text_safety query_cost_allocation freshness_lag pool_idle schema_drift stream_cost_hourly
 """.split()
 KEYS = list(CHECKS) if os.environ.get("LAKEGAUGE_ALL") else SPREAD
 
