@@ -65,3 +65,24 @@ def running_sum(
     inside = Window.partitionBy("_k", _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = rows.join(carry, ["_k", _BUCKET])
     return found.withColumn(into, F.col("_carry") + F.sum(value).over(inside)).select(*df.columns, into)
+
+
+def with_history(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, grain: str = "day") -> DataFrame:
+    """Prepare a window over the ``size`` previous rows of a key that may run bucket by bucket.
+
+    Adds ``_k`` and ``_bucket`` to partition by, and copies of the last ``size`` earlier rows to every bucket, marked by
+    ``_copy``. Order the window by ``order``, and drop the copies afterwards.
+    """
+    rows = _bucketed(df, keys, order[0], grain)
+    newest = Window.partitionBy("_k", _BUCKET).orderBy(*[F.col(c).desc() for c in order])
+    last = rows.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= size)
+    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*df.columns).alias("_row"))
+    tails = last.groupBy("_k", _BUCKET).agg(F.sort_array(F.collect_list(packed)).alias("_tail"))
+    # Every bucket holds at least one row, so the rows wanted lie in the ``size`` buckets before it.
+    before = Window.partitionBy("_k").orderBy(_BUCKET).rowsBetween(-size, -1)
+    earlier = tails.select("_k", _BUCKET, F.flatten(F.collect_list("_tail").over(before)).alias("_e"))
+    wanted = F.slice("_e", F.greatest(F.size("_e") - size + 1, F.lit(1)), size)
+    copies = earlier.select("_k", _BUCKET, F.explode(wanted).alias("_x")).select(
+        F.col("_x._row.*"), "_k", _BUCKET, F.lit(True).alias("_copy")
+    )
+    return rows.withColumn("_copy", F.lit(False)).unionByName(copies)

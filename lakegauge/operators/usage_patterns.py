@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakegauge.functions.common import count_if, ratio, top
-from lakegauge.functions.ordered import with_nearest, with_previous
+from lakegauge.functions.ordered import with_history, with_nearest, with_previous
 from lakegauge.functions.quantiles import add_percentiles, exact_percentiles
 
 
@@ -82,11 +82,13 @@ def pipeline_drift(s: DataFrame, run: str = "update_id", window: int = 7, factor
         F.sum("total_duration_ms").alias("duration_ms"),
         F.sum("produced_rows").alias("produced_rows"),
     )
-    frame = Window.partitionBy("pipeline_id").orderBy("started", run).rowsBetween(-window, -1)
+    spread = with_history(runs, ["pipeline_id"], ["started", run], window)
+    frame = Window.partitionBy("_k", "_bucket").orderBy("started", run).rowsBetween(-window, -1)
     based = (
-        runs.withColumn("median_ms", F.percentile("duration_ms", F.lit(0.5)).over(frame))
+        spread.withColumn("median_ms", F.percentile("duration_ms", F.lit(0.5)).over(frame))
         .withColumn("_mean", F.avg("produced_rows").over(frame))
         .withColumn("_std", F.stddev_pop("produced_rows").over(frame))
+        .filter(~F.col("_copy"))
     )
     slow = F.coalesce(F.col("duration_ms") > F.col("median_ms") * factor, F.lit(False))
     odd = F.coalesce(F.abs(F.col("produced_rows") - F.col("_mean")) > sigma * F.col("_std"), F.lit(False))

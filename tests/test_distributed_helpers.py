@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lakegauge.functions import ordered, quantiles
 from lakegauge.operators import lineage, spend
@@ -82,6 +83,19 @@ def test_running_sum(spark):
         assert [got[i] for i in part.id] == list(part.v.cumsum())
 
 
+@pytest.mark.parametrize("grain", ["hour", "day"])
+def test_window_over_previous_rows(spark, grain):
+    df, local = frame(spark)
+    spread = ordered.with_history(df, ["k"], ["at", "id"], 5, grain)
+    window = Window.partitionBy("_k", "_bucket").orderBy("at", "id").rowsBetween(-5, -1)
+    rows = spread.withColumn("ids", F.collect_list("id").over(window)).filter(~F.col("_copy")).collect()
+    got = {r.id: r.ids for r in rows}
+    assert len(rows) == len(local)
+    for _, part in local.sort_values(["at", "id"]).groupby("k", dropna=False):
+        ids = list(part.id)
+        assert all(got[x] == ids[max(i - 5, 0) : i] for i, x in enumerate(ids))
+
+
 def test_closure_and_cycles(spark):
     rng = random.Random(3)
     edges = {(rng.randrange(25), rng.randrange(25)) for _ in range(40)}
