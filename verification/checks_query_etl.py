@@ -62,22 +62,26 @@ def _(t):
     return etl.qi_tables(analysed(t)).filter("role = 'reference'")
 
 
-@check("qi_project_keywords", "SELECT statement_id, array_to_string(project_keywords, ',') AS project_keywords FROM qi_keywords")
+@check(
+    "qi_project_keywords",
+    "SELECT statement_id, coalesce(array_to_string(project_keywords, ','), '') AS project_keywords FROM qi_statements LEFT JOIN qi_keywords USING (statement_id)",
+)
 def _(t):
-    rows = etl.qi_statements(analysed(t)).filter(F.size("project_keywords") > 0)
-    return rows.select("statement_id", F.array_join("project_keywords", ",").alias("project_keywords"))
+    return t.qs.select("statement_id", F.array_join("project_keywords", ",").alias("project_keywords"))
+
+
+def sorted_text(column, cut=""):
+    return f"coalesce(array_to_string(list_sort(list_distinct(list({column}) FILTER ({column} IS NOT NULL))){cut}, ','), '') AS"
 
 
 @check(
     "qi_touched_arrays",
-    """SELECT statement_id, coalesce(array_to_string(list_sort(list_distinct(list(catalog) FILTER (catalog IS NOT NULL))), ','), '') AS catalogs_touched,
-    coalesce(array_to_string(list_sort(list_distinct(list(schema) FILTER (schema IS NOT NULL))), ','), '') AS schemas_touched,
-    array_to_string(list_sort(list_distinct(list(fully_qualified)))[1:50], ',') AS tables_touched FROM qi_statement_tables GROUP BY 1""",
+    f"""SELECT statement_id, {sorted_text('catalog')} catalogs_touched, {sorted_text('schema')} schemas_touched, {sorted_text('fully_qualified', '[1:50]')} tables_touched
+    FROM qi_statements LEFT JOIN qi_statement_tables USING (statement_id) GROUP BY 1""",
 )
 def _(t):
     names = ["catalogs_touched", "schemas_touched", "tables_touched"]
-    rows = etl.qi_statements(analysed(t)).filter(F.size("tables_touched") > 0)
-    return rows.select("statement_id", *[F.array_join(n, ",").alias(n) for n in names])
+    return t.qs.select("statement_id", *[F.array_join(n, ",").alias(n) for n in names])
 
 
 @check("qi_expensive", "SELECT * FROM qi_expensive")

@@ -178,7 +178,7 @@ def _(t):
 
 @check("preempt_restart_match", """WITH r AS (SELECT concat('c-', substr(source_ip_address, 6, 1)) AS c, event_time FROM au WHERE action_name = 'runCommand'), p AS (SELECT concat('c-', CAST(CAST(substr(cluster_id, 3) AS INT) % 5 AS VARCHAR)) AS c, instance_id, event_time FROM ie WHERE event_type = 'PREEMPTED'),
  m AS (SELECT c AS cluster_id, instance_id, event_time, (SELECT min(r.event_time) FROM r WHERE r.c = p.c AND r.event_time >= p.event_time) AS restarted_at FROM p)
- SELECT *, (epoch_us(restarted_at) - epoch_us(event_time)) / 1000000.0 AS seconds FROM m WHERE restarted_at - event_time <= INTERVAL 5 MINUTE""", num=("seconds",))
+ SELECT *, (epoch_us(restarted_at) - epoch_us(event_time)) / 1000000.0 AS seconds FROM m WHERE restarted_at - event_time <= INTERVAL 5 MINUTE""", num=("seconds",), digits=3)
 def _(t):
     # Audit fixtures name no cluster; the third number of the address stands for one of five.
     restarts = t.au.filter("action_name = 'runCommand'").select(F.concat(F.lit("c-"), F.substring("source_ip_address", 6, 1)).alias("cluster_id"), "event_time")
