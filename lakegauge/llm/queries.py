@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakegauge.llm import near_dedup, substring_dedup
+from lakegauge.llm import fingerprint, near_dedup, sharding, substring_dedup
 from lakegauge.session import prepare
 
 
@@ -18,11 +18,19 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=13, keep_text=False)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"), shards=24)
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_substring_dedup, op9_minhash_near_dedup)
+    f.__name__: f for f in (op4_substring_dedup, op6_sharding, op7_document_fingerprints, op9_minhash_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
