@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakegauge.llm import fingerprint, near_dedup, sharding, substring_dedup
+from lakegauge.llm import fingerprint, language_id, near_dedup, sharding, substring_dedup
 from lakegauge.session import prepare
 
 
@@ -18,6 +18,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=13, keep_text=False)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.learn(docs))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), shards=24)
 
@@ -31,6 +36,6 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_substring_dedup, op6_sharding, op7_document_fingerprints, op9_minhash_near_dedup)
+    f.__name__: f for f in (op4_substring_dedup, op5_language_id, op6_sharding, op7_document_fingerprints, op9_minhash_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
