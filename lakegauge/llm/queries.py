@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakegauge.llm import fingerprint, language_id, near_dedup, sharding, substring_dedup
+from lakegauge.llm import fingerprint, language_id, near_dedup, quality, sharding, substring_dedup
 from lakegauge.session import prepare
 
 
@@ -31,11 +31,16 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.predict(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_substring_dedup, op5_language_id, op6_sharding, op7_document_fingerprints, op9_minhash_near_dedup)
+    f.__name__: f for f in (op4_substring_dedup, op5_language_id, op6_sharding, op7_document_fingerprints, op8_quality_classifier, op9_minhash_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}
