@@ -6,7 +6,7 @@ A window is ``window`` consecutive words of one document. Three passes over the
    anchors, so the number of documents with an anchor is at least the number of documents with the window. Tasks count
    anchors (once a document) in a sparse count-min sketch of two rows; partial sketches are merged page by page. Cells
    saturate at two, which is all the question needs.
-2. *Exact grouping.* Only windows whose anchor is counted at least twice in both rows are grouped, by 128-bit hashes. A task
+2. *Exact grouping.* Only windows whose anchor is counted at least twice in both rows are grouped, by 96-bit hashes. A task
    first settles what it can (of equal windows only those of the smallest document go on), so a window that a third of all
    rows hold reaches the shuffle once a block, not once a row.
 3. *Removal.* Positions meet their document again; words under a removed window go.
@@ -145,18 +145,22 @@ def _candidate_task(window: int, bits: int, sketch):
         new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
         least = ids[row][np.flatnonzero(new)][np.cumsum(new) - 1]
         later = ids[row] > least
-        yield _rows(False, h1[~later], h2[~later], ids[row[~later]], keys[row[~later]], pos[~later][:, None])
+        one = np.arange(int((~later).sum()) + 1)
+        yield rows_of(False, h1[~later], h2[~later], ids[row[~later]], keys[row[~later]], pos[~later], one)
         gone, place = row[later], pos[later]
         order = np.lexsort((place, gone))
         gone, place = gone[order], place[order]
         cuts = np.flatnonzero(np.append(True, gone[1:] != gone[:-1])) if len(gone) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(cuts), bool)), pa.array(ids[gone[cuts]]), pa.array(keys[gone[cuts]]), pa.array(ids[gone[cuts]]), pa.array(keys[gone[cuts]]),
-             pa.ListArray.from_arrays(pa.array(np.append(cuts, len(gone)).astype(np.int32)), pa.array(place.astype(np.int32)))], _NAMES)
+        first = gone[cuts]
+        yield rows_of(True, ids[first].view(np.uint64), keys[first].view(np.uint32), ids[first], keys[first], place, np.append(cuts, len(gone)))
 
-    def _rows(settled, h1, h2, ids, keys, pos):
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h1) + 1, dtype=np.int32)), pa.array(pos.reshape(-1).astype(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h1), settled)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids), pa.array(keys), lists], _NAMES)
+    def rows_of(settled, h1, h2, ids, keys, pos, cut) -> pa.RecordBatch:
+        """Rows with the positions pos[cut[i] : cut[i + 1]], four bytes each."""
+        offsets = pa.py_buffer((cut * 4).astype(np.int32))
+        packed = pa.Array.from_buffers(pa.binary(), len(h1), [None, offsets, pa.py_buffer(pos.astype("<i4"))])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(h1), settled)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), pa.array(ids), pa.array(keys), packed], _NAMES
+        )
 
     def task(batches):
         rows = sketch.value
@@ -174,7 +178,8 @@ def _candidate_task(window: int, bits: int, sketch):
                 continue
             ids, keys = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc_order", "text_key"))
             doc = words.doc[at]
-            held.append([words.sequences(window, 0)[at], words.sequences(window, 1)[at], doc, at - words.first[doc], doc + base, ids, keys])
+            low = (words.sequences(window, 1)[at] >> np.uint64(32)).astype(np.uint32)
+            held.append([words.sequences(window, 0)[at], low, doc, at - words.first[doc], doc + base, ids, keys])
             size += len(at)
             if size >= _FLUSH:
                 yield from emit(_joined(held))
@@ -204,16 +209,14 @@ def _removal_task(window: int):
 
         for batch in batches:
             raw, bounds = text_buffer(batch["text"])
-            lists = batch["removed"]
-            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            lists = batch["removed"].to_pylist()
             total, gone, sha, kept_text = [], [], [], []
             for i in range(len(batch)):
                 own = raw[bounds[i] : bounds[i + 1]].tobytes().split()
-                positions = lists[i].values
                 keep = own
-                if positions is not None and len(positions):
+                if lists[i]:
                     cover = np.zeros(len(own) + 1, np.int64)
-                    at = np.unique(positions.to_numpy(zero_copy_only=False))
+                    at = np.unique(np.frombuffer(b"".join(lists[i]), "<i4"))
                     np.add.at(cover, at, 1)
                     np.add.at(cover, np.minimum(at + window, len(own)), -1)
                     under = np.cumsum(cover)[:-1] > 0
@@ -231,24 +234,24 @@ def _removal_task(window: int):
     return task
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, max_cells: int = 1 << 29, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, max_cells: int = 1 << 30, keep_text: bool = True) -> DataFrame:
     """doc_id, kept_text (words joined by a space), n_words, n_removed, kept_sha256 of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_order"),
-        F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"),
+        F.hash("text").alias("text_key"), F.col("text").cast("string").alias("text"),
     )
     rows, bits = repeat_sketch(base, window, max_cells)
     sketch = spark.sparkContext.broadcast(rows)
     found = base.select("doc_order", "text_key", "text").mapInArrow(
-        _candidate_task(window, bits, sketch), "settled boolean, h1 long, h2 long, doc_order long, text_key long, pos array<int>"
+        _candidate_task(window, bits, sketch), "settled boolean, h1 long, h2 int, doc_order long, text_key int, pos binary"
     )
     same = Window.partitionBy("settled", "h1", "h2")
     removed = (
         found.withColumn("least", F.min("doc_order").over(same))
         .filter(F.col("settled") | (F.col("doc_order") > F.col("least")))
         .groupBy("doc_order", "text_key")
-        .agg(F.flatten(F.collect_list("pos")).alias("removed"))
+        .agg(F.collect_list("pos").alias("removed"))
     )
     joined = base.join(removed, ["doc_order", "text_key"], "left").select("doc_id", "text", "removed")
     out = joined.mapInArrow(_removal_task(window), "doc_id long, kept_text string, n_words long, n_removed long, kept_sha256 string")
