@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakegauge.llm import fingerprint, language_id, near_dedup, packing, quality, sharding, substring_dedup
+from lakegauge.llm import fingerprint, language_id, license_scan, near_dedup, packing, quality, sharding, substring_dedup
 from lakegauge.session import prepare
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"), threshold=0.85)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), capacity=2048)
 
@@ -45,6 +49,6 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op4_substring_dedup, op5_language_id, op6_sharding, op7_document_fingerprints, op8_quality_classifier, op9_minhash_near_dedup)
+    f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op4_substring_dedup, op5_language_id, op6_sharding, op7_document_fingerprints, op8_quality_classifier, op9_minhash_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {}

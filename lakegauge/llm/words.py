@@ -17,7 +17,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 _BYTE = np.random.default_rng(20240607).integers(1, 2**64, size=(2, 256), dtype=np.uint64)
-_BYTE[:, _SPACE] = 0
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -77,14 +76,15 @@ class Words:
         return self.doc[:size] == self.doc[n - 1 : n - 1 + size]
 
 
-def find_words(raw: np.ndarray, bounds: np.ndarray, hashes: int = 1, lower: bool = False) -> Words:
+def find_words(raw: np.ndarray, bounds: np.ndarray, hashes: int = 1, lower: bool = False, gap: np.ndarray = _SPACE) -> Words:
+    """Words of the texts of a buffer; ``lower`` takes A-Z as a-z, ``gap`` says which bytes part words."""
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(len(bounds), np.int64), np.zeros((hashes, 0), np.uint64))
     if lower:
         raw = _LOWER[raw]
-    space = _SPACE.take(raw)
+    space = gap.take(raw)
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
     begins = ~space
@@ -99,7 +99,8 @@ def find_words(raw: np.ndarray, bounds: np.ndarray, hashes: int = 1, lower: bool
         since = np.arange(start[0], n) - np.repeat(start, length)
         weight = powers(_BASE[0], int(length.max())).take(since)  # bytes between words count as 0
         for k in range(hashes):
-            found[k] = mix64(np.add.reduceat(_BYTE[k].take(raw[start[0] :]) * weight, start - start[0]))
+            value = np.where(gap, np.uint64(0), _BYTE[k])
+            found[k] = mix64(np.add.reduceat(value.take(raw[start[0] :]) * weight, start - start[0]))
     return Words(start, end, doc, first, found)
 
 
