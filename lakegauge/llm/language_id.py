@@ -163,36 +163,51 @@ def learn(docs: DataFrame, sample_docs: int = 200, sample_symbols: int = 40_000)
     return Languages(cut) if cut else None
 
 
-def _predict_task(shared, stretch: int, sharpness: float):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Languages | None = shared.value
-        letters = symbol_map()
-        for batch in batches:
-            _, bounds = text_buffer(batch["text"])
-            at = 0
-            while at < len(batch):
-                to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _BLOCK, side="right")) - 1)
-                to = min(to, len(batch))
-                texts = [t or "" for t in batch["text"].slice(at, to - at).to_pylist()]
-                code, cut, letter = symbols_of(texts, letters)
-                label, score = [UND] * len(texts), np.zeros(len(texts))
-                if model is not None:
-                    rate = model.rates(code, cut, stretch)
-                    share = (1 / np.maximum(rate, 1e-9)) ** sharpness
-                    best = rate.argmin(axis=1)
-                    score = np.where(letter > 0, share[np.arange(len(best)), best] / share.sum(axis=1), 0.0)
-                    label = [model.labels[b] if n else UND for b, n in zip(best, letter)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(at, to - at), batch["held_out"].slice(at, to - at), pa.array(label, pa.string()), pa.array(score)],
-                    ["doc_id", "held_out", "lang_pred", "score"],
-                )
-                at = to
-
-    return task
+def _labelled(batches: Iterator[pa.RecordBatch], model: Languages | None, stretch: int, sharpness: float):
+    """(batch, first row, rows, labels, scores) of ranges of rows."""
+    letters = symbol_map()
+    for batch in batches:
+        _, bounds = text_buffer(batch["text"])
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _BLOCK, side="right")) - 1)
+            to = min(to, len(batch))
+            texts = [t or "" for t in batch["text"].slice(at, to - at).to_pylist()]
+            code, cut, letter = symbols_of(texts, letters)
+            label, score = [UND] * len(texts), np.zeros(len(texts))
+            if model is not None:
+                rate = model.rates(code, cut, stretch)
+                share = (1 / np.maximum(rate, 1e-9)) ** sharpness
+                best = rate.argmin(axis=1)
+                score = np.where(letter > 0, share[np.arange(len(best)), best] / share.sum(axis=1), 0.0)
+                label = [model.labels[b] if n else UND for b, n in zip(best, letter)]
+            yield batch, at, to - at, label, score
+            at = to
 
 
 def predict(docs: DataFrame, model: Languages | None, stretch: int = 1000, sharpness: float = 4.0) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text). Repeated rows get equal answers."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, at, n, label, score in _labelled(batches, shared.value, stretch, sharpness):
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"].slice(at, n), batch["held_out"].slice(at, n), pa.array(label, pa.string()), pa.array(score)],
+                ["doc_id", "held_out", "lang_pred", "score"],
+            )
+
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(_predict_task(shared, stretch, sharpness), "doc_id long, held_out boolean, lang_pred string, score double")
+    return base.mapInArrow(task, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, model: Languages | None, stretch: int = 1000) -> DataFrame:
+    """docs without the rows that no language is found for. If nothing could be learned, all rows with a letter stay."""
+    if model is None:
+        return docs.filter(F.col("text").rlike("\\p{L}"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, at, n, label, _ in _labelled(batches, shared.value, stretch, 1.0):
+            yield batch.slice(at, n).filter(pa.array([x != UND for x in label], pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)

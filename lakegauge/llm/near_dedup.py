@@ -207,3 +207,13 @@ def _link_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, percen
         component = staged(connected_components(links), "components")
         members = now.join(lead.select("bucket", F.col("leader").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
         leaders *= 4
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component: the one with the smallest doc_id, once. Rows without doc_id stay."""
+    kept = near_copies(docs, width, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tie"))
+    best = Window.partitionBy("id").orderBy("tie")
+    rows = rows.join(kept, "id", "left_semi").withColumn("place", F.row_number().over(best)).filter("place = 1")
+    named = rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return named.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakegauge.llm import fingerprint, language_id, license_scan, near_dedup, packing, quality, sharding, substring_dedup
+from lakegauge.llm import decontamination, fingerprint, language_id, license_scan, line_dedup, near_dedup, packing, quality, sharding, substring_dedup
 from lakegauge.session import prepare
 
 
@@ -22,6 +23,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_lines(_table(spark, sf_dir, "documents"), min_chars=20)
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_counted", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=13, keep_text=False)
 
@@ -48,7 +54,12 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontamination.contaminated_windows(docs, items, width=5, threshold=0.8).drop("doc_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op4_substring_dedup, op5_language_id, op6_sharding, op7_document_fingerprints, op8_quality_classifier, op9_minhash_near_dedup)
+    f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_line_dedup, op4_substring_dedup, op5_language_id, op6_sharding, op7_document_fingerprints, op8_quality_classifier, op9_minhash_near_dedup, op10_benchmark_decontamination)
 }
 ORACLE_SQL: dict[str, str] = {}
