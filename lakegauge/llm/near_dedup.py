@@ -7,7 +7,7 @@ coordinates make a band; documents that share a band are candidates. At a simila
 without a shared band once in ten million; raise ``bands`` for less.
 
 Equal sets are one class, so copies never form pairs. Within a band's bucket not all pairs are made either: a few leaders
-meet the members of other components; links merge components, used leaders leave the bucket, and the next round has four
+meet the members of other components; links merge components, used leaders leave the bucket, and the next round has 32
 times as many leaders, until every bucket holds one component or its cross pairs are all tested. Two filters drop pairs before
 whole sets are compared: sizes that exclude the threshold, and 128 one-byte coordinates that agree in so few places that a pair
 at the threshold would do so less than once in 10^8. Links are confirmed on the whole sets.
@@ -206,7 +206,7 @@ def _link_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, percen
         links = component.toDF("a", "b").union(new.filter("linked").select("a", "b"))
         component = staged(connected_components(links), "components")
         members = now.join(lead.select("bucket", F.col("leader").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
-        leaders *= 4
+        leaders *= 32
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
