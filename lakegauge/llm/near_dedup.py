@@ -6,11 +6,13 @@ coordinate k is the smallest place under the second permutation (pi) with its do
 coordinates make a band; documents that share a band are candidates. At a similarity of 0.8, 40 bands of 5 rows leave a pair
 without a shared band once in ten million; raise ``bands`` for less.
 
-Equal sets are one class, so copies never form pairs. Within a band's bucket not all pairs are made either: a few leaders
-meet the members of other components; links merge components, used leaders leave the bucket, and the next round has 32
-times as many leaders, until every bucket holds one component or its cross pairs are all tested. Two filters drop pairs before
-whole sets are compared: sizes that exclude the threshold, and 128 one-byte coordinates that agree in so few places that a pair
-at the threshold would do so less than once in 10^8. Links are confirmed on the whole sets.
+Equal sets are one class, so copies never form pairs. Within a band's bucket not all pairs are made either: a few leaders meet the
+members of other components, links merge components, used leaders leave the bucket, and the next round takes more leaders, until
+every bucket holds one component or its cross pairs are all looked at. Leaders come to the members as lists of bounded
+length; a pair leaves the task only if it can be a link: two bounds are held against the threshold there. One counts shingles in 256 cells
+(what two sets share is at most the sum of the smaller counts, so nothing is lost); the other drops a pair if 128 one-byte
+coordinates agree in so few places that a pair at the threshold would do so less than once in 10^8. Links are confirmed on the
+whole sets.
 
 Empty or null texts have an empty set and no links. Rows without doc_id stay alone, with a null component. Repeated rows of a
 doc_id share their component. An empty table gives an empty result.
@@ -32,6 +34,9 @@ from lakegauge.llm.words import find_words, mix64, pieces, text_buffer
 
 _BLOCK = 1 << 18
 _SKETCH = 128
+_CELLS = 256
+#: Leaders in a list; and of a bucket in the second round and later ones.
+_LIST, _LEADERS = 32, 1024
 
 
 def permute32(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -91,18 +96,21 @@ def _classes_task(width: int, bands: int, rows: int):
                 full = np.flatnonzero(size)
                 key = np.zeros((2, b - a), np.uint64)
                 lists, sketch = [None] * (b - a), [None] * (b - a)
+                cells = np.zeros((b - a, _CELLS), np.uint8)
                 if len(full):
                     start = cut[:-1][full]
                     for k in range(2):
                         key[k, full] = np.add.reduceat(mix64(value ^ np.uint64(0xA5A5F00D12345678 + k)), start)
                     sig = signatures(value, start, max(bands * rows, _SKETCH))
                     low = (sig[:, :_SKETCH] & np.uint32(0xFF)).astype(np.uint8)
+                    at_cell = np.repeat(np.arange(b - a), size) * _CELLS + (value & np.uint64(_CELLS - 1)).astype(np.int64)
+                    cells = np.minimum(255, np.bincount(at_cell, minlength=(b - a) * _CELLS)).astype(np.uint8).reshape(-1, _CELLS)
                     band = np.zeros((len(full), bands), np.uint64)
                     for j in range(rows):
                         band = mix64(band ^ sig[:, j : bands * rows : rows].astype(np.uint64))
                     band = mix64(band + np.arange(bands, dtype=np.uint64)).view(np.int64)
                     for i, at in enumerate(full):
-                        lists[at], sketch[at] = band[i], low[i].tobytes()
+                        lists[at], sketch[at] = band[i], low[i].tobytes() + cells[at].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)),
                      pa.array(lists, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
@@ -124,16 +132,30 @@ def _sets_task(width: int):
     return task
 
 
-def _agree_task(least: int):
-    """Keeps the pairs whose one-byte coordinates agree in ``least`` places or more."""
+def _possible_task(percent: int, least: int):
+    """Pairs of a member and a leader of another component that can be a link."""
 
     def task(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, _SKETCH) for c in ("sketch_a", "sketch_b"))
-            near = (a == b).sum(axis=1) >= least
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(near)), batch["b"].filter(pa.array(near))], ["a", "b"])
+            for at in range(0, len(batch), 512):
+                rows = batch.slice(at, 512)
+                lists = rows["leaders"]
+                leaders = lists.flatten()
+                me = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
+                rep, part, n = (rows[c].to_numpy(zero_copy_only=False)[me] for c in ("rep", "component", "n"))
+                rep2, part2, n2 = (leaders.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "n"))
+                at_pair = np.flatnonzero((part != part2) & (100 * np.minimum(n, n2) >= percent * np.maximum(n, n2)))
+                one = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, _SKETCH + _CELLS)
+                two = np.frombuffer(b"".join(leaders.field("sketch").to_pylist()), np.uint8).reshape(-1, _SKETCH + _CELLS)
+                x, y = one[me[at_pair]], two[at_pair]
+                near = (x[:, :_SKETCH] == y[:, :_SKETCH]).sum(axis=1) >= least
+                x, y = x[:, _SKETCH:], y[:, _SKETCH:]
+                fewer = np.minimum(x, y)
+                most = np.where((fewer == 255).any(axis=1), np.minimum(n, n2)[at_pair], fewer.sum(axis=1, dtype=np.int64))
+                near &= (100 + percent) * most >= percent * (n + n2)[at_pair]
+                at_pair = at_pair[near]
+                a, b = np.minimum(rep, rep2)[at_pair], np.maximum(rep, rep2)[at_pair]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return task
 
@@ -186,15 +208,13 @@ def _link_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, percen
         now = staged(now.join(main, "bucket"), "round")
         if now.isEmpty():
             return component
+        known = now.join(classes, "rep")
         order = Window.partitionBy("bucket").orderBy("rep")
-        lead = now.filter("component <> main").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders)
-        lead = lead.select("bucket", F.col("rep").alias("leader"), F.col("component").alias("own"))
-        met = now.join(lead, "bucket").filter("component <> own")
-        pairs = met.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        one, two = (classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
-        sized = pairs.join(one, "a").filter(F.col("n_a").isNotNull()).join(two, "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        near = sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agree_task(least), "a long, b long")
+        lead = known.filter("component <> main").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders)
+        lists = lead.groupBy("bucket", F.floor(F.col("place") / _LIST).alias("list")).agg(F.collect_list(F.struct("rep", "component", "n", "sketch")).alias("leaders"))
+        met = known.drop("main").join(lists, "bucket").select("rep", "component", "n", "sketch", "leaders")
+        pairs = met.mapInArrow(_possible_task(percent, least), "a long, b long").distinct()
+        near = pairs.join(tested, ["a", "b"], "left_anti")
         near = near.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("set_b")), "b")
         near = near.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("set_a")), "a")
         common = F.size(F.array_intersect("set_a", "set_b"))
@@ -205,8 +225,8 @@ def _link_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, percen
         tested = tested.union(new.select("a", "b"))
         links = component.toDF("a", "b").union(new.filter("linked").select("a", "b"))
         component = staged(connected_components(links), "components")
-        members = now.join(lead.select("bucket", F.col("leader").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
-        leaders *= 32
+        members = now.join(lead.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep")
+        leaders = _LEADERS
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
