@@ -192,7 +192,7 @@ def _bucket_task(tops: np.ndarray):
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             rank = batch["rank"].to_numpy()
-            bucket = np.searchsorted(-tops, -rank, side="right") - 1
+            bucket = len(tops) - 1 - np.searchsorted(tops[::-1], rank)
             top = np.flatnonzero(tops[bucket] == rank)
             take = np.append(np.arange(len(rank)), top)
             packed = pa.array([press.compress(t.encode()) for t in batch["text"].to_pylist()], pa.binary())

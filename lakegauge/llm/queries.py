@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakegauge.llm import decontamination, fingerprint, language_id, license_scan, line_dedup, near_dedup, packing, quality, sharding, substring_dedup
+from lakegauge.llm import decontamination, fingerprint, language_id, license_scan, line_dedup, near_dedup, oracle, packing, quality, sharding, substring_dedup
 from lakegauge.session import prepare
 
 
@@ -60,6 +60,16 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_line_dedup, op4_substring_dedup, op5_language_id, op6_sharding, op7_document_fingerprints, op8_quality_classifier, op9_minhash_near_dedup, op10_benchmark_decontamination)
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_best_fit_packing, op3_line_dedup, op4_substring_dedup, op5_language_id, op6_sharding,
+        op7_document_fingerprints, op8_quality_classifier, op9_minhash_near_dedup, op10_benchmark_decontamination,
+    )
+}
+#: The other queries have no SQL form (greedy choice, packing, learned models, crc32 and sketches); tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": oracle.LINE_DEDUP,
+    "op4_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op9_minhash_near_dedup": oracle.NEAR_DEDUP,
+    "op10_benchmark_decontamination": oracle.DECONTAMINATION,
 }
-ORACLE_SQL: dict[str, str] = {}
