@@ -271,15 +271,29 @@ def table_pairs(tables: DataFrame) -> DataFrame:
     return both.select(F.col(SRC).alias("source"), F.col(TGT).alias("target")).distinct()
 
 
+def column_pairs(columns: DataFrame) -> DataFrame:
+    """Distinct (source, target) pairs of columns, named ``table::column``; for column-level closure and cycles."""
+    source = _text(SRC, F.lit("::"), "source_column_name")
+    target = _text(TGT, F.lit("::"), "target_column_name")
+    known = [F.col(c).isNotNull() for c in (SRC, "source_column_name", TGT, "target_column_name")]
+    whole = columns.filter(known[0] & known[1] & known[2] & known[3])
+    return whole.select(source.alias("source"), target.alias("target")).distinct()
+
+
+#: Rounds after which the tables reached so far are written as one frame, so that plans stay short on long chains.
+_COMPACT = 16
+
+
 def lineage_closure(
-    pairs: DataFrame, starts: DataFrame, direction: str = "downstream", max_depth: int = 20
+    pairs: DataFrame, starts: DataFrame, direction: str = "downstream", max_depth: int | None = None
 ) -> DataFrame:
     """Tables reachable from each start with the length of the shortest path: (root, full_name, depth).
 
     ``starts`` has a column ``root``. Breadth first: each round joins the newest tables to the pairs and drops what the
-    same root has already reached, so cycles end. The start itself appears only if a cycle leads back to it. Every round
-    is written to the checkpoint folder, which keeps plans short and lets the job survive lost executors. The driver
-    only learns whether a round found anything.
+    same root has already reached, so cycles end. Rounds go on until nothing new is found, or for ``max_depth`` steps if
+    that is given. The start itself appears only if a cycle leads back to it. Every round is written to the checkpoint
+    folder, which keeps plans short and lets the job survive lost executors. The driver only learns whether a round
+    found anything.
     """
     if direction not in ("upstream", "downstream"):
         raise ValueError("direction is upstream or downstream")
@@ -287,7 +301,9 @@ def lineage_closure(
     steps = cut(pairs.select(F.col(here).alias("_from"), F.col(there).alias("full_name")).distinct())
     frontier = starts.select("root", F.col("root").alias("full_name"))
     reached: DataFrame | None = None
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         nearby = (
             frontier.withColumnRenamed("full_name", "_from")
             .join(steps, "_from")
@@ -300,29 +316,69 @@ def lineage_closure(
         if found.isEmpty():
             break
         reached = found if reached is None else reached.unionByName(found)
+        if depth % _COMPACT == 0:
+            reached = cut(reached)
         frontier = found.select("root", "full_name")
     if reached is None:
         return starts.select("root", F.lit("").alias("full_name"), F.lit(0).alias("depth")).limit(0)
     return reached
 
 
-def cycles(pairs: DataFrame, max_depth: int = 20) -> DataFrame:
+def _on_both_sides(pairs: DataFrame) -> DataFrame:
+    """Pairs left when tables without an incoming or without an outgoing edge are peeled off until none is found."""
+    size = pairs.count()
+    while size:
+        entered, left = pairs.select(F.col("target").alias("source")).distinct(), pairs.select(F.col("source").alias("target")).distinct()
+        pairs = cut(pairs.join(entered, "source", "left_semi").join(left, "target", "left_semi").select("source", "target"))
+        before, size = size, pairs.count()
+        if size == before:
+            break
+    return pairs
+
+
+def _strong_parts(pairs: DataFrame) -> DataFrame:
+    """(full_name, part): tables that reach each other, for every such part of two tables or more.
+
+    Each round gives every table the smallest name that reaches it. Within one such colour the part of the naming table
+    is what reaches it back; parts found leave the pairs, what is left is peeled again.
+    """
+    parts: DataFrame | None = None
+    pairs = _on_both_sides(cut(pairs))
+    while not pairs.isEmpty():
+        names = pairs.select(F.col("source").alias("full_name")).union(pairs.select("target")).distinct()
+        colours = cut(names.withColumn("colour", F.col("full_name")))
+        while True:
+            reaching = pairs.join(colours.withColumnRenamed("full_name", "source"), "source").groupBy(F.col("target").alias("full_name")).agg(F.min("colour").alias("_via"))
+            after = colours.join(reaching, "full_name", "left").select("full_name", F.least("colour", "_via").alias("colour"), (F.col("_via") < F.col("colour")).alias("_new"))
+            after = cut(after)
+            colours = after.drop("_new")
+            if after.filter("_new").isEmpty():
+                break
+        of_source, of_target = (colours.select(F.col("full_name").alias(c), F.col("colour").alias(f"_{c}")) for c in ("source", "target"))
+        inside = pairs.join(of_source, "source").join(of_target, "target").filter("_source = _target").select("source", "target")
+        roots = colours.select(F.col("colour").alias("root")).distinct()
+        back = lineage_closure(inside, roots, "upstream").select("full_name", F.col("root").alias("part"))
+        found = cut(back.unionByName(roots.join(back, F.col("root") == F.col("part"), "left_semi").select(F.col("root").alias("full_name"), F.col("root").alias("part"))).distinct())
+        parts = found if parts is None else parts.unionByName(found)
+        gone = found.select("full_name").union(roots).distinct()
+        rest = pairs.join(gone.withColumnRenamed("full_name", "source"), "source", "left_anti")
+        pairs = _on_both_sides(cut(rest.join(gone.withColumnRenamed("full_name", "target"), "target", "left_anti").select("source", "target")))
+    if parts is None:
+        return pairs.select(F.col("source").alias("full_name"), F.col("target").alias("part")).limit(0)
+    return parts
+
+
+def cycles(pairs: DataFrame) -> DataFrame:
     """Tables on a cycle with the length of their shortest one.
 
-    Tables without an incoming or without an outgoing edge cannot be on a cycle. They are peeled off round by round
-    before the closure starts, so that only the cyclic core and paths between cycles are walked.
+    A cycle lies within tables that all reach each other. Such parts are found first; the walk starts only from
+    their tables and never leaves a part.
     """
-    core = cut(pairs.filter(F.col("source") != F.col("target")))
+    proper = pairs.filter(F.col("source") != F.col("target"))
     self_loops = pairs.filter(F.col("source") == F.col("target")).select(F.col("source").alias("full_name"), F.lit(1).alias("length"))
-    for _ in range(max_depth):
-        kept = core.join(core.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(
-            core.select(F.col("source").alias("target")).distinct(), "target", "left_semi"
-        )
-        peeled = cut(kept)
-        if peeled.count() == core.count():
-            break
-        core = peeled
-    starts = core.select(F.col("source").alias("root")).distinct()
-    walked = lineage_closure(core, starts, "downstream", max_depth)
+    parts = cut(_strong_parts(proper))
+    of_source, of_target = (parts.select(F.col("full_name").alias(c), F.col("part").alias(f"_{c}")) for c in ("source", "target"))
+    inside = proper.join(of_source, "source").join(of_target, "target").filter("_source = _target").select("source", "target")
+    walked = lineage_closure(inside, parts.select(F.col("full_name").alias("root")), "downstream")
     loops = walked.filter(F.col("root") == F.col("full_name")).select("full_name", F.col("depth").alias("length"))
     return loops.unionByName(self_loops).groupBy("full_name").agg(F.min("length").alias("length"))

@@ -220,12 +220,12 @@ def deprecation_impact(edges: DataFrame, full_name: str) -> DataFrame:
     )
 
 
-def upstream_cost(edges: DataFrame, outputs: DataFrame, entity_cost: DataFrame, max_depth: int = 20) -> DataFrame:
+def upstream_cost(edges: DataFrame, outputs: DataFrame, entity_cost: DataFrame) -> DataFrame:
     """Cost of every entity that writes an output or any table upstream of it.
 
     ``outputs`` has a column ``root``; ``entity_cost`` has (entity_id, cost). Result: (root, entities, total_cost).
     """
-    above = lineage_closure(table_pairs(edges), outputs, "upstream", max_depth).select("root", "full_name")
+    above = lineage_closure(table_pairs(edges), outputs, "upstream").select("root", "full_name")
     scope = above.unionByName(outputs.select("root", F.col("root").alias("full_name"))).distinct()
     writers = edges.filter(F.col(TGT).isNotNull() & F.col("entity_id").isNotNull()).select(
         F.col(TGT).alias("full_name"), "entity_id"

@@ -111,13 +111,24 @@ def test_closure_and_cycles(spark):
         return seen
 
     for direction, step in (("downstream", edges), ("upstream", {(b, a) for a, b in edges})):
-        got = {(r.root, r.full_name): r.depth for r in lineage.lineage_closure(pairs, starts, direction, 30).collect()}
+        got = {(r.root, r.full_name): r.depth for r in lineage.lineage_closure(pairs, starts, direction).collect()}
         expected = {(f"t{s}", f"t{x}"): d for s in (0, 1) for x, d in walk(s, step).items()}
         assert got == expected
-    loops = {r.full_name: r.length for r in lineage.cycles(pairs, 30).collect()}
+    loops = {r.full_name: r.length for r in lineage.cycles(pairs).collect()}
     assert loops == {f"t{s}": walk(s, edges)[s] for s in range(25) if s in walk(s, edges)}
 
 
+def test_long_chain_and_long_cycle(spark):
+    chain = [(f"c{k:02}", f"c{k + 1:02}") for k in range(50)]
+    ring = [(f"r{k:02}", f"r{(k + 1) % 30:02}") for k in range(30)] + [("c50", "r00"), ("r00", "z"), ("x", "r05"), ("s", "s")]
+    pairs = spark.createDataFrame(chain + ring, "source string, target string")
+    start = spark.createDataFrame([("c00",)], "root string")
+    found = {r.full_name: r.depth for r in lineage.lineage_closure(pairs, start).collect()}
+    assert found == {**{f"c{k:02}": k for k in range(1, 51)}, **{f"r{k:02}": 51 + k for k in range(30)}, "z": 52}
+    assert len(lineage.lineage_closure(pairs, start, max_depth=3).collect()) == 3
+    assert {r.full_name: r.length for r in lineage.cycles(pairs).collect()} == {**{f"r{k:02}": 30 for k in range(30)}, "s": 1}
+
+
 def test_closure_of_nothing(spark):
     pairs = spark.createDataFrame([], "source string, target string")
     starts = spark.createDataFrame([("a",)], "root string")

@@ -56,9 +56,11 @@ check("column_tops", KIND.format(f"""SELECT 'most_fanned_out' AS kind, s AS labe
  UNION ALL SELECT 'entities', {ENT} FROM cl WHERE entity_id IS NOT NULL""", 15))(lambda t: lineage.column_tops(t.cl))
 
 
-def closure_sql(start, here, there):
-    return f"""WITH RECURSIVE pairs AS (SELECT DISTINCT {here} AS a, {there} AS b FROM tl WHERE {S} IS NOT NULL AND {T} IS NOT NULL),
-    walk(full_name, depth) AS (SELECT b, 1 FROM pairs WHERE a = '{start}' UNION SELECT p.b, w.depth + 1 FROM walk w JOIN pairs p ON p.a = w.full_name WHERE w.depth < 20)
+def closure_sql(start, here, there, edges=None):
+    # A shortest path has no more steps than there are names, so this bound cuts nothing off.
+    edges = edges or f"(SELECT DISTINCT {S} AS s, {T} AS t FROM tl WHERE {S} IS NOT NULL AND {T} IS NOT NULL)"
+    return f"""WITH RECURSIVE pairs AS (SELECT {here} AS a, {there} AS b FROM {edges}),
+    walk(full_name, depth) AS (SELECT b, 1 FROM pairs WHERE a = '{start}' UNION SELECT p.b, w.depth + 1 FROM walk w JOIN pairs p ON p.a = w.full_name WHERE w.depth < (SELECT count(DISTINCT a) FROM pairs))
     SELECT '{start}' AS root, full_name, min(depth) AS depth FROM walk GROUP BY 2"""
 
 
@@ -67,8 +69,19 @@ def closure(t, start, direction):
     return lineage.lineage_closure(lineage.table_pairs(t.tl), starts, direction)
 
 
-check("lineage_closure", closure_sql("main.bronze.t3", S, T))(lambda t: closure(t, "main.bronze.t3", "downstream"))
-check("lineage_closure_upstream", closure_sql("main.gold.t7", T, S))(lambda t: closure(t, "main.gold.t7", "upstream"))
+check("lineage_closure", closure_sql("main.bronze.t3", "s", "t"))(lambda t: closure(t, "main.bronze.t3", "downstream"))
+check("lineage_closure_upstream", closure_sql("main.gold.t7", "t", "s"))(lambda t: closure(t, "main.gold.t7", "upstream"))
+
+
+
+@check("column_closure", f"""WITH RECURSIVE pairs AS (SELECT s AS a, t AS b FROM {FULL}),
+    starts AS (SELECT DISTINCT a AS root FROM pairs WHERE a LIKE 'main.bronze.t1%'),
+    walk(root, full_name, depth) AS (SELECT root, b, 1 FROM pairs JOIN starts ON a = root UNION SELECT w.root, p.b, w.depth + 1 FROM walk w JOIN pairs p ON p.a = w.full_name WHERE w.depth < (SELECT count(DISTINCT a) FROM pairs))
+    SELECT root, full_name, min(depth) AS depth FROM walk GROUP BY 1, 2""")
+def _(t):
+    pairs = lineage.column_pairs(t.cl)
+    return lineage.lineage_closure(pairs, pairs.filter("source LIKE 'main.bronze.t1%'").select(F.col("source").alias("root")).distinct())
+
 
 # ---- catalog ----
 check("catalog_stats", "SELECT count(DISTINCT catalog) AS catalogs, count(DISTINCT concat(catalog, '.', database)) AS databases, count(DISTINCT concat(catalog, '.', database, '.', table_name)) AS tables, count(*) AS columns, max(as_of) AS last_extract FROM cc")(

@@ -25,8 +25,8 @@ fixtures.CTES["allocated"] = f"""WITH hourly AS (SELECT compute_id, h, sum(CAST(
  SELECT statement_id, sum(w.w * r.rate) AS cost FROM w JOIN r ON w.compute_id = r.compute_id AND w.h = r.h WHERE r.rate IS NOT NULL GROUP BY 1"""
 
 # ---- spend ----
-check("cumulative_share", "SELECT label, total_cost, CAST(sum(total_cost) OVER (ORDER BY total_cost DESC, label) AS DOUBLE) / CAST(sum(total_cost) OVER () AS DOUBLE) AS cum_share FROM (SELECT run_as AS label, sum(cost) AS total_cost FROM bu WHERE run_as IS NOT NULL GROUP BY 1)", num=("total_cost", "cum_share"))(
-    lambda t: spend.cumulative_share(t.bu.filter("run_as IS NOT NULL").groupBy(F.col("run_as").alias("label")).agg(F.sum("cost").alias("total_cost")))
+check("cumulative_share", "SELECT label, total_cost, CAST(sum(total_cost) OVER (ORDER BY total_cost DESC, label NULLS LAST) AS DOUBLE) / CAST(sum(total_cost) OVER () AS DOUBLE) AS cum_share FROM (SELECT run_as AS label, sum(cost) AS total_cost FROM bu GROUP BY 1)", num=("total_cost", "cum_share"))(
+    lambda t: spend.cumulative_share(t.bu.groupBy(F.col("run_as").alias("label")).agg(F.sum("cost").alias("total_cost")))
 )
 check("monthly_cost_original", "SELECT strftime(usage_date, '%Y-%m') AS month, sum(cost) AS total_cost FROM bu WHERE record_type = 'ORIGINAL' GROUP BY 1", num=("total_cost",))(lambda t: spend.monthly_cost_original(t.bu))
 check("top_jobs", "SELECT b.job_id, j.name AS job_name, sum(cost) AS total_cost, sum(usage_quantity) AS total_usage FROM bu b LEFT JOIN jobs j ON b.job_id = j.job_id WHERE b.job_id IS NOT NULL AND record_type = 'ORIGINAL' GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 10", num=("total_cost", "total_usage"))(
@@ -70,7 +70,7 @@ ECOST = "(SELECT concat('e-', substr(job_id, 3)) AS entity_id, sum(cost) AS cost
  SELECT '{OUT}' AS root, count(*) AS entities, coalesce(sum(cost), 0) AS total_cost FROM ents LEFT JOIN {ECOST} c USING (entity_id)""", num=("total_cost",))
 def _(t):
     outputs = t.tl.filter(F.col(T) == OUT).select(F.col(T).alias("root")).distinct()
-    costs = t.bu.filter("job_id IS NOT NULL").groupBy(F.concat(F.lit("e-"), F.substring("job_id", 3, 20)).alias("entity_id")).agg(F.sum("cost").alias("cost"))
+    costs = t.bu.filter("job_id IS NOT NULL").groupBy(F.concat(F.lit("e-"), F.expr("substring(job_id, 3)")).alias("entity_id")).agg(F.sum("cost").alias("cost"))
     return spend.upstream_cost(t.tl, outputs, costs)
 
 
@@ -105,10 +105,10 @@ check("error_growth_wow", """SELECT *, (errors - previous) * 100.0 / previous AS
 )
 
 
-@check("multi_workspace_hour", """SELECT concat('team-', substr(executed_by, 1, 5)) AS executed_by, CAST(date_trunc('hour', start_time) AS TIMESTAMP) AS hour, count(DISTINCT workspace_id) AS workspaces, count(*) AS queries FROM qi_statements WHERE executed_by IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT workspace_id) >= 2""")
+@check("multi_workspace_hour", """SELECT concat('team-', regexp_replace(executed_by, '[0-9]+', '')) AS executed_by, CAST(date_trunc('hour', start_time) AS TIMESTAMP) AS hour, count(DISTINCT workspace_id) AS workspaces, count(*) AS queries FROM qi_statements WHERE executed_by IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT workspace_id) >= 2""")
 def _(t):
-    # A fixture user stays in one workspace, so the first characters of the name stand for a shared account.
-    shared = t.qs.withColumn("executed_by", F.concat(F.lit("team-"), F.substring("executed_by", 1, 5)))
+    # A fixture user stays in one workspace, so names that differ in their number only stand for a shared account.
+    shared = t.qs.withColumn("executed_by", F.concat(F.lit("team-"), F.regexp_replace("executed_by", "[0-9]+", "")))
     return up.multi_workspace_hour(shared)
 
 
@@ -176,13 +176,13 @@ def _(t):
     return inf.query_window_utilization(ran, t.nt)
 
 
-@check("preempt_restart_match", """WITH r AS (SELECT concat('c-', substr(source_ip_address, 6, 1)) AS c, event_time FROM au WHERE action_name = 'runCommand'), p AS (SELECT concat('c-', CAST(CAST(substr(cluster_id, 3) AS INT) % 5 AS VARCHAR)) AS c, instance_id, event_time FROM ie WHERE event_type = 'PREEMPTED'),
+@check("preempt_restart_match", """WITH r AS (SELECT concat('c-', CAST(CAST(split_part(source_ip_address, '.', 3) AS INT) % 5 AS VARCHAR)) AS c, event_time FROM au WHERE action_name = 'runCommand'), p AS (SELECT concat('c-', CAST(CAST(substr(cluster_id, 3) AS INT) % 5 AS VARCHAR)) AS c, instance_id, event_time FROM ie WHERE event_type = 'PREEMPTED'),
  m AS (SELECT c AS cluster_id, instance_id, event_time, (SELECT min(r.event_time) FROM r WHERE r.c = p.c AND r.event_time >= p.event_time) AS restarted_at FROM p)
  SELECT *, (epoch_us(restarted_at) - epoch_us(event_time)) / 1000000.0 AS seconds FROM m WHERE restarted_at - event_time <= INTERVAL 5 MINUTE""", num=("seconds",), digits=3)
 def _(t):
-    # Audit fixtures name no cluster; the third number of the address stands for one of five.
-    restarts = t.au.filter("action_name = 'runCommand'").select(F.concat(F.lit("c-"), F.substring("source_ip_address", 6, 1)).alias("cluster_id"), "event_time")
-    events = t.ie.withColumn("cluster_id", F.concat(F.lit("c-"), (F.substring("cluster_id", 3, 10).cast("int") % 5).cast("string")))
+    # Audit fixtures name no cluster; the third number of the address stands for one of five clusters.
+    restarts = t.au.filter("action_name = 'runCommand'").select(F.concat(F.lit("c-"), (F.split_part("source_ip_address", F.lit("."), F.lit(3)).cast("int") % 5).cast("string")).alias("cluster_id"), "event_time")
+    events = t.ie.withColumn("cluster_id", F.concat(F.lit("c-"), (F.expr("substring(cluster_id, 3)").cast("int") % 5).cast("string")))
     return inf.preempt_restart_match(events, restarts)
 
 
@@ -216,9 +216,12 @@ check("queried_undocumented", f"SELECT {FQ} AS full_name FROM cc GROUP BY 1 HAVI
 check("zombie_candidates", f"SELECT DISTINCT {FQ} AS full_name FROM cc WHERE {FQ} NOT IN (SELECT fully_qualified FROM qi_statement_tables WHERE role <> 'cte') AND {FQ} NOT IN (SELECT {S} FROM tl WHERE {S} IS NOT NULL UNION SELECT {T} FROM tl WHERE {T} IS NOT NULL)")(
     lambda t: gov.zombie_candidates(t.cc, t.tl, t.qt)
 )
-check("cycles", f"""WITH RECURSIVE pairs AS (SELECT DISTINCT {S} AS a, {T} AS b FROM tl WHERE {S} IS NOT NULL AND {T} IS NOT NULL),
- walk(root, n, d) AS (SELECT a, b, 1 FROM pairs UNION SELECT w.root, p.b, w.d + 1 FROM walk w JOIN pairs p ON p.a = w.n WHERE w.d < 8)
- SELECT root AS full_name, min(d) AS length FROM walk WHERE root = n GROUP BY 1""")(lambda t: lineage.cycles(lineage.table_pairs(t.tl), max_depth=8))
+# Fixture tables only feed the next layer; without the layer's name the tables feed each other.
+check("cycles", f"""WITH RECURSIVE pairs AS (SELECT DISTINCT split_part({S}, '.', 3) AS a, split_part({T}, '.', 3) AS b FROM tl WHERE {S} IS NOT NULL AND {T} IS NOT NULL),
+ walk(root, n, d) AS (SELECT a, b, 1 FROM pairs UNION SELECT w.root, p.b, w.d + 1 FROM walk w JOIN pairs p ON p.a = w.n WHERE w.d < (SELECT count(DISTINCT a) FROM pairs))
+ SELECT root AS full_name, min(d) AS length FROM walk WHERE root = n GROUP BY 1""")(
+    lambda t: lineage.cycles(lineage.table_pairs(t.tl.withColumns({c: F.split_part(F.col(c), F.lit("."), F.lit(3)) for c in (S, T)})))
+)
 check("hubs", f"""SELECT full_name, edges_out, edges_in FROM (SELECT {S} AS full_name, count(*) AS edges_out FROM tl WHERE {S} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15) JOIN (SELECT {T} AS full_name, count(*) AS edges_in FROM tl WHERE {T} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15) USING (full_name)""")(
     lambda t: gov.hubs(t.tl)
 )
