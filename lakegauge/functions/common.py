@@ -53,13 +53,20 @@ def top(df: DataFrame, order: Sequence[Column], limit: int | None) -> DataFrame:
     return df if limit is None else df.limit(limit)
 
 
+def _sortable(column: Column, kind: T.DataType) -> Column:
+    """Maps have no order of their own; their sorted entries do."""
+    return F.array_sort(F.map_entries(column)) if isinstance(kind, T.MapType) else column
+
+
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The newest row of each key.
+    """The newest row of each key. Rows that tie in ``order`` are ordered by all their other columns, so the pick does
+    not depend on how the rows lie.
 
     Written as a max over an ordered struct would be cheaper, but configuration logs need NULLS LAST on each
     ordering column, so the row number form is used; Spark prunes it per task with a window group limit.
     """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    ties = [_sortable(F.col(f"`{f.name}`"), f.dataType).asc_nulls_last() for f in df.schema.fields if f.name not in keys]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *ties))
     return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lakegauge.functions.checkpoints import cut
+
 #: Buckets per doubling of the value. 64 doublings bound the buckets of one group at 32,768 per sign, and one bucket
 #: spans 0.14 % of its value, so only that sliver of a group is ever ordered in one task.
 _PER_DOUBLING = 512
@@ -36,13 +38,16 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping
 
     ``ranks`` maps an output column to an expression over ``n``, the number of non-NULL values of the group.
     The result has ``keys``, ``n`` and one column per rank.
+
+    The counts serve two branches. Their bucket is never NULL, so the join adds no filter to one of them, and the input is
+    scanned and shuffled once.
     """
     keys = list(keys)
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(packed_key(keys).alias("_k"), F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", value_bucket(F.col("_v")))
+        .withColumn("_b", F.coalesce(value_bucket(F.col("_v")), F.lit(0)))
     )
     group = Window.partitionBy("_k")
     running = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -109,15 +114,13 @@ def add_percentiles(
 def running_total(df: DataFrame, value: str, order: Sequence[Column], into: str) -> DataFrame:
     """Running sum over a whole frame in descending ``value`` order, without ordering it all in one task.
 
-    ``order`` is the full ordering; it has to start with ``value`` descending.
+    ``order`` is the full ordering. Spark's sort deals the rows into ranges of it, so rows of equal value are split as well; the
+    sums of the ranges give each range its start. The ranges are written once, so that both uses see the same ones.
     """
-    bucketed = df.withColumn("_b", value_bucket(F.col(value)))
-    totals = bucketed.groupBy("_b").agg(F.sum(value).alias("_bv"))
-    above = Window.partitionBy(F.lit(0)).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_above", F.coalesce(F.sum("_bv").over(above), F.lit(0))).drop("_bv")
-    inside = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        bucketed.join(offsets, "_b")
-        .withColumn(into, F.col("_above") + F.sum(value).over(inside))
-        .drop("_b", "_above")
-    )
+    ranged = df.orderBy(*order).withColumn("_part", F.spark_partition_id())
+    ranged = cut(ranged)
+    totals = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    above = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_above", F.coalesce(F.sum("_sum").over(above), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranged.join(offsets, "_part").withColumn(into, F.col("_above") + F.sum(value).over(inside)).drop("_part", "_above")

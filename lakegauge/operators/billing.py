@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 
 from lakegauge.functions.common import MONEY, date_range, latest_by_key, ratio, top, total
 
-#: Product of two six-digit decimals; wide enough to stay exact.
-_FACTOR = T.DecimalType(18, 6)
+#: Quantities as they are declared, and unit prices; the widest pair whose product is exact in 38 digits.
+_QUANTITY, _PRICE = T.DecimalType(20, 6), T.DecimalType(17, 6)
 
 #: Supported periods with the pattern of their label; a week is named by its Monday.
 _PERIODS = {"day": "yyyy-MM-dd", "week": "yyyy-MM-dd", "month": "yyyy-MM"}
@@ -43,7 +43,7 @@ def cost_from_prices(usage: DataFrame, prices: DataFrame, by_month: bool = False
         F.col("usage_unit").alias("_unit"),
         F.col("price_start_time").alias("_from"),
         F.col("price_end_time").alias("_until"),
-        F.col("effective_list_price").cast(_FACTOR).alias("_price"),
+        F.col("effective_list_price").cast(_PRICE).alias("_price"),
     )
     on = (
         (F.col("sku_name") == F.col("_sku"))
@@ -61,7 +61,7 @@ def cost_from_prices(usage: DataFrame, prices: DataFrame, by_month: bool = False
         usage = usage.withColumn("_usage_month", F.trunc("usage_end_time", "month"))
         on = on & (F.col("_usage_month") == F.col("_month"))
         helper += ["_month", "_usage_month"]
-    cost = F.col("usage_quantity").cast(_FACTOR) * F.col("_price")
+    cost = F.col("usage_quantity").cast(_QUANTITY) * F.col("_price")
     return usage.join(p, on, "inner").withColumn("cost", cost).drop(*helper)
 
 

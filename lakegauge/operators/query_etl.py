@@ -218,8 +218,8 @@ def _non_empty(parts: Column) -> Column:
     return F.filter(parts, lambda p: p.isNotNull() & (p != ""))
 
 
-def project_keywords(tables: Column, tags: Column, params: Column, cap: int = 30) -> Column:
-    """Lower-case tokens of catalogs and schemas, tag values and parameter names; sorted, at most ``cap``."""
+def project_keywords(tables: Column, tags: Column, params: Column, cap: int | None = None) -> Column:
+    """Lower-case tokens of catalogs and schemas, tag values and parameter names; sorted, the first ``cap`` if given."""
     names = F.flatten(F.transform(tables, lambda t: F.array(t["catalog"], t["schema"])))
     tokens = F.flatten(F.transform(_non_empty(names), lambda n: F.split(F.lower(n), r"[_\-.\s]+")))
     long_tokens = F.filter(
@@ -227,7 +227,8 @@ def project_keywords(tables: Column, tags: Column, params: Column, cap: int = 30
     )
     values = _non_empty(F.transform(tags, lambda t: F.lower(t["tag_value"])))
     stop = F.split(F.lit(",".join(KEYWORD_STOPLIST)), ",")
-    return F.slice(F.array_sort(F.array_except(F.concat(long_tokens, values), stop)), 1, cap)
+    words = F.array_sort(F.array_except(F.concat(long_tokens, values), stop))
+    return words if cap is None else F.slice(words, 1, cap)
 
 
 def touched(tables: Column, field: str, cap: int | None = None) -> Column:
@@ -260,8 +261,8 @@ def text_analysis(df: DataFrame, text: str = "statement_text") -> DataFrame:
     ).drop("_kw", "_clean")
 
 
-def analyse(history: DataFrame) -> DataFrame:
-    """Everything derived from one history row, child rows still nested in arrays."""
+def analyse(history: DataFrame, keywords_cap: int | None = None, tables_cap: int | None = None) -> DataFrame:
+    """Everything derived from one history row, child rows still nested in arrays. The caps cut the two lists if given."""
     df = text_analysis(qi_flatten(history))
     df = df.withColumns(
         {**metric_columns(), **time_columns(), **identity_columns(), **error_columns(), **text_columns()}
@@ -269,10 +270,10 @@ def analyse(history: DataFrame) -> DataFrame:
     tables = F.col("_tables")
     return df.withColumns(
         {
-            "project_keywords": project_keywords(tables, F.col("_tags"), F.col("_params")),
+            "project_keywords": project_keywords(tables, F.col("_tags"), F.col("_params"), keywords_cap),
             "catalogs_touched": touched(tables, "catalog"),
             "schemas_touched": touched(tables, "schema"),
-            "tables_touched": touched(tables, "fully_qualified", 50),
+            "tables_touched": touched(tables, "fully_qualified", tables_cap),
         }
     )
 

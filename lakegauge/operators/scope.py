@@ -153,12 +153,12 @@ def scoped_views(
     return out
 
 
-def policy_dimension_values(usage: DataFrame, clusters: DataFrame, limit: int = 500) -> DataFrame:
-    """Distinct values offered for each policy dimension, sorted, at most ``limit`` per dimension."""
+def policy_dimension_values(usage: DataFrame, clusters: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct values offered for each policy dimension, sorted; with ``limit`` only the first of each dimension."""
 
     def values(df: DataFrame, dimension: str, column: str) -> DataFrame:
         distinct = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct()
-        head = distinct.orderBy("value").limit(limit)
+        head = distinct if limit is None else distinct.orderBy("value").limit(limit)
         return head.select(F.lit(dimension).alias("dimension"), "value")
 
     return (

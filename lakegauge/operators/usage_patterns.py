@@ -208,7 +208,7 @@ def warehouse_sizing(s: DataFrame, busy_wait_ms: float = 100.0, idle_wait_ms: fl
 
 
 def ai_adoption(assistant: DataFrame, s: DataFrame) -> DataFrame:
-    """Assistant users against query users per month."""
+    """Assistant users against query users per month that has either."""
 
     def users(df: DataFrame, who: str, when: str, name: str) -> DataFrame:
         pairs = df.filter(F.col(who).isNotNull()).select(F.date_format(when, "yyyy-MM").alias("month"), F.col(who).alias("u"))
@@ -216,7 +216,10 @@ def ai_adoption(assistant: DataFrame, s: DataFrame) -> DataFrame:
 
     a = users(assistant, "initiated_by", "event_date", "assistant_users")
     q = users(s, "executed_by", "start_date", "query_users")
-    joined = q.join(a, "month", "left").withColumn("assistant_users", F.coalesce("assistant_users", F.lit(0).cast("bigint")))
+    none = F.lit(0).cast("bigint")
+    joined = q.join(a, "month", "full").select(
+        "month", F.coalesce("query_users", none).alias("query_users"), F.coalesce("assistant_users", none).alias("assistant_users")
+    )
     return joined.withColumn("adoption", ratio(F.col("assistant_users"), F.col("query_users"))).orderBy("month")
 
 

@@ -62,7 +62,7 @@ def qi_build(spark: SparkSession, history: DataFrame, root: str, origin: str = "
         fs, path = files._fs(spark, stage)
         fs.delete(path, True)
     except Exception as error:
-        status, problem = "failed", str(error)[:2000]
+        status, problem = "failed", str(error)
         raise
     finally:
         ended = datetime.now(timezone.utc).replace(tzinfo=None)

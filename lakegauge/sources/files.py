@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakegauge.operators.scope import clamp_origin
+
 DEMO_PREFIX = "demo_"
 
 
@@ -65,19 +67,22 @@ def snapshot_history(spark: SparkSession, root: str, table: str, prefix: str = "
     return spark.read.parquet(*paths).withColumn("snapshot_date", F.to_date(day))
 
 
-def safe_stem(text: str | None, default: str = "chatbot-result") -> str:
-    """File-name stem of lower-case words joined by dashes, at most 80 characters."""
-    stem = re.sub(r"[^a-z0-9]+", "-", (text or default).lower()).strip("-")[:80]
+def safe_stem(text: str | None, default: str = "chatbot-result", longest: int | None = None) -> str:
+    """File-name stem of lower-case words joined by dashes, cut to ``longest`` characters if that is given."""
+    stem = re.sub(r"[^a-z0-9]+", "-", (text or default).lower()).strip("-")[:longest]
     return stem or default
 
 
-def write_csv(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
-    """Result export as one CSV file with byte order mark, header and CRLF line ends; ``max_rows`` is the export limit.
+def write_csv(df: DataFrame, path: str, max_rows: int | None = None) -> None:
+    """Result export as CSV with byte order mark, header and CRLF line ends.
 
-    The limit already brings the rows into one partition. The mark is written as part of the first header name.
+    With ``max_rows`` the first rows go into one file (the limit already brings them into one partition); without it
+    all rows are written, one file for each partition. The mark is written as part of the first header name.
     """
-    marked = df.limit(max_rows).withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
-    marked.coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option(
+    marked = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    if max_rows is not None:
+        marked = marked.limit(max_rows).coalesce(1)
+    marked.write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option(
         "emptyValue", ""
     ).csv(path)
 
@@ -156,7 +161,7 @@ def jdbc_source(
 
     Pass ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` to read a large table in parallel.
     """
-    where = [] if origin is None else [f"data_origin = '{origin}'"]
+    where = [] if origin is None else [f"data_origin = '{clamp_origin(origin)}'"]
     if origin is not None and has_tombstone:
         where.append("deleted_at IS NULL")
     condition = f" WHERE {' AND '.join(where)}" if where else ""

@@ -276,4 +276,4 @@ def test_ingest_timestamps(spark):
 
 @pytest.mark.parametrize("text, expected", [("My Report (v2)!", "my-report-v2"), (None, "chatbot-result"), ("***", "chatbot-result"), ("x" * 90, "x" * 80)])
 def test_file_stem(text, expected):
-    assert files.safe_stem(text) == expected
+    assert files.safe_stem(text, longest=80) == expected

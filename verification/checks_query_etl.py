@@ -76,7 +76,7 @@ def sorted_text(column, cut=""):
 
 @check(
     "qi_touched_arrays",
-    f"""SELECT statement_id, {sorted_text('catalog')} catalogs_touched, {sorted_text('schema')} schemas_touched, {sorted_text('fully_qualified', '[1:50]')} tables_touched
+    f"""SELECT statement_id, {sorted_text('catalog')} catalogs_touched, {sorted_text('schema')} schemas_touched, {sorted_text('fully_qualified')} tables_touched
     FROM qi_statements LEFT JOIN qi_statement_tables USING (statement_id) GROUP BY 1""",
 )
 def _(t):

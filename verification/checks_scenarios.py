@@ -135,8 +135,8 @@ check("cacheable_repeats", """SELECT statement_text_sha1, count(*) AS repeats, c
  WHERE rn > 1 AND NOT coalesce(from_result_cache, FALSE) GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 20""")(lambda t: up.cacheable_repeats(t.qs))
 check("warehouse_sizing", """SELECT *, CASE WHEN avg_wait_ms >= 190 OR spilled_bytes >= 700000 THEN 'under' WHEN avg_wait_ms < 180 THEN 'over' ELSE 'fit' END AS sizing FROM (SELECT warehouse_id, count(*) AS statements, avg(coalesce(waiting_at_capacity_duration_ms, 0)) AS avg_wait_ms,
  coalesce(sum(spilled_local_bytes), 0)::BIGINT AS spilled_bytes, coalesce(sum(total_duration_ms), 0)::BIGINT AS total_ms FROM qi_statements WHERE warehouse_id IS NOT NULL GROUP BY 1)""", num=("avg_wait_ms",))(lambda t: up.warehouse_sizing(t.qs, 190, 180, 700000))
-check("ai_adoption", """SELECT *, assistant_users::DOUBLE / query_users AS adoption FROM (SELECT q.month, q.n AS query_users, coalesce(a.n, 0) AS assistant_users FROM (SELECT strftime(start_date, '%Y-%m') AS month, count(DISTINCT executed_by) AS n FROM qi_statements WHERE executed_by IS NOT NULL GROUP BY 1) q
- LEFT JOIN (SELECT strftime(event_date, '%Y-%m') AS month, count(DISTINCT initiated_by) AS n FROM aa WHERE initiated_by IS NOT NULL GROUP BY 1) a ON q.month = a.month)""", num=("adoption",))(lambda t: up.ai_adoption(t.aa, t.qs))
+check("ai_adoption", """SELECT *, assistant_users::DOUBLE / nullif(query_users, 0) AS adoption FROM (SELECT month, coalesce(q.n, 0) AS query_users, coalesce(a.n, 0) AS assistant_users FROM (SELECT strftime(start_date, '%Y-%m') AS month, count(DISTINCT executed_by) AS n FROM qi_statements WHERE executed_by IS NOT NULL GROUP BY 1) q
+ FULL JOIN (SELECT strftime(event_date, '%Y-%m') AS month, count(DISTINCT initiated_by) AS n FROM aa WHERE initiated_by IS NOT NULL GROUP BY 1) a USING (month))""", num=("adoption",))(lambda t: up.ai_adoption(t.aa, t.qs))
 check("user_timeline", """SELECT event_time AS at, 'audit' AS kind, event_id AS id, concat_ws(':', service_name, action_name) AS what, CAST(response_status_code AS VARCHAR) AS outcome FROM au WHERE user_identity_email = 'user12@acme.example' AND event_time BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'
  UNION ALL SELECT start_time, 'query', statement_id, statement_type, execution_status FROM qi_statements WHERE executed_by = 'user12@acme.example' AND start_time BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'""")(
     lambda t: up.user_timeline(t.au, t.qs, "user12@acme.example", datetime(2024, 1, 5), datetime(2024, 1, 20))

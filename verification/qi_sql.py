@@ -153,7 +153,7 @@ QI_PARAMETERS = """SELECT statement_id, data_origin, 'p_region' AS param_name, p
  FROM qi_base WHERE param_region IS NOT NULL"""
 
 _STOP = lst(Q.KEYWORD_STOPLIST)
-QI_KEYWORDS = f"""SELECT statement_id, list_sort(list_distinct(list(w)))[1:30] AS project_keywords FROM (
+QI_KEYWORDS = f"""SELECT statement_id, list_sort(list_distinct(list(w))) AS project_keywords FROM (
   SELECT statement_id, unnest(regexp_split_to_array(lower(n), '[_\\-.\\s]+')) AS w, TRUE AS long FROM (SELECT statement_id, catalog AS n FROM qi_statement_tables UNION ALL SELECT statement_id, schema FROM qi_statement_tables) WHERE n IS NOT NULL
   UNION ALL SELECT statement_id, lower(tag_value), FALSE FROM qi_statement_tags UNION ALL SELECT statement_id, lower(param_name), TRUE FROM qi_statement_parameters)
  WHERE (length(w) > 2 OR NOT long) AND w <> '' AND NOT list_contains({_STOP}, w) GROUP BY 1"""
