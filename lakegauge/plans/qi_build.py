@@ -2,11 +2,12 @@
 
 The wide frame is computed once and written to a staging folder next to the tables. The six tables are then read from
 it with column pruning, so texts are analysed once and not six times, nothing has to fit in memory, and a lost executor
-only costs its own tasks.
+only costs its own tasks. All six are written before any is published, and they are published together.
 """
 
 from __future__ import annotations
 
+import logging
 import uuid
 from datetime import datetime, timezone
 
@@ -46,33 +47,40 @@ def qi_build(spark: SparkSession, history: DataFrame, root: str, origin: str = "
     started = datetime.now(timezone.utc).replace(tzinfo=None)
     seen = Observation(f"history-{run_id}")
     status, problem, statements, bad = "success", None, 0, 0
+    stage = f"{root}/_stage-{run_id}"
     try:
         flat = query_etl.analyse(history.drop("data_origin"))
         keyed = F.col("statement_id").isNotNull()
         watched = flat.observe(
             seen, F.count(F.lit(1)).alias("rows"), F.sum(F.when(keyed, 0).otherwise(1)).alias("bad")
         ).filter(keyed)
-        stage = f"{root}/_stage-{run_id}"
         watched.write.parquet(stage)
         bad = seen.get["bad"] or 0
         statements = seen.get["rows"] - bad
         staged = spark.read.schema(watched.schema).parquet(stage).withColumn("data_origin", F.lit(origin))
-        for name, table in build_tables(staged).items():
-            files.replace_partition(table, f"{root}/{name}", origin)
-        fs, path = files._fs(spark, stage)
-        fs.delete(path, True)
+        moves = {files.partition_path(f"{root}/{name}", origin): files.staged_partition(table, f"{root}/{name}") for name, table in build_tables(staged).items()}
+        files.publish(spark, root, moves)
+        spark.catalog.refreshByPath(root)
     except Exception as error:
         status, problem = "failed", str(error)
         raise
     finally:
+        fs, path = files._fs(spark, stage)
+        fs.delete(path, True)
         ended = datetime.now(timezone.utc).replace(tzinfo=None)
         row = (run_id, origin, source, started, ended, status, statements, bad, problem)
         run = spark.createDataFrame([row], RUN_SCHEMA)
-        run.write.mode("append").parquet(f"{root}/qi_extract_runs")
+        try:
+            run.write.mode("append").parquet(f"{root}/qi_extract_runs")
+        except Exception:
+            if status == "success":
+                raise
+            logging.getLogger(__name__).exception("the run row of a failed build could not be written")
     return run
 
 
 def read_qi(spark: SparkSession, root: str, name: str, origin: str | None = "real") -> DataFrame:
     """One built table, scoped to an origin by partition."""
+    files.recover(spark, root)
     df = files.read_table(spark, f"{root}/{name}")
     return df if origin is None else df.filter(F.col("data_origin") == origin)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.observation import Observation
 
 from lakegauge.operators.scope import clamp_origin
 
@@ -91,20 +93,76 @@ def partition_path(root: str, origin: str) -> str:
     return f"{root}/data_origin={origin}"
 
 
+def _moved(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"could not move {source} to {target}")
+
+
+def _beside(target: str) -> str:
+    """Where the old rows of a folder wait while new ones are moved in; readers skip names with an underscore."""
+    parent, _, name = target.rpartition("/")
+    return f"{parent}/_old-{name}"
+
+
+def _put_back(spark: SparkSession, targets: Sequence[str]) -> None:
+    for target in targets:
+        fs, path = _fs(spark, target)
+        _, old = _fs(spark, _beside(target))
+        if fs.exists(old):
+            fs.delete(path, True)
+            _moved(fs, old, path)
+
+
+def recover(spark: SparkSession, root: str) -> None:
+    """Undo a publication below ``root`` that was cut off: every folder it names gets its old rows back."""
+    fs, journal = _fs(spark, f"{root}/_publishing")
+    if fs.exists(journal):
+        _put_back(spark, spark.read.text(f"{root}/_publishing").toPandas()["value"].tolist())
+        fs.delete(journal, True)
+
+
+def publish(spark: SparkSession, root: str, moves: Mapping[str, str]) -> None:
+    """Put written folders (values) in the place of live ones (keys), all or none.
+
+    A journal below ``root`` names the live folders, old rows are moved beside them, new ones in. Deleting the journal is the
+    commit. If a step fails, or the job dies and ``recover`` (or the next publication) finds the journal, all old rows come back.
+    """
+    recover(spark, root)
+    spark.createDataFrame([(t,) for t in moves], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_publishing")
+    _, journal = _fs(spark, f"{root}/_publishing")
+    try:
+        for target, staged in moves.items():
+            fs, path = _fs(spark, target)
+            _, old = _fs(spark, _beside(target))
+            _, new = _fs(spark, staged)
+            fs.delete(old, True)
+            if fs.exists(path):
+                _moved(fs, path, old)
+            fs.mkdirs(path.getParent())
+            _moved(fs, new, path)
+    except BaseException:
+        recover(spark, root)
+        raise
+    fs.delete(journal, True)
+    for target in moves:
+        fs.delete(_fs(spark, _beside(target))[1], True)
+
+
+def staged_partition(df: DataFrame, root: str) -> str:
+    """Write the rows of one origin next to their table and return where."""
+    staged = f"{root}/_staged-{uuid.uuid4().hex}"
+    (df.drop("data_origin") if "data_origin" in df.columns else df).write.parquet(staged)
+    return staged
+
+
 def replace_partition(df: DataFrame, root: str, origin: str) -> None:
     """Replace the rows of one origin and leave the other origin alone.
 
-    The new rows are written next to the table first and then swapped in, so the frame may read the partition it
-    replaces, a failed write leaves the old rows in place, and an empty frame empties the partition.
+    The new rows are written next to the table first and then published, so the frame may read the partition it
+    replaces, a failed write or swap leaves the old rows in place, and an empty frame empties the partition.
     """
     spark = df.sparkSession
-    staged = f"{root}/_staged-{uuid.uuid4().hex}"
-    (df.drop("data_origin") if "data_origin" in df.columns else df).write.parquet(staged)
-    fs, target = _fs(spark, partition_path(root, origin))
-    _, source = _fs(spark, staged)
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(source, target)
+    publish(spark, root, {partition_path(root, origin): staged_partition(df, root)})
     spark.catalog.refreshByPath(root)
 
 
@@ -129,6 +187,7 @@ def has_rows_for(spark: SparkSession, root: str, origin: str) -> bool:
 
 def read_table(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
     """A table written partition by partition; ``data_origin`` comes from the folder names."""
+    recover(spark, root)
     reader = spark.read.option("basePath", root)
     if schema is not None:
         reader = reader.schema(T.StructType([*schema.fields, T.StructField("data_origin", T.StringType())]))
@@ -136,14 +195,16 @@ def read_table(spark: SparkSession, root: str, schema: T.StructType | None = Non
 
 
 def materialise_tables(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet") -> DataFrame:
-    """Copy tables into managed-by-path tables of the same name and count each; -1 where a copy failed."""
+    """Copy tables into managed-by-path tables of the same name and count each as it is written; -1 where a copy failed (the error is logged)."""
     counts = []
     for name, df in tables.items():
+        seen = Observation()
         try:
-            path = f"{root}/{name}"
-            df.write.mode("overwrite").format(fmt).option("path", path).saveAsTable(name)
-            counts.append((name, spark.table(name).count()))
+            watched = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+            watched.write.mode("overwrite").format(fmt).option("path", f"{root}/{name}").saveAsTable(name)
+            counts.append((name, seen.get["rows"]))
         except Exception:  # one unreadable table must not stop the others
+            logging.getLogger(__name__).exception("copying %s failed", name)
             counts.append((name, -1))
     return spark.createDataFrame(counts, "table_name string, rows bigint")
 
