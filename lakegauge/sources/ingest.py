@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lakegauge.functions.checkpoints import cut
 from lakegauge.functions.common import conform
 from lakegauge.operators.scope import ORIGINS
 from lakegauge.schemas import CURSOR_COLUMNS, DEDUP_KEYS, LOAD_ORDER, SCHEMAS, struct
@@ -50,10 +51,20 @@ def backfill_stubs(workspaces: DataFrame, usage: DataFrame) -> DataFrame:
 
 
 def rows_after(df: DataFrame, time_column: str, cursor: datetime | None) -> DataFrame:
-    """Rows strictly newer than the cursor; without a cursor, everything."""
+    """Rows strictly newer than the cursor and rows without a time; without a cursor, everything."""
     if cursor is None or time_column not in df.columns:
         return df
-    return df.filter(F.col(time_column) > F.lit(cursor).cast("timestamp_ntz"))
+    return df.filter((F.col(time_column) > F.lit(cursor).cast("timestamp_ntz")) | F.col(time_column).isNull())
+
+
+def rows_not_in(new: DataFrame, existing: DataFrame) -> DataFrame:
+    """New rows that no existing row equals in all columns, NULLs alike. Repeats inside the new batch are kept."""
+    columns = [c for c in new.columns if c in existing.columns]
+
+    def row(df: DataFrame) -> Column:
+        return F.sha2(F.to_json(F.struct(*[df[c] for c in columns]), {"ignoreNullFields": "false"}), 256)
+
+    return new.withColumn("_row", row(new)).join(existing.select(row(existing).alias("_row")).distinct(), "_row", "left_anti").drop("_row")
 
 
 def next_cursor(rows: DataFrame, table: str, origin: str) -> DataFrame:
@@ -115,14 +126,13 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 def profile_columns(df: DataFrame, table: str, samples: int = 5) -> DataFrame:
     """Type and first distinct values (in text order) of every column.
 
-    Values are made distinct across the cluster before the few smallest of each column are kept, so no task holds all
-    values of a column.
+    Each task keeps the few smallest values of a column before the shuffle (window group limit); only these are made distinct.
     """
     typed = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v")) for c in typed])
-    values = df.select(F.inline(pairs)).filter(F.col("v").isNotNull()).distinct()
-    rank = F.row_number().over(Window.partitionBy("column_name").orderBy("v"))
-    head = values.withColumn("_rn", rank).filter(F.col("_rn") <= samples)
+    values = df.select(F.inline(pairs)).filter(F.col("v").isNotNull())
+    rank = F.dense_rank().over(Window.partitionBy("column_name").orderBy("v"))
+    head = values.withColumn("_rn", rank).filter(F.col("_rn") <= samples).drop("_rn").distinct()
     packed = head.groupBy("column_name").agg(F.array_sort(F.collect_list("v")).alias("sample_values"))
     names = df.sparkSession.createDataFrame([(table, c, k) for c, k in typed.items()], "table_name string, column_name string, data_type string")
     return names.join(packed, "column_name", "left").select(
@@ -257,7 +267,12 @@ def read_cursors(spark: SparkSession, root: str) -> DataFrame:
 
 
 def incremental_load(spark: SparkSession, frames: Mapping[str, DataFrame], root: str, origin: str = "real") -> DataFrame:
-    """Append what is newer than each table's cursor and advance the cursors; returns the cursor rows of this run."""
+    """Append what is newer than each table's cursor and advance the cursors; returns the cursor rows of this run.
+
+    The new rows are taken once, as a written snapshot. Rows that the table already holds are left out, so a run that died after
+    its rows and before its cursor does not load them twice, and rows without a time load once. A row sent again under a
+    known key with a newer time does not replace the loaded one, as in every append.
+    """
     known = {
         r["table_name"]: r["max_update_time"]
         for r in read_cursors(spark, root).filter(F.col("data_origin") == origin).collect()
@@ -266,9 +281,13 @@ def incremental_load(spark: SparkSession, frames: Mapping[str, DataFrame], root:
     for table, (time_column, _) in CURSOR_COLUMNS.items():
         if table not in frames:
             continue
-        new = rows_after(frames[table], time_column, known.get(table))
-        if time_column not in new.columns:
+        if time_column not in frames[table].columns:
             continue
+        new = conform(rows_after(frames[table], time_column, known.get(table)), struct(table))
+        if files.has_rows_for(spark, f"{root}/{table}", origin):
+            loaded = files.read_table(spark, f"{root}/{table}").filter(F.col("data_origin") == origin)
+            new = rows_not_in(new, loaded.drop("data_origin"))
+        new = cut(new)
         # The cursor is taken before the load, from the same rows.
         moved = spark.createDataFrame(next_cursor(new, table, origin).collect(), CURSOR_SCHEMA)
         if new.isEmpty():

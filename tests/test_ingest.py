@@ -91,6 +91,17 @@ def test_incremental_load_is_strictly_after_the_cursor(spark, tmp_path):
     assert files.read_table(spark, f"{root}/jobs").count() == 3
 
 
+def test_incremental_load_after_a_crash_and_without_times(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.createDataFrame([("j1", "a", datetime(2026, 1, 1)), ("j2", "b", None), ("j3", None, None)], "job_id string, name string, change_time timestamp_ntz")
+    ingest.load_table(rows, root, "jobs", "real", replace=False)  # the cursor was never written
+    assert ingest.incremental_load(spark, {"jobs": rows}, root).count() == 0
+    more = rows.unionByName(spark.createDataFrame([("j4", "d", None), ("j5", "e", datetime(2026, 1, 5))], rows.schema))
+    ingest.incremental_load(spark, {"jobs": more}, root)
+    ingest.incremental_load(spark, {"jobs": more}, root)
+    assert sorted(r.job_id for r in files.read_table(spark, f"{root}/jobs").collect()) == ["j1", "j2", "j3", "j4", "j5"]
+
+
 def test_csv_export(spark, tmp_path):
     path = str(tmp_path / "out")
     files.write_csv(spark.createDataFrame([(1, "ä,b"), (2, None), (3, "c")], "n int, t string"), path, max_rows=2)
