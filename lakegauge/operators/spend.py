@@ -101,7 +101,8 @@ def query_cost_allocation(spend: DataFrame, statements: DataFrame) -> DataFrame:
 
     ``spend`` has (compute_id, usage_start_time, usage_end_time, cost), ``statements`` has (statement_id, compute_id,
     start_time, end_time). Cost is spread evenly over the hours of its interval and summed per (compute, hour); each
-    statement takes the part of that sum which its running time is of all running time there. Both sides are linear in
+    statement takes the part of that sum which its running time is of all running time there. What was billed for hours
+    in which nothing ran is one row without a statement, so the rows add up to the billed cost. Both sides are linear in
     their rows: billing rows and statements are never paired.
     """
     billed = (
@@ -123,12 +124,14 @@ def query_cost_allocation(spend: DataFrame, statements: DataFrame) -> DataFrame:
     busy = _seconds(F.least("end_time", "_next")) - _seconds(F.greatest("start_time", "_hour"))
     weighted = ran.select("statement_id", "compute_id", "_hour", F.greatest(busy, F.lit(0.001)).alias("_w"))
     totals = weighted.groupBy("compute_id", "_hour").agg(F.sum("_w").alias("_all"))
-    rates = hourly.join(totals, ["compute_id", "_hour"]).select("compute_id", "_hour", (F.col("_cost") / F.col("_all")).alias("_rate"))
-    return (
-        weighted.join(rates, ["compute_id", "_hour"])
+    rates = hourly.join(totals, ["compute_id", "_hour"], "left").withColumn("_rate", F.col("_cost") / F.col("_all"))
+    shared = (
+        weighted.join(rates.select("compute_id", "_hour", "_rate"), ["compute_id", "_hour"])
         .groupBy("statement_id")
         .agg(F.sum(F.col("_w") * F.col("_rate")).alias("cost"))
     )
+    idle = rates.filter(F.col("_all").isNull()).agg(F.sum("_cost").alias("cost")).filter(F.col("cost").isNotNull())
+    return shared.unionByName(idle.withColumn("statement_id", F.lit(None).cast(shared.schema["statement_id"].dataType)))
 
 
 def tag_spend(allocated: DataFrame, tags: DataFrame) -> DataFrame:
@@ -143,6 +146,7 @@ def tag_spend(allocated: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def untagged_share(allocated: DataFrame, tags: DataFrame) -> DataFrame:
+    """Cost without a tag; what no statement used counts as untagged."""
     tagged = tags.select("statement_id", F.lit(1).alias("_tagged")).distinct()
     sums = allocated.join(tagged, "statement_id", "left").agg(
         F.sum("cost").alias("total_cost"),

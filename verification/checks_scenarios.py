@@ -21,8 +21,9 @@ fixtures.CTES["allocated"] = f"""WITH hourly AS (SELECT compute_id, h, sum(CAST(
   FROM {_segments('compute_spend', 'compute_id', 'usage_start_time', 'usage_end_time')} GROUP BY 1, 2),
  w AS (SELECT statement_id, warehouse_id AS compute_id, h, greatest(epoch(least(end_time, h + INTERVAL 1 HOUR)) - epoch(greatest(start_time, h)), 0.001) AS w
   FROM {_segments('qi_statements', 'warehouse_id', 'start_time', 'end_time')} WHERE warehouse_id IS NOT NULL),
- r AS (SELECT hourly.compute_id, hourly.h, c / (SELECT sum(w) FROM w WHERE w.compute_id = hourly.compute_id AND w.h = hourly.h) AS rate FROM hourly)
- SELECT statement_id, sum(w.w * r.rate) AS cost FROM w JOIN r ON w.compute_id = r.compute_id AND w.h = r.h WHERE r.rate IS NOT NULL GROUP BY 1"""
+ r AS (SELECT hourly.compute_id, hourly.h, c, c / (SELECT sum(w) FROM w WHERE w.compute_id = hourly.compute_id AND w.h = hourly.h) AS rate FROM hourly)
+ SELECT statement_id, sum(w.w * r.rate) AS cost FROM w JOIN r ON w.compute_id = r.compute_id AND w.h = r.h WHERE r.rate IS NOT NULL GROUP BY 1
+ UNION ALL SELECT NULL, sum(c) FROM r WHERE rate IS NULL HAVING sum(c) IS NOT NULL"""
 
 # ---- spend ----
 check("cumulative_share", "SELECT label, total_cost, CAST(sum(total_cost) OVER (ORDER BY total_cost DESC, label NULLS LAST) AS DOUBLE) / CAST(sum(total_cost) OVER () AS DOUBLE) AS cum_share FROM (SELECT run_as AS label, sum(cost) AS total_cost FROM bu GROUP BY 1)", num=("total_cost", "cum_share"))(
@@ -45,7 +46,7 @@ check("phantom_workspaces", "SELECT workspace_id, sum(cost) AS cost FROM bu WHER
 )
 check("query_cost_allocation", "SELECT * FROM allocated", num=("cost",), digits=2)(lambda t: t.allocated)
 check("tag_spend", "SELECT tag_key, tag_value, sum(cost) AS total_cost, count(DISTINCT statement_id) AS statements FROM qi_statement_tags JOIN allocated USING (statement_id) GROUP BY 1, 2", num=("total_cost",), digits=2)(lambda t: spend.tag_spend(t.allocated, t.qg))
-check("untagged_share", "SELECT *, untagged_cost * 100 / total_cost AS untagged_pct FROM (SELECT sum(cost) AS total_cost, sum(CASE WHEN statement_id NOT IN (SELECT statement_id FROM qi_statement_tags) THEN cost ELSE 0 END) AS untagged_cost FROM allocated)", num=("total_cost", "untagged_cost", "untagged_pct"), digits=2)(
+check("untagged_share", "SELECT *, untagged_cost * 100 / total_cost AS untagged_pct FROM (SELECT sum(cost) AS total_cost, sum(CASE WHEN statement_id IS NULL OR statement_id NOT IN (SELECT statement_id FROM qi_statement_tags) THEN cost ELSE 0 END) AS untagged_cost FROM allocated)", num=("total_cost", "untagged_cost", "untagged_pct"), digits=2)(
     lambda t: spend.untagged_share(t.allocated, t.qg)
 )
 check("project_review", """SELECT count(*) AS statement_count, count(DISTINCT executed_by) AS distinct_users, coalesce(sum(cost), 0) AS total_cost, avg(CASE WHEN execution_status = 'FAILED' THEN 1.0 ELSE 0 END) AS failure_rate
