@@ -100,7 +100,7 @@ def usage_summary(priced: DataFrame, grain: str = "day", start: date | None = No
 
 
 def top_labels(priced: DataFrame, column: str, limit: int) -> DataFrame:
-    """The ``limit`` costliest values of a column, NULL included. Bounded, hence safe to broadcast."""
+    """The ``limit`` costliest values of a column, NULL included."""
     totals = priced.groupBy(column).agg(total("cost").alias("total_cost"))
     return top(totals, by_cost(column), limit)
 
@@ -110,7 +110,7 @@ def usage_summary_by_sku(
 ) -> DataFrame:
     """Period totals of the costliest SKUs, long form."""
     df = date_range(priced, "usage_date", start, end)
-    winners = F.broadcast(top_labels(df, "sku_name", top_skus).select("sku_name"))
+    winners = top_labels(df, "sku_name", top_skus).select("sku_name")
     return _by_period(df.join(winners, "sku_name", "left_semi"), grain, "sku_name")
 
 
@@ -221,8 +221,8 @@ def sku_user_matrix(
     """Cells of the costliest SKUs and users with a positive cost."""
     df = date_range(priced, "usage_date", start, end).filter(F.col("run_as").isNotNull())
     cells = df.groupBy("sku_name", "run_as").agg(*usage_and_cost())
-    skus = F.broadcast(top_labels(df, "sku_name", top_skus).select("sku_name"))
-    users = F.broadcast(top_labels(df, "run_as", top_users).select("run_as"))
+    skus = top_labels(df, "sku_name", top_skus).select("sku_name")
+    users = top_labels(df, "run_as", top_users).select("run_as")
     return (
         cells.join(skus, "sku_name", "left_semi")
         .join(users, "run_as", "left_semi")
@@ -246,7 +246,7 @@ def share_of_total(labelled: DataFrame, keep: int = 9) -> DataFrame:
     """
     whole = labelled.agg(F.sum("total_cost")).scalar()
     head = top(labelled, by_cost("label"), keep).select("label", F.lit(True).alias("_kept"))
-    folded = labelled.join(F.broadcast(head), "label", "left").groupBy(
+    folded = labelled.join(head, "label", "left").groupBy(
         F.when(F.col("_kept"), F.col("label")).otherwise(F.lit("Other")).alias("label")
     )
     sums = folded.agg(F.sum("total_cost").alias("total_cost"))

@@ -78,7 +78,7 @@ def sparkline(priced: DataFrame, key: str, start: date, end: date, buckets: int
 def sku_leaderboard(priced: DataFrame, start: date, end: date, limit: int = 15, buckets: int = 30) -> DataFrame:
     df = date_range(priced, "usage_date", start, end)
     totals = df.groupBy("sku_name").agg(*usage_and_cost(), F.countDistinct("workspace_id").alias("workspace_count"))
-    head = F.broadcast(top(totals, by_cost("sku_name"), limit))
+    head = top(totals, by_cost("sku_name"), limit)
     kept = df.join(head.select("sku_name"), "sku_name", "left_semi")
     per_origin = kept.groupBy("sku_name", "billing_origin_product").agg(total("cost").alias("_c"))
     # Equal costs resolve to the first origin by name.
@@ -161,7 +161,7 @@ def pivot_topn(
 
     def head(name: str, limit: int, source: DataFrame) -> DataFrame:
         sums = source.groupBy(name).agg(F.sum("total_cost").alias("total_cost"))
-        return F.broadcast(top(sums, by_cost(name), limit).select(name).filter(F.col(name).isNotNull()))
+        return top(sums, by_cost(name), limit).select(name).filter(F.col(name).isNotNull())
 
     columns = cells.filter(F.col("col").isNotNull()) if skip_null_col else cells
     return cells.join(head("row", top_rows, cells), "row", "left_semi").join(
@@ -255,7 +255,7 @@ def cost_trend_stacked(
     sums = daily.groupBy("workspace_id").agg(F.sum("total_cost").alias("total_cost"))
     head = top(sums, by_cost("workspace_id"), top_workspaces).filter(F.col("workspace_id").isNotNull())
     labels = head.agg(F.concat(F.collect_list("workspace_id"), F.array(F.lit("other"), F.lit("total")))).scalar()
-    known = daily.join(F.broadcast(head.select("workspace_id", F.col("workspace_id").alias("_kept"))), "workspace_id", "left")
+    known = daily.join(head.select("workspace_id", F.col("workspace_id").alias("_kept")), "workspace_id", "left")
     by_label = known.groupBy("usage_date", F.coalesce("_kept", F.lit("other")).alias("label")).agg(
         F.sum("total_cost").alias("_c")
     )
