@@ -118,6 +118,15 @@ def test_closure_and_cycles(spark):
     assert loops == {f"t{s}": walk(s, edges)[s] for s in range(25) if s in walk(s, edges)}
 
 
+def test_percentiles_scan_and_shuffle_their_input_once(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("CAST(id % 7 AS STRING) AS g", "CASE WHEN id % 11 > 0 THEN id * 13 % 977 END AS v")
+    rows.write.parquet(str(tmp_path / "rows"))
+    found = quantiles.exact_percentiles(spark.read.parquet(str(tmp_path / "rows")), ["g"], "v", {"p50": 0.5, "p95": 0.95})
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and final.count("ReusedExchange") == 1
+
+
 def test_long_chain_and_long_cycle(spark):
     chain = spark.createDataFrame([(f"c{k:02}", f"c{k + 1:02}") for k in range(50)], "source string, target string")
     start = spark.createDataFrame([("c00",)], "root string")
