@@ -9,7 +9,7 @@ A window is ``window`` consecutive words of one document. Three passes over the
 2. *Exact grouping.* Only windows whose anchor is counted at least twice in both rows are grouped, by 96-bit hashes. A task
    first settles what it can (of equal windows only those of the smallest document go on), so a window that a third of all
    rows hold reaches the shuffle once a block, not once a row.
-3. *Removal.* Positions meet their document again; words under a removed window go.
+3. *Removal.* Positions meet their document again, whose text is shuffled compressed; words under a removed window go.
 
 The merged sketch is broadcast. Its bits follow the size of the text up to ``max_cells``; beyond that it lets more windows
 through to the exact pass (which is linear in the text) and loses none.
@@ -203,16 +203,29 @@ def _joined(held):
     return h1, h2, doc, pos, row, np.ascontiguousarray(unique["f0"]), np.ascontiguousarray(unique["f1"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = pa.array([press.compress((t or "").encode()) for t in batch["text"].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["doc_order"], batch["text_key"], packed], ["doc_id", "doc_order", "text_key", "packed"])
+
+
 def _removal_task(window: int):
     def task(batches):
         import hashlib
 
+        import zstandard
+
+        plain = zstandard.ZstdDecompressor()
         for batch in batches:
-            raw, bounds = text_buffer(batch["text"])
+            texts = batch["packed"].to_pylist()
             lists = batch["removed"].to_pylist()
             total, gone, sha, kept_text = [], [], [], []
             for i in range(len(batch)):
-                own = raw[bounds[i] : bounds[i + 1]].tobytes().split()
+                own = plain.decompress(texts[i]).split()
                 keep = own
                 if lists[i]:
                     cover = np.zeros(len(own) + 1, np.int64)
@@ -253,7 +266,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, max_cells: int = 1 << 30,
         .groupBy("doc_order", "text_key")
         .agg(F.collect_list("pos").alias("removed"))
     )
-    joined = base.join(removed, ["doc_order", "text_key"], "left").select("doc_id", "text", "removed")
+    packed = base.select("doc_id", "doc_order", "text_key", "text").mapInArrow(_packed, "doc_id long, doc_order long, text_key int, packed binary")
+    joined = packed.join(removed, ["doc_order", "text_key"], "left").select("doc_id", "packed", "removed")
     out = joined.mapInArrow(_removal_task(window), "doc_id long, kept_text string, n_words long, n_removed long, kept_sha256 string")
     return out if keep_text else out.drop("kept_text")
 
