@@ -1,7 +1,8 @@
 """Repeated lines over the whole corpus, up to one edit, by deletion neighbourhoods. DataFrame functions only.
 
-A line is compared lower-cased and without outer blanks; lines with fewer than ``min_chars`` characters are left alone. Lines are
-ordered by doc_id, then by their place in the text. A line goes if an earlier one equals it or is one inserted, deleted or replaced
+A line is compared lower-cased and without outer blanks. Lines with fewer than ``min_chars`` characters are never near others, since
+short lines are one edit apart by chance; ``exact_chars`` says from which length on their exact repeats go all the same. The query leaves
+them alone, as its SQL twin does; the pipeline's stage compares every line that is not blank. Lines are ordered by doc_id, then by their place in the text. A line goes if an earlier one equals it or is one inserted, deleted or replaced
 character away; all lines are judged on the input, and the earliest of a kind stays.
 
 * Equal lines: the earliest by two 64-bit hashes. From here on each distinct line counts once, so a line that a third of all
@@ -105,20 +106,22 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return near.select(F.col("m1").alias("h1"), F.col("m2").alias("h2")).distinct()
 
 
-def remove_lines(docs: DataFrame, min_chars: int = 20, parts: int = 16) -> DataFrame:
+def remove_lines(docs: DataFrame, min_chars: int = 20, parts: int = 16, exact_chars: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) without repeated lines, as ``row`` (the input row), ``text`` (what is left), ``n_lines``, ``n_counted``
-    (lines that are long enough) and ``n_removed``."""
+    (lines that are long enough) and ``n_removed``. Exact repeats go from ``exact_chars`` characters on (``min_chars`` if null)."""
+    shortest = min_chars if exact_chars is None else min(exact_chars, min_chars)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     text = F.col("text").cast("string")
     keyed = docs.select(F.struct("*").alias("row"), order.alias("doc_order"), F.xxhash64(text).alias("doc_key"), text.alias("text"))
-    lines = _lines(keyed.select("doc_order", "doc_key", "text"), min_chars)
+    lines = _lines(keyed.select("doc_order", "doc_key", "text"), shortest)
+    long_enough = F.length("line") >= min_chars
 
     first = F.min(F.struct("doc_order", "doc_key", "pos")).alias("first")
     halves = _rest_keys(F.col("line"), F.length("line"), 2)
-    distinct = lines.withColumn("keys", halves).groupBy("h1", "h2").agg(first, F.first("keys").alias("keys"))
+    distinct = lines.withColumn("keys", F.when(long_enough, halves)).groupBy("h1", "h2").agg(first, F.first("keys").alias("keys"))
     distinct = staged(distinct, "lines")
     wanted = staged(_with_company(distinct, "keys"), "wanted")
-    few = _picked(lines, wanted).join(wanted, "h1", "left_semi")
+    few = _picked(lines.filter(long_enough), wanted).join(wanted, "h1", "left_semi")
     few = staged(few.groupBy("h1", "h2").agg(first, F.first("line").alias("line")), "few")
     few = few.join(_with_company(few.withColumn("keys", _rest_keys(F.col("line"), F.length("line"), parts)), "keys"), "h1", "left_semi")
     near = near_lines(staged(few, "near"))
@@ -128,7 +131,7 @@ def remove_lines(docs: DataFrame, min_chars: int = 20, parts: int = 16) -> DataF
     all_lines = F.split("text", "\n")
     joined = keyed.join(kept, ["doc_order", "doc_key"], "left").select("row", "text", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
     joined = joined.withColumn("lines", all_lines)
-    short = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.length(_normal(F.col("lines")[i])) < min_chars)
+    short = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.length(_normal(F.col("lines")[i])) < shortest)
     joined = joined.withColumn("short", F.when(F.col("text").isNotNull(), short))
     stay = F.sort_array(F.concat("short", "kept"))
     left = F.array_join(F.transform(stay, lambda i: F.col("lines")[i]), "\n")
@@ -142,6 +145,6 @@ def remove_lines(docs: DataFrame, min_chars: int = 20, parts: int = 16) -> DataF
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     """docs with the lines that stay, n_chars counted anew; a document that had lines to compare and lost them all goes."""
-    found = remove_lines(docs, min_chars).filter("n_counted = 0 or n_removed < n_counted")
+    found = remove_lines(docs, min_chars, exact_chars=1).filter("n_counted = 0 or n_removed < n_counted")
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

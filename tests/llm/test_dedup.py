@@ -135,6 +135,13 @@ def test_lines_stage_keeps_columns_and_drops_copies(corpus, mixed):
     assert line_dedup.without_repeated_lines(corpus([])).collect() == []
 
 
+def test_lines_stage_drops_exact_repeats_of_short_lines(corpus):
+    """Short lines go as exact repeats only; blank ones stay."""
+    rows = [(1, "Home\nthe first page\n\nroses"), (2, " home\r\nthe other page\n\nrose\nROSES"), (3, "Home"), (4, "hone\n\nend")]
+    left = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(corpus(rows)).collect()}
+    assert left == {1: rows[0][1], 2: "the other page\n\nrose", 4: rows[3][1]}
+
+
 def near_brute(rows, width, percent):
     sets = {}
     for i, t, *_ in rows:
