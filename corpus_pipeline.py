@@ -16,7 +16,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has go, and documents that lose all of them."""
+    """Lines that an earlier document has go, and documents that have nothing else."""
     prepare(spark)
     return line_dedup.without_repeated_lines(docs, min_chars=20)
 

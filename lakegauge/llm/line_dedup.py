@@ -144,7 +144,7 @@ def remove_lines(docs: DataFrame, min_chars: int = 20, parts: int = 16, exact_ch
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
-    """docs with the lines that stay, n_chars counted anew; a document that had lines to compare and lost them all goes."""
-    found = remove_lines(docs, min_chars, exact_chars=1).filter("n_counted = 0 or n_removed < n_counted")
+    """docs with the lines that stay, n_chars counted anew; a document that lost lines and has nothing but blank text left goes."""
+    found = remove_lines(docs, min_chars, exact_chars=1).filter((F.col("n_removed") == 0) | (F.length(F.btrim("text", F.lit(" \t\r\n"))) > 0))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

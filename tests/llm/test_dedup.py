@@ -142,6 +142,14 @@ def test_lines_stage_drops_exact_repeats_of_short_lines(corpus):
     assert left == {1: rows[0][1], 2: "the other page\n\nrose", 4: rows[3][1]}
 
 
+def test_lines_stage_keeps_short_lines_of_their_own(corpus):
+    """One repeated long line does not cost a document its other lines."""
+    header = "a header that every page has"
+    rows = [(1, f"{header}\nroses are red"), (2, f"{header}\nviolets are blue\n\nend"), (3, f"{header}\n \n\t"), (4, " \n")]
+    left = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.without_repeated_lines(corpus(rows)).collect()}
+    assert left == {1: (rows[0][1], len(rows[0][1])), 2: ("violets are blue\n\nend", 21), 4: (" \n", 2)}
+
+
 def near_brute(rows, width, percent):
     sets = {}
     for i, t, *_ in rows:
