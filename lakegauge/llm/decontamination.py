@@ -4,10 +4,12 @@ Words are lower-cased runs of letters and digits; shingles are ``width`` of them
 similarity to the item is the weighted Jaccard of their shingles, weighted by how often they occur:
 sum of the smaller weights / sum of the larger ones.
 
-* Windows. Only a window that shares a shingle with an item can be similar to it. So shingles at every ``stride``-th word of the
-  documents are looked up among the items' shingles, and a hit places a window of that item's size where the shingle lies as in
-  the item. The stride is computed from the items: a window at the threshold has so few foreign shingles that some run of shared ones is at
-  least that long, whatever was replaced.
+* Windows. Only a window that shares shingles with an item can be similar to it. So shingles at every ``stride``-th word of the
+  documents are looked up among the items' shingles, which picks the documents. The stride is computed from the items: a window at the
+  threshold has so few foreign shingles that some run of shared ones is at least that long, whatever was replaced or moved. In the picked
+  documents all places of an item's shingles are found. A window counts if it has as many of them as the threshold needs, in any
+  order, and ends with one or lies at the beginning: of all windows of the document, the earliest of the best is among these, since
+  one that ends with a foreign shingle can move back without loss.
 * SimHash. Each of 64 bits of a window is the majority of that bit among its shingles' hashes. Equal windows are one from here on.
 * Multi-index. Fingerprints are cut into ``radius`` + 1 blocks; two of them that differ in at most ``radius`` bits agree in a whole block.
   Windows and items of equal size that agree in a block are compared in full, and none within the radius is missed.
@@ -71,10 +73,25 @@ def blocks_of(fingerprint: Column, blocks: int) -> Column:
 def safe_stride(size: Column, width: int, threshold: float) -> Column:
     """Length of the run of shared shingles that a window of so many words must have to be similar."""
     m = size - width + 1
-    shared = F.ceil(m * (2 * threshold / (1 + threshold)) - 1e-9)
+    shared = needed_shingles(size, width, threshold)
     return F.greatest(F.lit(1), F.ceil(shared / (m - shared + 1))).cast("int")
 
 
+def needed_shingles(size: Column, width: int, threshold: float) -> Column:
+    """Shingles that a window of so many words must share with an item of as many to be similar."""
+    return F.ceil((size - width + 1) * (2 * threshold / (1 + threshold)) - 1e-9).cast("int")
+
+
+def window_starts(places: Column, shingles: Column, needed: Column) -> Column:
+    """Starts of the windows of so many shingles that have ``needed`` of the places (sorted) and end with one or lie at the beginning."""
+    def start(i: Column) -> Column:
+        first = F.get(places, i) - shingles + 1
+        return F.when(F.get(places, i - needed + 1) >= first, F.greatest(first, F.lit(0)))
+
+    ends = F.when(F.size(places) >= needed, F.sequence(needed - 1, F.size(places) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.array_compact(F.transform(ends, start)))
+
+
 def contaminated_windows(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 21) -> DataFrame:
     """doc_key, doc_id, item_id, start, n_words, similarity: the best window of each document for each item it has.
 
@@ -90,14 +107,16 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, width: int = 5,
         return F.broadcast(table) if small else table
 
     base = keyed(docs)
-    places = items.select("n", F.posexplode("item_shingles").alias("offset", "shingle")).distinct()
-    each = base.withColumn("words", words_of(F.col("text")))
-    each = each.select("doc_key", F.size("words").alias("total"), F.posexplode(shingles_of(F.col("words"), width, stride or 1)).alias("nth", "shingle"))
-    hits = each.join(sent(places), "shingle").select("doc_key", "n", "total", (F.col("nth") * (stride or 1) - F.col("offset")).alias("start"))
-    hits = hits.filter("start >= 0 and start + n <= total").select("doc_key", "start", "n").distinct()
-    placed = hits.groupBy("doc_key").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
-
-    texts = base.join(placed, "doc_key").dropDuplicates(["doc_key"]).withColumn("words", words_of(F.col("text")))
+    known = items.select("item_id", "n", F.explode("item_shingles").alias("shingle")).distinct()
+    some = base.withColumn("words", words_of(F.col("text"))).select("doc_key", F.explode(shingles_of(F.col("words"), width, stride or 1)).alias("shingle"))
+    hits = some.join(sent(known.select("shingle").distinct()), "shingle").select("doc_key").distinct()
+    picked = staged(base.join(hits, "doc_key").dropDuplicates(["doc_key"]), "picked").withColumn("words", words_of(F.col("text")))
+    each = picked.select("doc_key", F.size("words").alias("total"), F.posexplode(shingles_of(F.col("words"), width)).alias("place", "shingle"))
+    met = each.join(sent(known), "shingle").filter("n <= total").groupBy("doc_key", "item_id", "n").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    starts = window_starts(F.col("places"), F.col("n") - width + 1, needed_shingles(F.col("n"), width, threshold))
+    placed = met.select("doc_key", "n", F.explode(starts).alias("start")).groupBy("doc_key").agg(F.collect_set(F.struct("start", "n")).alias("windows"))
+
+    texts = picked.join(placed, "doc_key")
     cut = F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n"), F.slice(F.col("words"), w["start"] + 1, w["n"]).alias("own")))
     windows = texts.select("doc_key", "doc_id", F.explode(cut).alias("w")).select("doc_key", "doc_id", "w.*")
     windows = windows.withColumn("content", F.xxhash64("own"))

@@ -156,6 +156,22 @@ def test_leaks_against_brute_force(spark, corpus, prose):
     assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((i for i, *_ in rows if i not in bad), key=str)
 
 
+def test_leaks_clipped_and_reordered(spark, corpus, prose):
+    """Items that lose words at an end of a document, and items whose parts are swapped or moved apart."""
+    items = [(1, " ".join(f"a{k}" for k in range(30))), (2, " ".join(f"b{k}" for k in range(60))), (3, " ".join(f"c{k % 9}" for k in range(40)))]
+    a, b, c = (body.split() for _, body in items)
+    more = prose(1, 30).split()
+    bodies = [
+        a[1:] + more, more + a[:-1], a[2:] + more, more + a[:-2], a[5:] + more, a[1:], b[30:] + b[:30], more + b[30:] + b[:30] + more, b[20:40] + b[:20] + b[40:] + more,
+        b[3:] + more, more + b[:-3], more + c[4:] + more, c[3:] + more, b[:30] + ["x"] * 3 + b[30:], more + a[:-1] + more, more + b[2:] + more,
+    ]
+    rows = [(i, " ".join(x)) for i, x in enumerate(bodies)]
+    got = decontamination.contaminated_windows(corpus(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = leaks_brute(rows, items)
+    assert {(0, 1), (1, 1), (6, 2), (7, 2), (9, 2), (10, 2)} <= set(want)
+    assert {(r.doc_id, r.item_id): (r.start, r.similarity) for r in got} == want
+
+
 def test_leaks_empty_tables(spark, corpus, mixed):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = corpus(mixed)
