@@ -152,7 +152,7 @@ def _candidate_task(window: int, bits: int, sketch):
         gone, place = gone[order], place[order]
         cuts = np.flatnonzero(np.append(True, gone[1:] != gone[:-1])) if len(gone) else np.zeros(0, np.int64)
         first = gone[cuts]
-        yield rows_of(True, ids[first].view(np.uint64), keys[first].view(np.uint32), ids[first], keys[first], place, np.append(cuts, len(gone)))
+        yield rows_of(True, ids[first].view(np.uint64), keys[first].view(np.uint64).astype(np.uint32), ids[first], keys[first], place, np.append(cuts, len(gone)))
 
     def rows_of(settled, h1, h2, ids, keys, pos, cut) -> pa.RecordBatch:
         """Rows with the positions pos[cut[i] : cut[i + 1]], four bytes each."""
@@ -252,12 +252,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, max_cells: int = 1 << 30,
     spark = docs.sparkSession
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_order"),
-        F.hash("text").alias("text_key"), F.col("text").cast("string").alias("text"),
+        F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"),
     )
     rows, bits = repeat_sketch(base, window, max_cells)
     sketch = spark.sparkContext.broadcast(rows)
     found = base.select("doc_order", "text_key", "text").mapInArrow(
-        _candidate_task(window, bits, sketch), "settled boolean, h1 long, h2 int, doc_order long, text_key int, pos binary"
+        _candidate_task(window, bits, sketch), "settled boolean, h1 long, h2 int, doc_order long, text_key long, pos binary"
     )
     same = Window.partitionBy("settled", "h1", "h2")
     removed = (
@@ -266,7 +266,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, max_cells: int = 1 << 30,
         .groupBy("doc_order", "text_key")
         .agg(F.collect_list("pos").alias("removed"))
     )
-    packed = base.select("doc_id", "doc_order", "text_key", "text").mapInArrow(_packed, "doc_id long, doc_order long, text_key int, packed binary")
+    packed = base.select("doc_id", "doc_order", "text_key", "text").mapInArrow(_packed, "doc_id long, doc_order long, text_key long, packed binary")
     joined = packed.join(removed, ["doc_order", "text_key"], "left").select("doc_id", "packed", "removed")
     out = joined.mapInArrow(_removal_task(window), "doc_id long, kept_text string, n_words long, n_removed long, kept_sha256 string")
     return out if keep_text else out.drop("kept_text")

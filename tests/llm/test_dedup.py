@@ -66,6 +66,14 @@ def test_substring_sketch_only_overestimates(corpus, prose):
     assert substring_rows(docs) == substring_brute(rows, 13)
 
 
+def test_substring_rows_without_id_whose_texts_share_a_32_bit_hash(corpus):
+    """Rows without doc_id, and rows of one repeated doc_id, are told apart by all 64 bits of their text's hash."""
+    passage = " ".join(f"p{k}" for k in range(20))
+    a, b = "a6827", "b24415"  # in these two texts F.hash is the same
+    rows = [(1, passage), (None, f"{a} {passage}"), (None, f"{b} " + " ".join(f"u{k}" for k in range(30)))]
+    assert substring_rows(corpus(rows)) == substring_brute(rows, 13)
+
+
 def test_substring_empty_table(corpus):
     assert substring_dedup.remove_repeats(corpus([])).collect() == []
 
