@@ -60,6 +60,17 @@ def test_licenses_against_brute_force(corpus):
     assert {i: sorted(m, key=lambda x: x[2]) for i, m in got.items()} == want
 
 
+def test_licenses_near_pairs(corpus):
+    """Each of the near licences is found by its own name, also with a word changed."""
+    near = ("GPL-2.0", "GPL-3.0", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "MPL-2.0")
+    known = [(name, text) for name, text in license_scan.TEMPLATES if name in near]
+    assert {name for name, _ in known} == set(near)
+    rows = [(k, "Some words before. " + text + " And after.") for k, (_, text) in enumerate(known)]
+    rows += [(100 + k, text.replace("SOFTWARE", "PROGRAM", 1)) for k, (_, text) in enumerate(known)]
+    found = license_scan.scan(corpus(rows)).collect()
+    assert sorted((r.doc_id, r.license) for r in found) == sorted((i, known[i % 100][0]) for i, _ in rows)
+
+
 def test_licenses_awkward_rows(corpus, mixed):
     rows = [*mixed, (50, "x. " + MIT + "\n" + APACHE), (50, MIT), (None, MIT), (51, MIT.split()[0])]
     found = license_scan.scan(corpus(rows)).collect()
