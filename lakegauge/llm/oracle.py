@@ -113,3 +113,48 @@ SELECT doc_id, item_id, start, n::BIGINT AS n_words, common / (2 * (n - 4) - com
 FROM found WHERE common / (2 * (n - 4) - common) >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
+
+MIXING = r"""
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+totals AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    list_extract([3.0, 1.0, 2.0]::DOUBLE[], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS weight
+  FROM sized GROUP BY source
+),
+-- Sources stop in the order of words by weight: with the first k stopped, the others share what is left.
+stops AS (
+  SELECT *, 1.5 * sum(source_size) OVER () AS budget, 2.0 * source_size / weight AS reach,
+    coalesce(sum(2.0 * source_size) OVER (ORDER BY 2.0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
+    sum(weight) OVER (ORDER BY 2.0 * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM totals
+),
+level AS (SELECT arg_min((budget - given) / open, reach) AS level FROM stops WHERE reach >= (budget - given) / open),
+targets AS (SELECT source, source_size, least(weight * level, 2.0 * source_size) AS target FROM totals, level),
+rated AS (
+  SELECT doc_id, size, source_size, target, coalesce(target / nullif(source_size, 0)::DOUBLE, 0) AS rate,
+    ('0x' || left(md5('11 ' || doc_id), 13))::BIGINT / 4503599627370496.0::DOUBLE AS drawn
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+)
+SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN drawn < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM rated
+"""
+
+NEGATIVES = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) <= 3
+"""

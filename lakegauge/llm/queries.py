@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakegauge.llm import decontamination, fingerprint, language_id, license_scan, line_dedup, near_dedup, oracle, packing, quality, sharding, substring_dedup
+from lakegauge.llm import (
+    decontamination, fingerprint, language_id, license_scan, line_dedup, mixing, near_dedup, negatives, oracle, packing, quality, sharding, substring_dedup,
+)
 from lakegauge.session import prepare
 
 
@@ -59,11 +61,23 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.contaminated_windows(docs, items, width=5, threshold=0.8).drop("doc_key")
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.repetitions(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0, seed=11)
+    return found.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.quantised(_table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding", scale=256)
+    return negatives.hard_negatives(rows, rows.filter("id % 50 = 0"), positives=5, negatives=3, low=50, high=95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_best_fit_packing, op3_line_dedup, op4_substring_dedup, op5_language_id, op6_sharding,
         op7_document_fingerprints, op8_quality_classifier, op9_minhash_near_dedup, op10_benchmark_decontamination,
+        op11_source_mixing, op13_hard_negatives,
     )
 }
 #: The other queries have no SQL form (greedy choice, packing, learned models, crc32 and sketches); tests hold them against brute force.
@@ -72,4 +86,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op9_minhash_near_dedup": oracle.NEAR_DEDUP,
     "op10_benchmark_decontamination": oracle.DECONTAMINATION,
+    "op11_source_mixing": oracle.MIXING,
+    "op13_hard_negatives": oracle.NEGATIVES,
 }
