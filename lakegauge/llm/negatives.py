@@ -174,7 +174,7 @@ def hard_negatives(
         anchors.join(limits, "id"), rows, across, down, _slots_cell(negatives), "anchor_id long, slot long, negative_id long, negative_score long"
     )
     found = _head(found, ["anchor_id", "slot"], "negative_score", "negative_id", negatives)
-    descending = F.array_sort(F.collect_list(F.struct((-F.col("negative_score")).alias("below"), "negative_id", "slot")))
+    descending = F.sort_array(F.collect_list(F.struct((-F.col("negative_score")).alias("below"), "negative_id", "slot")))
     found = found.groupBy("anchor_id").agg(descending.alias("found"))
     named = near.join(found, "anchor_id").join(limits.withColumnRenamed("id", "anchor_id"), "anchor_id")
     slot = F.array_position("limits", F.col("highest")) - 1

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakegauge.llm import (
-    decontamination, fingerprint, language_id, license_scan, line_dedup, mixing, near_dedup, negatives, oracle, packing, quality, sharding, substring_dedup,
+    alignment, decontamination, fingerprint, language_id, license_scan, line_dedup, mixing, near_dedup, negatives, oracle, packing, quality, sharding, substring_dedup,
 )
 from lakegauge.session import prepare
 
@@ -66,6 +66,15 @@ def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+#: Folder of the public tokenizers' files.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return alignment.align(docs, f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = negatives.quantised(_table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding", scale=256)
@@ -77,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_license_scan, op2_best_fit_packing, op3_line_dedup, op4_substring_dedup, op5_language_id, op6_sharding,
         op7_document_fingerprints, op8_quality_classifier, op9_minhash_near_dedup, op10_benchmark_decontamination,
-        op11_source_mixing, op13_hard_negatives,
+        op11_source_mixing, op12_cross_tokenizer_alignment, op13_hard_negatives,
     )
 }
 #: The other queries have no SQL form (greedy choice, packing, learned models, crc32 and sketches); tests hold them against brute force.
