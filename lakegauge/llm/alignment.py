@@ -4,18 +4,20 @@ Side A is a byte-level vocabulary of ``tokenizers`` that gets a blank and the te
 adds the blank itself; special tokens are neither added nor recognised. A token stands for bytes: A's entry decoded byte by byte, B's piece in UTF-8 with
 U+2581 as a blank and <0xHH> as that byte. A text has tokens if the bytes of either side joined are a blank and the text.
 
+Texts are cut into units before each blank that stands alone between two other characters: there neither side has a token across (checked on both vocabularies
+when they are read; otherwise a text is one unit), so units give the same ids as the whole text, and a unit that many texts share is encoded once in a block.
+
 Either side's cumulative ends go into a dictionary from end to index. Ends in both dictionaries (an intersection of their keys as hash sets, sorted) slice the two
-lists of ids into groups. Links are expanded a slice: in a group, each stretch between two neighbouring ends of either side lies
+lists of ids into groups; units end with a slice. Links are expanded a slice: in it, each stretch between two neighbouring ends of either side lies
 in one token of A and one of B, and two tokens overlap in exactly one such stretch. Nothing crosses from one slice to another.
 
 How often two ids are linked is counted over the whole corpus. Texts are handled in blocks of about ``block_bytes``; a block keeps each of its
-different links once, in a list, and each document names its links by place in that list. The lists of all blocks are summed by link, which gives counts and the
+different links once, in a list, units name their links by place in that list, and documents their units. The lists of all blocks are summed by link, which gives counts and the
 highest count of each id of B; they meet the lists again by link and come back to their block in order of place. What is shuffled is a block's different
 links, not a document's, and a link that every document has is as many rows as there are blocks. Blocks are written once, so texts are encoded once.
 
-Texts of more than ``part_bytes`` are cut before a blank that stands alone between two other characters: there neither side has a token across
-(checked on both vocabularies when they are read), so parts give the same ids as the whole text, and scratch memory follows a part. A text without such a blank is
-encoded whole. Vocabularies are read by the driver and sent along as bytes (some megabytes, as large as the files).
+Longer texts than ``part_bytes`` are cut into units a part at a time, so scratch memory follows a part and the different units; a text without a lone blank is
+one unit. Vocabularies are read by the driver and sent along as bytes (some megabytes, as large as the files).
 
 Null and empty texts, texts that are not UTF-8, and texts whose bytes differ on either side have no tokens: zeros, an empty digest, and no links in the counts.
 Rows without doc_id and repeated rows are rows of their own, each counted. An empty table gives an empty result. Other columns are not read.
@@ -28,6 +30,7 @@ import json
 import os
 import re
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +41,13 @@ from pyspark.sql.types import StructType
 
 from lakegauge.llm.staging import staged
 
-#: Tokens of A in a link's number, which is id of A * 2^31 + id of B.
+#: A link's number is id of A * 2^31 + id of B.
 _SIDE = 1 << 31
 _BLANK = "▁"
-#: Runs of white space; a cut is made before a run that is one blank.
-_GAP = re.compile(r"\s+")
+#: A blank that stands alone between two other characters.
+_LONE = re.compile(r"(?<=\S) (?=\S)")
+#: Units encoded in one call.
+_CALL = 1 << 13
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -73,11 +78,11 @@ class Sides:
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(_BLANK, " ").encode())
         self.length_a, self.length_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
-        # A blank begins a token of either side, so that a cut before a single blank leaves the ids as they are.
+        # A blank begins a token of either side, so that a cut before a lone blank leaves the ids as they are.
         kind = json.loads(byte_level).get("pre_tokenizer") or {}
         self.cuts = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and all(b" " not in x.lstrip(b" ") for x in self.bytes_b)
-        # Symbols of the digest: an id, and what follows it. 0: another id of its group, 1: the other side or the next group.
-        self.text = np.array(
+        # What the digest shows: an id and the sign behind it, which is a comma within a group, and the other one at its end.
+        self.shown = np.array(
             [f"{i}{c}" for c in ",|" for i in range(len(self.bytes_a))] + [f"{i}{c}" for c in ",;" for i in range(len(self.bytes_b))], object
         )
 
@@ -85,28 +90,31 @@ class Sides:
     def _of_entry(entry: str, symbols: dict[str, int]) -> bytes:
         return bytes(symbols[c] for c in entry) if all(c in symbols for c in entry) else entry.encode()
 
-    def parts(self, text: str, most: int) -> list[str]:
-        """The text in parts of at least ``most`` characters that begin with a blank left out (the first part: before the text)."""
-        if len(text) <= most or not self.cuts:
-            return [text]
-        out, begin = [], 0
-        for gap in _GAP.finditer(text):
-            at = gap.start()
-            if at - begin >= most and gap.group() == " " and 0 < at < len(text) - 1:
-                out.append(text[begin:at])
-                begin = at + 1
-        return [*out, text[begin:]]
-
-    def encode(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both sides of each part; None where a side's bytes are not a blank and the part."""
-        found = []
-        ids_a = self.a.encode_batch([" " + x for x in parts], add_special_tokens=False)
-        ids_b = self.b.encode(parts, num_threads=1)
-        for part, a, b in zip(parts, ids_a, ids_b):
-            a, whole = a.ids, b" " + part.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
-            found.append((np.array(a, np.int64), np.array(b, np.int64)) if same else None)
-        return found
+    def units(self, text: str, part: int):
+        """Lists of the stretches between lone blanks, for about ``part`` characters each."""
+        if not self.cuts:
+            yield [text]
+            return
+        at = 0
+        while at < len(text):
+            cut = _LONE.search(text, at + part)
+            to = cut.start() if cut else len(text)
+            yield _LONE.split(text[at:to])
+            at = to + 1
+
+    def encode(self, units: list[str]) -> tuple[list, list, np.ndarray]:
+        """Ids of both sides of each unit, empty where a side's bytes are not a blank and the unit; and whether they are."""
+        a, b = [], []
+        for at in range(0, len(units), _CALL):
+            some = units[at : at + _CALL]
+            a += [x.ids for x in self.a.encode_batch([" " + x for x in some], add_special_tokens=False)]
+            b += self.b.encode(some, num_threads=1)
+        right = np.ones(len(units), bool)
+        for k, unit in enumerate(units):
+            whole = b" " + unit.encode()
+            if not b"".join(map(self.bytes_a.__getitem__, a[k])) == whole == b"".join(map(self.bytes_b.__getitem__, b[k])):
+                a[k], b[k], right[k] = [], [], False
+        return a, b, right
 
 
 @cache
@@ -121,59 +129,38 @@ def common_ends(end_a: np.ndarray, end_b: np.ndarray) -> list[np.ndarray]:
     return [np.fromiter(map(index.__getitem__, both), np.int64, len(both)) for index in (index_a, index_b)]
 
 
-def slice_links(end_a: np.ndarray, end_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index in A and in B of every pair of tokens that overlap, slice by slice (the slices end at cut_a, cut_b).
-
-    Slices of one token a side are done at once; in the others every end of either side closes the stretch of one link.
-    """
-    size_a, size_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
-    single = (size_a == 1) & (size_b == 1)
-    of_a, of_b = np.repeat(~single, size_a), np.repeat(~single, size_b)
-    ends = np.union1d(end_a[of_a], end_b[of_b])
-    link_a = np.concatenate([cut_a[single] - 1, np.searchsorted(end_a, ends)])
-    link_b = np.concatenate([cut_b[single] - 1, np.searchsorted(end_b, ends)])
-    return link_a, link_b
-
+class Aligned:
+    """Units laid end to end: of each its numbers, links and what the digest shows of it."""
 
-class Document:
-    """What the parts of one text add up to."""
-
-    def __init__(self, sides: Sides):
-        self.sides, self.n, self.links, self.digest = sides, np.zeros(4, np.int64), [], hashlib.sha256()
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        end_a, end_b = np.cumsum(self.sides.length_a[a]), np.cumsum(self.sides.length_b[b])
+    def __init__(self, sides: Sides, units: list[str]):
+        ids_a, ids_b, self.right = sides.encode(units)
+        (a, size_a), (b, size_b) = (
+            (np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))) for ids in (ids_a, ids_b)
+        )
+        last_a, last_b = np.cumsum(size_a), np.cumsum(size_b)
+        end_a, end_b = np.cumsum(sides.length_a[a]), np.cumsum(sides.length_b[b])
         cut_a, cut_b = common_ends(end_a, end_b)
-        link_a, link_b = slice_links(end_a, end_b, cut_a, cut_b)
-        self.links.append(a[link_a] * _SIDE + b[link_b])
-        # Digest: ids in order, A's of a group before B's, each with the sign behind it.
-        group_a, group_b = np.repeat(np.arange(len(cut_a)), np.diff(cut_a, prepend=0)), np.repeat(np.arange(len(cut_b)), np.diff(cut_b, prepend=0))
-        shown = np.empty(len(a) + len(b), np.int64)
-        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        last_a[cut_a - 1], last_b[cut_b - 1] = 1, 1
-        shown[np.arange(len(a)) + np.append(0, cut_b)[group_a]] = a + last_a * len(self.sides.bytes_a)
-        shown[np.arange(len(b)) + cut_a[group_b]] = 2 * len(self.sides.bytes_a) + b + last_b * len(self.sides.bytes_b)
-        body = "".join(self.sides.text[shown].tolist())
-        self.digest.update((body[:-1] if not self.n[2] else ";" + body[:-1]).encode())
-        self.n += (len(a), len(b), len(cut_a), len(link_a))
-
-    def close(self) -> tuple[np.ndarray, np.ndarray]:
-        """Different links and how often the text has each."""
-        return np.unique(np.concatenate(self.links), return_counts=True) if self.links else (np.zeros(0, np.int64),) * 2
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers as small as they come: as 4 bytes each, compressed."""
-    return pa.compress(values.astype("<i4").tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), "<i4").astype(np.int64) if n else np.zeros(0, np.int64)
+        # In a slice, every end of either side closes the stretch of one link.
+        ends = np.union1d(end_a, end_b)
+        self.links = a[np.searchsorted(end_a, ends)] * _SIDE + b[np.searchsorted(end_b, ends)]
+        unit_end = np.append(0, end_a)[last_a]
+        self.link_at = np.append(0, np.searchsorted(ends, unit_end, side="right"))
+        groups = np.diff(np.searchsorted(cut_a, last_a, side="right"), prepend=0)
+        self.numbers = np.stack([size_a, size_b, groups, np.diff(self.link_at)])
+        # Ids in the order of the digest: A's of a group before B's.
+        slice_a, slice_b = (np.repeat(np.arange(len(cut)), np.diff(cut, prepend=0)) for cut in (cut_a, cut_b))
+        what = np.empty(len(a) + len(b), np.int64)
+        end_of_a, end_of_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        end_of_a[cut_a - 1], end_of_b[cut_b - 1] = 1, 1
+        what[np.arange(len(a)) + np.append(0, cut_b)[slice_a]] = a + end_of_a * len(sides.bytes_a)
+        what[np.arange(len(b)) + cut_a[slice_b]] = 2 * len(sides.bytes_a) + b + end_of_b * len(sides.bytes_b)
+        body, last = sides.shown[what].tolist(), (last_a + last_b).tolist()
+        self.shown = ["".join(body[i:j])[:-1] for i, j in zip([0, *last], last)]
 
 
 BLOCKS = (
     "docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string,different:int>>,"
-    " places binary, times binary, links array<bigint>, counts array<bigint>"
+    " units array<int>, times array<int>, unit_size array<int>, unit_links array<int>, links array<bigint>, counts array<bigint>"
 )
 
 
@@ -188,38 +175,42 @@ def _texts(values: list) -> list[str | None]:
     return out
 
 
-def _batched(parts, most: int):
-    """Lists of parts with about ``most`` characters each."""
-    some, size = [], 0
-    for part in parts:
-        some.append(part)
-        size += len(part[1])
-        if size >= most:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
-def _block(sides: Sides, ids: list, values: list, part_bytes: int) -> dict:
-    documents = [Document(sides) for _ in ids]
-    for some in _batched(((k, part) for k, text in enumerate(_texts(values)) if text for part in sides.parts(text, part_bytes)), part_bytes):
-        for (k, _), found in zip(some, sides.encode([part for _, part in some])):
-            if found is None:
-                documents[k] = None
-            elif documents[k] is not None:
-                documents[k].add(*found)
-    closed = [d.close() if d is not None else (np.zeros(0, np.int64),) * 2 for d in documents]
-    every, times = (np.concatenate([c[k] for c in closed] or [np.zeros(0, np.int64)]) for k in (0, 1))
-    links, place = np.unique(every, return_inverse=True)
-    docs = []
-    for i, d, (mine, _) in zip(ids, documents, closed):
-        n = d.n.tolist() if d is not None else [0] * 4
-        docs.append(
-            {"doc_id": i, "n_a": n[0], "n_b": n[1], "n_groups": n[2], "n_links": n[3], "groups_sha256": d.digest.hexdigest() if n[0] else "", "different": len(mine)}
-        )
-    step = np.concatenate([np.diff(np.searchsorted(links, mine), prepend=0) for mine, _ in closed] or [place])
-    return {"docs": docs, "places": _pack(step), "times": _pack(times), "links": links, "counts": np.bincount(place, times, len(links)).astype(np.int64)}
+def _list(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+
+
+def _block(sides: Sides, ids: list, values: list, part: int, schema: pa.Schema) -> pa.RecordBatch:
+    index: dict[str, int] = {}
+    found = []  # of each text: the units of its parts, by number
+    for text in _texts(values):
+        parts = sides.units(text, part) if text else ()
+        found.append([np.array([index.setdefault(u, len(index)) for u in some], np.int32) for some in parts])
+    aligned = Aligned(sides, list(index))
+    docs, units, times = [], [], []
+    seen = np.zeros(len(index), np.int64)
+    for i, parts in zip(ids, found):
+        numbers, digest = [0] * 4, ""
+        if parts and all(aligned.right[some].all() for some in parts):
+            sha = hashlib.sha256()
+            for k, some in enumerate(parts):
+                sha.update((";" * (k > 0) + ";".join(map(aligned.shown.__getitem__, some.tolist()))).encode())
+            digest = sha.hexdigest()
+            numbers = sum(aligned.numbers[:, some].sum(axis=1) for some in parts).tolist()
+            mine, often = np.unique(np.concatenate(parts), return_counts=True)
+            seen[mine] += often
+            units.append(mine)
+            times.append(often)
+        docs.append(dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "different"), (i, *numbers, digest, len(units[-1]) if digest else 0))))
+    size = aligned.numbers[3]
+    used = np.repeat(seen > 0, size)
+    links, place = np.unique(aligned.links[used], return_inverse=True)
+    counts = np.bincount(place, np.repeat(seen, size)[used], len(links)).astype(np.int64)
+    none = [np.zeros(0, np.int64)]
+    lists = (np.concatenate(units or none), np.concatenate(times or none), np.where(seen > 0, size, 0), place)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([docs], schema.field("docs").type), *(_list(x.astype(np.int32), pa.int32()) for x in lists), *(_list(x, pa.int64()) for x in (links, counts))],
+        schema=schema,
+    )
 
 
 def _blocks_task(files, block_bytes: int, part_bytes: int, schema: pa.Schema):
@@ -235,31 +226,32 @@ def _blocks_task(files, block_bytes: int, part_bytes: int, schema: pa.Schema):
                     values.append(value)
                     size += len(value or b"") + 64
                     if size >= block_bytes:
-                        yield pa.RecordBatch.from_pylist([_block(sides, ids, values, part_bytes)], schema)
+                        yield _block(sides, ids, values, part_bytes, schema)
                         ids, values, size = [], [], 0
         if ids:
-            yield pa.RecordBatch.from_pylist([_block(sides, ids, values, part_bytes)], schema)
+            yield _block(sides, ids, values, part_bytes, schema)
 
     return task
 
 
 def _sums_task(schema: pa.Schema):
-    """Counts of a document's links from the counts of its block's list."""
+    """Sums over a document's links: of each unit from the counts of its block's list, then of each document from its units."""
 
     def task(batches):
         for batch in batches:
             for row in range(len(batch)):
                 one = batch.slice(row, 1)
-                docs = one["docs"][0].as_py()
-                count, best = (one[c].flatten().to_numpy(zero_copy_only=False) for c in ("count", "best"))
-                n = sum(d["different"] for d in docs)
-                step, times = (_unpack(one[c][0].as_py(), n) for c in ("places", "times"))
+                units, times, size, place, count, best = (
+                    one[c].flatten().to_numpy(zero_copy_only=False) for c in ("units", "times", "unit_size", "unit_links", "count", "best")
+                )
+                end = np.cumsum(size)
+                sums = [np.diff(np.append(0, np.cumsum(x[place]))[np.append(0, end)]) for x in (best.astype(np.int64), count)]
                 out, at = [], 0
-                for d in docs:
+                for d in one["docs"][0].as_py():
                     to = at + d.pop("different")
-                    mine, often = np.cumsum(step[at:to]), times[at:to]
+                    n_best, count_sum = (int((times[at:to] * x[units[at:to]]).sum()) for x in sums)
+                    out.append(d | {"n_best": n_best, "count_sum": count_sum})
                     at = to
-                    out.append(d | {"n_best": int(often[best[mine] == 1].sum()), "count_sum": int((often * count[mine]).sum())})
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     return task
@@ -297,9 +289,9 @@ def align(docs: DataFrame, byte_level: str, pieces: str, block_bytes: int = 4 <<
     places = encoded.select("block", F.posexplode("links").alias("place", "link")).join(counts, "link")
     found = F.sort_array(F.collect_list(F.struct("place", "count", "best")))
     known = places.groupBy("block").agg(found.alias("found")).select("block", F.col("found.count").alias("count"), F.col("found.best").alias("best"))
-    met = encoded.select("block", "docs", "places", "times").join(known, "block", "left")
+    met = encoded.drop("links", "counts").join(known, "block", "left")
     none = F.array().cast("array<bigint>"), F.array().cast("array<int>")
-    met = met.select("docs", "places", "times", F.coalesce("count", none[0]).alias("count"), F.coalesce("best", none[1]).alias("best"))
+    met = met.withColumns({"count": F.coalesce("count", none[0]), "best": F.coalesce("best", none[1])}).drop("block")
     schema = (
         "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
     )
