@@ -8,8 +8,10 @@ without a shared band once in ten million; raise ``bands`` for less.
 
 Equal sets are one class, so copies never form pairs. Within a band's bucket not all pairs are made either: a few leaders meet the
 members of other components, links merge components, used leaders leave the bucket, and the next round takes more leaders, until
-every bucket holds one component or its cross pairs are all looked at. Leaders come to the members as lists of bounded
-length; a pair leaves the task only if it can be a link: two bounds are held against the threshold there. One counts shingles in 256 cells
+every bucket holds one component or its cross pairs are all looked at. Every other round is a probe: leaders stay, and of each member only the
+likeliest link of all its lists is looked at, which is one pair a member and merges a group of near copies before its pairs are looked at.
+Leaders come to the members as lists of bounded length; a pair leaves the task only in the first band that its two documents share (it is met there, too, as
+long as they are in different components), and only if it can be a link: two bounds are held against the threshold there. One counts shingles in 256 cells
 (what two sets share is at most the sum of the smaller counts, so nothing is lost); the other drops a pair if 128 one-byte
 coordinates agree in so few places that a pair at the threshold would do so less than once in 10^8. Links are confirmed on the
 whole sets.
@@ -132,8 +134,8 @@ def _sets_task(width: int):
     return task
 
 
-def _possible_task(percent: int, least: int):
-    """Pairs of a member and a leader of another component that can be a link."""
+def _possible_task(percent: int, least: int, once: bool, probe: bool):
+    """Pairs of a member and a leader of another component that can be a link: with ``once`` in the first bucket that the two share, in a probe the likeliest of a row."""
 
     def task(batches):
         for batch in batches:
@@ -142,20 +144,29 @@ def _possible_task(percent: int, least: int):
                 lists = rows["leaders"]
                 leaders = lists.flatten()
                 me = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
-                rep, part, n = (rows[c].to_numpy(zero_copy_only=False)[me] for c in ("rep", "component", "n"))
+                rep, part, n, bucket = (rows[c].to_numpy(zero_copy_only=False)[me] for c in ("rep", "component", "n", "bucket"))
                 rep2, part2, n2 = (leaders.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "n"))
-                at_pair = np.flatnonzero((part != part2) & (100 * np.minimum(n, n2) >= percent * np.maximum(n, n2)))
+                bands, bands2 = (x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) for x in (rows["bands"], leaders.field("bands")))
                 one = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, _SKETCH + _CELLS)
                 two = np.frombuffer(b"".join(leaders.field("sketch").to_pylist()), np.uint8).reshape(-1, _SKETCH + _CELLS)
+                at_pair = np.flatnonzero((part != part2) & (100 * np.minimum(n, n2) >= percent * np.maximum(n, n2)))
+                if once:
+                    first = (bands[me[at_pair]] == bands2[at_pair]).argmax(axis=1)
+                    at_pair = at_pair[bands2[at_pair, first] == bucket[at_pair]]
                 x, y = one[me[at_pair]], two[at_pair]
-                near = (x[:, :_SKETCH] == y[:, :_SKETCH]).sum(axis=1) >= least
+                alike = (x[:, :_SKETCH] == y[:, :_SKETCH]).sum(axis=1)
                 x, y = x[:, _SKETCH:], y[:, _SKETCH:]
                 fewer = np.minimum(x, y)
                 most = np.where((fewer == 255).any(axis=1), np.minimum(n, n2)[at_pair], fewer.sum(axis=1, dtype=np.int64))
-                near &= (100 + percent) * most >= percent * (n + n2)[at_pair]
-                at_pair = at_pair[near]
+                near = (alike >= least) & ((100 + percent) * most >= percent * (n + n2)[at_pair])
+                at_pair, alike = at_pair[near], alike[near]
+                if probe and len(at_pair):
+                    order = np.lexsort((-alike, me[at_pair]))
+                    order = order[np.append(True, np.diff(me[at_pair][order]) > 0)]
+                    at_pair, alike = at_pair[order], alike[order]
                 a, b = np.minimum(rep, rep2)[at_pair], np.maximum(rep, rep2)[at_pair]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                columns = [pa.array(x, pa.int64()) for x in (rep[at_pair], alike, a, b)]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "alike", "a", "b"])
 
     return task
 
@@ -183,7 +194,7 @@ def near_copies(docs: DataFrame, width: int = 4, percent: int = 80, bands: int =
 
     share = percent / 100 + (1 - percent / 100) / 256
     least = int(_SKETCH * share - 6 * sqrt(_SKETCH * share * (1 - share)))
-    component = _link_rounds(members, classes.select("rep", "n", "sketch"), sets, percent, least)
+    component = _link_rounds(members, classes.select("rep", "n", "sketch", "bands"), sets, percent, least)
     found = each.drop("bands", "sketch").join(classes.select("set1", "set2", "rep"), ["set1", "set2"], "left")
     found = found.join(component.withColumnRenamed("node", "rep"), "rep", "left")
     name = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
@@ -196,7 +207,7 @@ def _link_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, percen
     spark = members.sparkSession
     tested = spark.createDataFrame([], "a long, b long")
     component = spark.createDataFrame([], "node long, component long")
-    leaders = 1
+    leaders, probe = 1, False
     while True:
         now = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         sizes = now.groupBy("bucket", "component").count()
@@ -211,9 +222,12 @@ def _link_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, percen
         known = now.join(classes, "rep")
         order = Window.partitionBy("bucket").orderBy("rep")
         lead = known.filter("component <> main").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders)
-        lists = lead.groupBy("bucket", F.floor(F.col("place") / _LIST).alias("list")).agg(F.collect_list(F.struct("rep", "component", "n", "sketch")).alias("leaders"))
-        met = known.drop("main").join(lists, "bucket").select("rep", "component", "n", "sketch", "leaders")
-        pairs = met.mapInArrow(_possible_task(percent, least), "a long, b long").distinct()
+        lists = lead.groupBy("bucket", F.floor(F.col("place") / _LIST).alias("list")).agg(F.collect_list(F.struct("rep", "component", "n", "sketch", "bands")).alias("leaders"))
+        met = known.drop("main").join(lists, "bucket").select("bucket", "rep", "component", "n", "sketch", "bands", "leaders")
+        pairs = met.mapInArrow(_possible_task(percent, least, leaders > 1 and not probe, probe), "rep long, alike long, a long, b long")
+        if probe:
+            pairs = pairs.groupBy("rep").agg(F.max(F.struct("alike", "a", "b")).alias("best")).select("best.a", "best.b")
+        pairs = pairs.select("a", "b").distinct()
         near = pairs.join(tested, ["a", "b"], "left_anti")
         near = near.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("set_b")), "b")
         near = near.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("set_a")), "a")
@@ -225,8 +239,9 @@ def _link_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, percen
         tested = tested.union(new.select("a", "b"))
         links = component.toDF("a", "b").union(new.filter("linked").select("a", "b"))
         component = staged(connected_components(links), "components")
-        members = now.join(lead.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep")
-        leaders = _LEADERS
+        if not probe:
+            members = now.join(lead.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep")
+        leaders, probe = _LEADERS, not probe
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

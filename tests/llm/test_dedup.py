@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from lakegauge.llm import line_dedup, near_dedup, substring_dedup
+from lakegauge.llm import line_dedup, near_dedup, staging, substring_dedup
 from lakegauge.llm.components import connected_components
 
 LAST = 2**63 - 1
@@ -232,3 +232,22 @@ def test_components(spark):
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {5: 3, 4: 3, 3: 3, 9: 3, 20: 20, 21: 20, **{k: 30 for k in range(30, 36)}, **{k: 100 for k in range(100, 161)}, **{k: 200 for k in range(200, 260)}}
     assert found == want
+
+
+@pytest.mark.parametrize("size", (150, 600))
+def test_a_group_of_near_copies_takes_a_few_pairs_a_member(monkeypatch, corpus, size):
+    """Variants of one text, all near each other: the pairs looked at grow with the members."""
+    body = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join("x" if k in {(i * 7) % 300, (i * 13 + 5) % 300} else w for k, w in enumerate(body)) + f" tail{i}") for i in range(size)]
+    pairs = []
+
+    def counted(df, name):
+        out = staging.staged(df, name)
+        if name == "tested":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "staged", counted)
+    found = near_dedup.near_copies(corpus([(*r, None, None) for r in rows])).collect()
+    assert {r.component_id for r in found} == {0}
+    assert sum(pairs) <= 10 * size
