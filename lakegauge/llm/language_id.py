@@ -9,14 +9,18 @@ Symbols are lower-cased letters and one blank for any run of other characters. T
 ``stretch`` symbols, none left out, so many stretches go through an automaton side by side.
 
 Learned from rows with a label only, whose id is not held out; those without text add nothing. The sample is bounded: ``sample_docs`` documents a
-label, in the order of a hash of their ids, and of these ``sample_symbols`` symbols. No label in the rows means no language, and every text is
+label, in the order of a hash of their ids, and of these ``sample_symbols`` symbols, shared out: each document gives one stretch, begun at a
+place drawn from its id, and no document more symbols than needed. No label in the rows means no language, and every text is
 ``und``. So is a null text or one without letters, with score 0. The score is the winner's share of the
 inverse rates to the power ``sharpness``.
+
+A text is rejected if it is ``und``, if its label is not wanted, or if even the winner needs more than ``max_bits`` a symbol for all
+phrases but the last: by default one bit more than equally likely symbols of the alphabet would. Texts in a script or spelling that no sample has are like that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +125,7 @@ class Languages:
         self.code = np.full(0x110000, -1, np.int16)
         self.code[alphabet] = np.arange(len(alphabet))
         self.automata = [Automaton(self.code[samples[x]], len(alphabet)) for x in self.labels]
+        self.max_bits = np.log2(len(alphabet)) + 1
         self.bits = np.array([np.log2(max(2, len(samples[x]))) for x in self.labels])
 
     def rates(self, code: np.ndarray, bounds: np.ndarray, stretch: int) -> np.ndarray:
@@ -145,26 +150,37 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % 4 == 2
 
 
+def _shared(parts: list[np.ndarray], most: int) -> list[np.ndarray]:
+    """The parts cut to one length, the greatest with which they have ``most`` symbols together."""
+    size = np.sort([len(p) for p in parts])
+    before = np.cumsum(size) - size
+    share = (most - before) // np.arange(len(size), 0, -1)  # for all from here on, if those before are whole
+    fits = np.flatnonzero(share < size)
+    return parts if not len(fits) else [p[: max(1, share[fits[0]])] for p in parts]
+
+
 def learn(docs: DataFrame, sample_docs: int = 200, sample_symbols: int = 40_000) -> Languages | None:
     """Automata of the labels of docs (doc_id, text, lang); see the module about the sample."""
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = labelled.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = labelled.select("lang", "doc_id").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= sample_docs)
-    # The texts of the sample are cut to what the sample can use of one document, so the driver gets a bounded amount.
-    each = -(-sample_symbols * 4 // sample_docs)
-    few = labelled.select("lang", "doc_id", F.substring("text", 1, each).alias("text")).join(F.broadcast(ids), ["lang", "doc_id"])
+    ids = ids.withColumn("drawn", F.count("*").over(Window.partitionBy("lang")))
+    # A stretch has room for documents shorter than their share, and the driver gets a bounded amount.
+    each = F.ceil(F.lit(4 * sample_symbols) / F.col("drawn")).cast("int")
+    begin = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - each + 1)).cast("int") + 1
+    few = labelled.select("lang", "doc_id", "text").join(F.broadcast(ids), ["lang", "doc_id"]).withColumn("text", F.substring("text", begin, each))
     letters = symbol_map()
     samples: dict[str, list[np.ndarray]] = {}
     for row in few.orderBy("lang", "place", "text").toLocalIterator():
         samples.setdefault(row["lang"], []).append(symbols_of([(row["text"] or "") + " "], letters)[0])
-    cut = {lang: np.concatenate(parts)[:sample_symbols] for lang, parts in samples.items()}
+    cut = {lang: np.concatenate(_shared(parts, sample_symbols)) for lang, parts in samples.items()}
     cut = {lang: s for lang, s in cut.items() if (s != 0x20).any()}
     return Languages(cut) if cut else None
 
 
 def _labelled(batches: Iterator[pa.RecordBatch], model: Languages | None, stretch: int, sharpness: float):
-    """(batch, first row, rows, labels, scores) of ranges of rows."""
+    """(batch, first row, rows, labels, scores, bits a symbol without the last phrase) of ranges of rows."""
     letters = symbol_map()
     for batch in batches:
         _, bounds = text_buffer(batch["text"])
@@ -174,14 +190,15 @@ def _labelled(batches: Iterator[pa.RecordBatch], model: Languages | None, stretc
             to = min(to, len(batch))
             texts = [t or "" for t in batch["text"].slice(at, to - at).to_pylist()]
             code, cut, letter = symbols_of(texts, letters)
-            label, score = [UND] * len(texts), np.zeros(len(texts))
+            label, score, bits = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if model is not None:
                 rate = model.rates(code, cut, stretch)
                 share = (1 / np.maximum(rate, 1e-9)) ** sharpness
                 best = rate.argmin(axis=1)
                 score = np.where(letter > 0, share[np.arange(len(best)), best] / share.sum(axis=1), 0.0)
                 label = [model.labels[b] if n else UND for b, n in zip(best, letter)]
-            yield batch, at, to - at, label, score
+                bits = rate.min(axis=1) - model.bits[best] / np.maximum(1, np.diff(cut))
+            yield batch, at, to - at, label, score, bits
             at = to
 
 
@@ -190,7 +207,7 @@ def predict(docs: DataFrame, model: Languages | None, stretch: int = 1000, sharp
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, at, n, label, score in _labelled(batches, shared.value, stretch, sharpness):
+        for batch, at, n, label, score, _ in _labelled(batches, shared.value, stretch, sharpness):
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"].slice(at, n), batch["held_out"].slice(at, n), pa.array(label, pa.string()), pa.array(score)],
                 ["doc_id", "held_out", "lang_pred", "score"],
@@ -200,14 +217,25 @@ def predict(docs: DataFrame, model: Languages | None, stretch: int = 1000, sharp
     return base.mapInArrow(task, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, model: Languages | None, stretch: int = 1000) -> DataFrame:
-    """docs without the rows that no language is found for. If nothing could be learned, all rows with a letter stay."""
+def recognised(
+    docs: DataFrame, model: Languages | None, stretch: int = 1000, wanted: Collection[str] | None = None, max_bits: float | None = None
+) -> DataFrame:
+    """docs without the rejected rows; a column ``lang`` gets the language found. ``wanted`` null: all that were learned.
+
+    If nothing could be learned, nothing is rejected but texts without a letter, and ``lang`` stays.
+    """
     if model is None:
         return docs.filter(F.col("text").rlike("\\p{L}"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = set(model.labels if wanted is None else wanted) - {UND}
+    most = model.max_bits if max_bits is None else max_bits
+    lang = docs.columns.index("lang") if "lang" in docs.columns else None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, at, n, label, _ in _labelled(batches, shared.value, stretch, 1.0):
-            yield batch.slice(at, n).filter(pa.array([x != UND for x in label], pa.bool_()))
+        for batch, at, n, label, _, bits in _labelled(batches, shared.value, stretch, 1.0):
+            rows = batch.slice(at, n)
+            if lang is not None:
+                rows = rows.set_column(lang, "lang", pa.array(label, rows.schema.field(lang).type))
+            yield rows.filter(pa.array([x in keep and b <= most for x, b in zip(label, bits)], pa.bool_()))
 
     return docs.mapInArrow(task, docs.schema)

@@ -235,3 +235,36 @@ def test_a_changed_weight_moves_rows_only_through_its_subtree(spark):
                 assert r.b == 12
             else:
                 assert rack[r.b] == 3 or region[r.a] != region[r.b] == 1
+
+
+def test_texts_of_another_language_go(spark, corpus):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    model = language_id.learn(docs)
+    other = [(-1, "Съешь же ещё этих мягких французских булок да выпей чаю " * 3, "en"), (-2, "zqx vkjw xqzz wvkq jjxq zzvw kqxj wwzq vxkj " * 5, "de"), (-3, None, "en"), (-4, "12 !", "en"), (-5, "A.", "en")]
+    rows = docs.unionByName(spark.createDataFrame([(i, t, lang, "a", None) for i, t, lang in other], docs.schema))
+    kept = language_id.recognised(rows, model)
+    assert kept.columns == docs.columns
+    found = {r.doc_id: r.lang for r in kept.select("doc_id", "lang").collect()}
+    assert not {-1, -2, -3, -4} & set(found) and -5 in found
+    all_ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert len(all_ids - set(found)) <= len(all_ids) / 100
+    said = {r.doc_id: r.lang_pred for r in language_id.predict(rows, model).collect()}
+    assert all(said[i] == lang for i, lang in found.items())
+    german = language_id.recognised(rows, model, wanted=["de"]).select("doc_id").collect()
+    assert {r.doc_id for r in german} == {i for i, lang in found.items() if lang == "de"}
+    # The automata decide: without them, everything with letters stays.
+    assert {r.doc_id for r in language_id.recognised(rows, None).collect()} >= {-1, -2}
+    assert language_id.recognised(docs.limit(0), model).collect() == []
+
+
+def test_shared_sample():
+    parts = [np.zeros(n) for n in (5, 100, 40, 3)]
+    assert [len(p) for p in language_id._shared(parts, 60)] == [5, 26, 26, 3]
+    assert [len(p) for p in language_id._shared(parts, 1000)] == [5, 100, 40, 3]
+
+
+def test_few_long_documents_fill_the_sample(spark):
+    long = " ".join(f"wort{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(20_000))
+    docs = spark.createDataFrame([(k, "1 " * 900 + long, "de") for k in range(8)], "doc_id long, text string, lang string")
+    model = language_id.learn(docs, sample_symbols=6000)
+    assert len(model.labels) == 1 and model.bits[0] > np.log2(5900)
