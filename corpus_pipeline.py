@@ -10,7 +10,7 @@ from lakegauge.session import prepare
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a language is found for; those without letters go."""
+    """Documents in one of the languages learned, with that language as ``lang``; others, and those without letters, go."""
     prepare(spark)
     return language_id.recognised(docs, language_id.learn(docs))
 
