@@ -12,7 +12,7 @@ lists of ids into groups; units end with a slice. Links are expanded a slice: in
 in one token of A and one of B, and two tokens overlap in exactly one such stretch. Nothing crosses from one slice to another.
 
 How often two ids are linked is counted over the whole corpus. Texts are handled in blocks of about ``block_bytes``; a block keeps each of its
-different links once, in a list, units name their links by place in that list, and documents their units. The lists of all blocks are summed by link, which gives counts and the
+different links once, in a list, and each document names its links by place in that list. The lists of all blocks are summed by link, which gives counts and the
 highest count of each id of B; they meet the lists again by link and come back to their block in order of place. What is shuffled is a block's different
 links, not a document's, and a link that every document has is as many rows as there are blocks. Blocks are written once, so texts are encoded once.
 
@@ -109,11 +109,17 @@ class Sides:
             some = units[at : at + _CALL]
             a += [x.ids for x in self.a.encode_batch([" " + x for x in some], add_special_tokens=False)]
             b += self.b.encode(some, num_threads=1)
+        whole = [b" " + x.encode() for x in units]
         right = np.ones(len(units), bool)
-        for k, unit in enumerate(units):
-            whole = b" " + unit.encode()
-            if not b"".join(map(self.bytes_a.__getitem__, a[k])) == whole == b"".join(map(self.bytes_b.__getitem__, b[k])):
-                a[k], b[k], right[k] = [], [], False
+        length = np.fromiter(map(len, whole), np.int64, len(whole))
+        for ids, known, of_id in ((a, self.bytes_a, self.length_a), (b, self.bytes_b, self.length_b)):
+            # All at once; one by one only if something differs.
+            same = b"".join(map(known.__getitem__, chain.from_iterable(ids))) == b"".join(whole)
+            end = np.append(0, np.cumsum(of_id[np.fromiter(chain.from_iterable(ids), np.int64)]))
+            if not same or (np.diff(end[np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))], prepend=0) != length).any():
+                right &= [b"".join(map(known.__getitem__, x)) == w for x, w in zip(ids, whole)]
+        for k in np.flatnonzero(~right):
+            a[k], b[k] = [], []
         return a, b, right
 
 
@@ -160,7 +166,7 @@ class Aligned:
 
 BLOCKS = (
     "docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string,different:int>>,"
-    " units array<int>, times array<int>, unit_size array<int>, unit_links array<int>, links array<bigint>, counts array<bigint>"
+    " places binary, times binary, links array<bigint>, counts array<bigint>"
 )
 
 
@@ -175,8 +181,13 @@ def _texts(values: list) -> list[str | None]:
     return out
 
 
-def _list(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+def _pack(values: list[np.ndarray]) -> bytes:
+    """Whole numbers, compressed."""
+    return pa.compress(np.concatenate([np.zeros(0, np.int64), *values]).astype("<i4").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), "<i4").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
 def _block(sides: Sides, ids: list, values: list, part: int, schema: pa.Schema) -> pa.RecordBatch:
@@ -186,31 +197,29 @@ def _block(sides: Sides, ids: list, values: list, part: int, schema: pa.Schema)
         parts = sides.units(text, part) if text else ()
         found.append([np.array([index.setdefault(u, len(index)) for u in some], np.int32) for some in parts])
     aligned = Aligned(sides, list(index))
-    docs, units, times = [], [], []
-    seen = np.zeros(len(index), np.int64)
+    links, place = np.unique(aligned.links, return_inverse=True)
+    size, counts = aligned.numbers[3], np.zeros(len(links), np.int64)
+    docs, places, times = [], [], []
     for i, parts in zip(ids, found):
-        numbers, digest = [0] * 4, ""
+        numbers, digest, different = [0] * 4, "", 0
         if parts and all(aligned.right[some].all() for some in parts):
             sha = hashlib.sha256()
             for k, some in enumerate(parts):
                 sha.update((";" * (k > 0) + ";".join(map(aligned.shown.__getitem__, some.tolist()))).encode())
             digest = sha.hexdigest()
             numbers = sum(aligned.numbers[:, some].sum(axis=1) for some in parts).tolist()
-            mine, often = np.unique(np.concatenate(parts), return_counts=True)
-            seen[mine] += often
-            units.append(mine)
+            units, often = np.unique(np.concatenate(parts), return_counts=True)
+            many = size[units]
+            at = np.arange(many.sum()) + np.repeat(aligned.link_at[units] - np.cumsum(many) + many, many)
+            mine, back = np.unique(place[at], return_inverse=True)
+            often = np.bincount(back, np.repeat(often, many), len(mine)).astype(np.int64)
+            counts[mine] += often
+            different = len(mine)
+            places.append(np.diff(mine, prepend=0))
             times.append(often)
-        docs.append(dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "different"), (i, *numbers, digest, len(units[-1]) if digest else 0))))
-    size = aligned.numbers[3]
-    used = np.repeat(seen > 0, size)
-    links, place = np.unique(aligned.links[used], return_inverse=True)
-    counts = np.bincount(place, np.repeat(seen, size)[used], len(links)).astype(np.int64)
-    none = [np.zeros(0, np.int64)]
-    lists = (np.concatenate(units or none), np.concatenate(times or none), np.where(seen > 0, size, 0), place)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([docs], schema.field("docs").type), *(_list(x.astype(np.int32), pa.int32()) for x in lists), *(_list(x, pa.int64()) for x in (links, counts))],
-        schema=schema,
-    )
+        docs.append(dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "different"), (i, *numbers, digest, different))))
+    lists = ([docs], [_pack(places)], [_pack(times)], [links], [counts])
+    return pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(lists, schema)], schema=schema)
 
 
 def _blocks_task(files, block_bytes: int, part_bytes: int, schema: pa.Schema):
@@ -235,22 +244,21 @@ def _blocks_task(files, block_bytes: int, part_bytes: int, schema: pa.Schema):
 
 
 def _sums_task(schema: pa.Schema):
-    """Sums over a document's links: of each unit from the counts of its block's list, then of each document from its units."""
+    """Sums over a document's links, from the counts of its block's list."""
 
     def task(batches):
         for batch in batches:
             for row in range(len(batch)):
                 one = batch.slice(row, 1)
-                units, times, size, place, count, best = (
-                    one[c].flatten().to_numpy(zero_copy_only=False) for c in ("units", "times", "unit_size", "unit_links", "count", "best")
-                )
-                end = np.cumsum(size)
-                sums = [np.diff(np.append(0, np.cumsum(x[place]))[np.append(0, end)]) for x in (best.astype(np.int64), count)]
+                docs = one["docs"][0].as_py()
+                count, best = (one[c].flatten().to_numpy(zero_copy_only=False) for c in ("count", "best"))
+                n = sum(d["different"] for d in docs)
+                steps, times = (_unpack(one[c][0].as_py(), n) for c in ("places", "times"))
                 out, at = [], 0
-                for d in one["docs"][0].as_py():
+                for d in docs:
                     to = at + d.pop("different")
-                    n_best, count_sum = (int((times[at:to] * x[units[at:to]]).sum()) for x in sums)
-                    out.append(d | {"n_best": n_best, "count_sum": count_sum})
+                    mine, often = np.cumsum(steps[at:to]), times[at:to]
+                    out.append(d | {"n_best": int(often[best[mine] == 1].sum()), "count_sum": int((often * count[mine]).sum())})
                     at = to
                 yield pa.RecordBatch.from_pylist(out, schema)
 
@@ -273,7 +281,7 @@ def blocks(docs: DataFrame, files: tuple[bytes, bytes], block_bytes: int = 4 <<
 def link_counts(encoded: DataFrame) -> DataFrame:
     """link, a, b, count and best (whether no other link of b has more) of all links of the blocks."""
     listed = encoded.select(F.inline(F.arrays_zip("links", "counts")))
-    sums = staged(listed.groupBy(F.col("links").alias("link")).agg(F.sum("counts").alias("count")), "links")
+    sums = staged(listed.groupBy(F.col("links").alias("link")).agg(F.sum("counts").alias("count")).filter("count > 0"), "links")
     sums = sums.withColumns({"a": F.shiftright("link", 31).cast("int"), "b": F.col("link").bitwiseAND(_SIDE - 1).cast("int")})
     most = sums.groupBy("b").agg(F.max("count").alias("most"))
     return sums.join(most, "b").select("link", "a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
@@ -286,8 +294,8 @@ def align(docs: DataFrame, byte_level: str, pieces: str, block_bytes: int = 4 <<
     """
     encoded = blocks(docs, read_vocabularies(byte_level, pieces), block_bytes, part_bytes)
     counts = link_counts(encoded).select("link", "count", F.col("best").cast("int").alias("best"))
-    places = encoded.select("block", F.posexplode("links").alias("place", "link")).join(counts, "link")
-    found = F.sort_array(F.collect_list(F.struct("place", "count", "best")))
+    places = encoded.select("block", F.posexplode("links").alias("place", "link")).join(counts, "link", "left")
+    found = F.sort_array(F.collect_list(F.struct("place", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("best", F.lit(0)).alias("best"))))
     known = places.groupBy("block").agg(found.alias("found")).select("block", F.col("found.count").alias("count"), F.col("found.best").alias("best"))
     met = encoded.drop("links", "counts").join(known, "block", "left")
     none = F.array().cast("array<bigint>"), F.array().cast("array<int>")
