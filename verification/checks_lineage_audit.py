@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lakegauge.operators import audit, catalog, lineage, node_pool
+from lakegauge.operators import audit, catalog, governance, lineage, node_pool, reach
 from verification.registry import check
 
 S, T = "source_table_full_name", "target_table_full_name"
@@ -75,12 +75,56 @@ check("lineage_closure_upstream", closure_sql("main.gold.t7", "t", "s"))(lambda
 
 
 @check("column_closure", f"""WITH RECURSIVE pairs AS (SELECT s AS a, t AS b FROM {FULL}),
-    starts AS (SELECT DISTINCT a AS root FROM pairs WHERE a LIKE 'main.bronze.t1%'),
+    starts AS (SELECT DISTINCT a AS root FROM pairs),
     walk(root, full_name, depth) AS (SELECT root, b, 1 FROM pairs JOIN starts ON a = root UNION SELECT w.root, p.b, w.depth + 1 FROM walk w JOIN pairs p ON p.a = w.full_name WHERE w.depth < (SELECT count(DISTINCT a) FROM pairs))
     SELECT root, full_name, min(depth) AS depth FROM walk GROUP BY 1, 2""")
 def _(t):
     pairs = lineage.column_pairs(t.cl)
-    return lineage.lineage_closure(pairs, pairs.filter("source LIKE 'main.bronze.t1%'").select(F.col("source").alias("root")).distinct())
+    return lineage.lineage_closure(pairs, pairs.select(F.col("source").alias("root")).distinct())
+
+
+def reach_sql(edges):
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT s, t FROM {edges}), n AS (SELECT s AS full_name FROM e UNION SELECT t FROM e),
+    r(a, b) AS (SELECT s, t FROM e UNION SELECT r.a, e.t FROM r JOIN e ON e.s = r.b),
+    p AS (SELECT full_name, least(full_name, min(x.b)) AS part FROM n LEFT JOIN (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a) x ON x.a = full_name GROUP BY full_name),
+    pe AS (SELECT DISTINCT x.part AS s, y.part AS t FROM e JOIN p x ON x.full_name = s JOIN p y ON y.full_name = t WHERE x.part <> y.part),
+    up(part, level) AS (SELECT part, 0 FROM p UNION SELECT pe.s, level + 1 FROM up JOIN pe ON pe.t = up.part)
+    SELECT full_name, (SELECT count(*) FROM p q WHERE q.part = p.part) AS part_size, (SELECT count(*) FROM r WHERE a = full_name) AS reached,
+      (SELECT max(level) FROM up WHERE up.part = p.part) AS depth FROM p"""
+
+
+TABLE_EDGES = f"(SELECT DISTINCT {S} AS s, {T} AS t FROM tl WHERE {S} IS NOT NULL AND {T} IS NOT NULL)"
+check("lineage_reach", reach_sql(TABLE_EDGES))(lambda t: reach.reach(lineage.table_pairs(t.tl)))
+check("lineage_reach_upstream", reach_sql(f"(SELECT t AS s, s AS t FROM {TABLE_EDGES})"))(lambda t: reach.reach(lineage.table_pairs(t.tl), "upstream"))
+check("column_reach", reach_sql(FULL))(lambda t: reach.reach(lineage.column_pairs(t.cl)))
+
+
+# Personal data: a table with a column of such a name marks its columns; what is derived from them carries the mark.
+@check("pii_reach", f"""WITH RECURSIVE e AS (SELECT s, t FROM {FULL}), ends AS (SELECT s AS full_name FROM e UNION SELECT t FROM e),
+    marked AS (SELECT DISTINCT concat(catalog, '.', database, '.', table_name) AS tab, regexp_extract(lower(col_name), '{governance.PII_COLUMNS}', 1) AS mark FROM cc WHERE regexp_matches(lower(col_name), '{governance.PII_COLUMNS}')),
+    walk(full_name, mark, steps) AS (SELECT full_name, mark, 0 FROM ends JOIN marked ON split_part(full_name, '::', 1) = tab
+      UNION SELECT t, mark, steps + 1 FROM walk JOIN e ON s = full_name WHERE steps < (SELECT count(*) FROM ends))
+    SELECT full_name, mark, min(steps) AS steps FROM walk GROUP BY 1, 2""")
+def _(t):
+    pairs = lineage.column_pairs(t.cl)
+    name = F.concat_ws(".", "catalog", "database", "table_name")
+    found = governance.pii_columns(t.cc).select(name.alias("tab"), F.regexp_extract(F.lower("col_name"), governance.PII_COLUMNS, 1).alias("mark")).distinct()
+    ends = pairs.select(F.col("source").alias("full_name")).union(pairs.select("target")).distinct()
+    marks = ends.withColumn("tab", F.split_part("full_name", F.lit("::"), F.lit(1))).join(found, "tab").select("full_name", "mark")
+    return reach.carry_marks(pairs, marks)
+
+
+# Two windows of events: the closure of the first is kept up to date with what the second no longer has and has anew.
+FIRST, SECOND = "day(event_time) <= 20", "day(event_time) > 8"
+
+
+@check("closure_delta", f"""WITH RECURSIVE pairs AS (SELECT DISTINCT {S} AS a, {T} AS b FROM tl WHERE {S} IS NOT NULL AND {T} IS NOT NULL AND {SECOND}),
+    walk(root, full_name, depth) AS (SELECT a, b, 1 FROM pairs UNION SELECT w.root, p.b, w.depth + 1 FROM walk w JOIN pairs p ON p.a = w.full_name WHERE w.depth < (SELECT count(DISTINCT a) FROM pairs))
+    SELECT root, full_name, min(depth) AS depth FROM walk GROUP BY 1, 2""")
+def _(t):
+    before, after = (lineage.table_pairs(t.tl.filter(window)) for window in (FIRST, SECOND))
+    kept = lineage.lineage_closure(before, before.select(F.col("source").alias("root")).distinct())
+    return reach.update_closure(kept, before, after.join(before, ["source", "target"], "left_anti"), before.join(after, ["source", "target"], "left_anti"))
 
 
 # ---- catalog ----
