@@ -81,6 +81,5 @@ def qi_build(spark: SparkSession, history: DataFrame, root: str, origin: str = "
 
 def read_qi(spark: SparkSession, root: str, name: str, origin: str | None = "real") -> DataFrame:
     """One built table, scoped to an origin by partition."""
-    files.recover(spark, root)
     df = files.read_table(spark, f"{root}/{name}")
     return df if origin is None else df.filter(F.col("data_origin") == origin)

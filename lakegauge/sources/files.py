@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import re
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 from datetime import date
@@ -98,54 +99,107 @@ def _moved(fs, source, target) -> None:
         raise OSError(f"could not move {source} to {target}")
 
 
-def _beside(target: str) -> str:
-    """Where the old rows of a folder wait while new ones are moved in; readers skip names with an underscore."""
-    parent, _, name = target.rpartition("/")
-    return f"{parent}/_old-{name}"
+#: A pointer file below a root names the live version of every folder published through that root; the highest number counts.
+_POINTER = "_live-"
+_VERSION = "_v-"
 
 
-def _put_back(spark: SparkSession, targets: Sequence[str]) -> None:
-    for target in targets:
-        fs, path = _fs(spark, target)
-        _, old = _fs(spark, _beside(target))
-        if fs.exists(old):
-            fs.delete(path, True)
-            _moved(fs, old, path)
+def _names(fs, folder) -> list[str]:
+    return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def _read_pointer(spark: SparkSession, root: str, name: str) -> dict[str, str]:
+    """Folder -> version, both below ``root``."""
+    fs, path = _fs(spark, f"{root}/{name}")
+    stream = fs.open(path)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return dict(line.split("\t") for line in text.splitlines())
+
+
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    fs, folder = _fs(spark, root)
+    return sorted(n for n in _names(fs, folder) if n.startswith(_POINTER))
+
+
+def _live(spark: SparkSession, root: str) -> dict[str, str]:
+    """The versions that the newest pointer below ``root`` names. A pointer that is cleaned away while it is read has a newer one."""
+    while names := _pointers(spark, root):
+        try:
+            return _read_pointer(spark, root, names[-1])
+        except Exception:  # the file system's own error, by way of the JVM
+            if names[-1] in _pointers(spark, root):
+                raise
+    return {}
+
+
+def _live_folder(spark: SparkSession, table: str, name: str) -> str:
+    """Where the rows of the folder ``name`` of a table are: its newest published version, or the folder itself."""
+    above, _, own = table.rstrip("/").rpartition("/")
+    found = [f"{root}/{live[key]}" for root, key in ((table, name), (above, f"{own}/{name}")) if key in (live := _live(spark, root))]
+    found = [v for v in found if (where := _fs(spark, v))[0].exists(where[1])]
+    return max(found, key=lambda v: v.rpartition("/")[2], default=f"{table}/{name}")
 
 
 def recover(spark: SparkSession, root: str) -> None:
-    """Undo a publication below ``root`` that was cut off: every folder it names gets its old rows back."""
-    fs, journal = _fs(spark, f"{root}/_publishing")
-    if fs.exists(journal):
-        _put_back(spark, spark.read.text(f"{root}/_publishing").toPandas()["value"].tolist())
-        fs.delete(journal, True)
+    """Delete what publications through ``root`` left behind: versions that none of the last two pointers names, older pointers, cut-off ones.
+
+    For a writer that holds the tables; readers never need it, since rows that no pointer names are not read.
+    """
+    fs, folder = _fs(spark, root)
+    *older, before, last = ["", "", *_pointers(spark, root)]
+    kept = [_read_pointer(spark, root, n) for n in (before, last) if n]
+    used = {v.rpartition("/")[2] for pointer in kept for v in pointer.values()}
+    for target in {t for pointer in kept for t in pointer}:
+        fs_target, path = _fs(spark, f"{root}/{target}")
+        newest = max((v for pointer in kept if (v := pointer.get(target, "").rpartition("/")[2])), default="")
+        for name in _names(fs_target, path):
+            # A newer version was published through the root above or below.
+            if name.startswith(_VERSION) and name not in used and name < newest:
+                fs_target.delete(_fs(spark, f"{root}/{target}/{name}")[1], True)
+    for name in [n for n in older if n]:
+        fs.delete(_fs(spark, f"{root}/{name}")[1], False)
 
 
 def publish(spark: SparkSession, root: str, moves: Mapping[str, str]) -> None:
-    """Put written folders (values) in the place of live ones (keys), all or none.
+    """Make written folders (values) the rows of live ones (keys, below ``root``), all or none.
 
-    A journal below ``root`` names the live folders, old rows are moved beside them, new ones in. Deleting the journal is the
-    commit. If a step fails, or the job dies and ``recover`` (or the next publication) finds the journal, all old rows come back.
+    Each becomes a version inside its live folder, under a name that readers skip. Then one small pointer file names the live versions; giving it
+    its name is the commit. Readers take the newest pointer and so see all old or all new rows at any time, and write nothing. The versions before
+    stay for readers that have begun; those before them are deleted. A job that dies leaves versions that nobody reads. Of two writers at once, the
+    later one finds the pointer's number taken and fails.
     """
-    recover(spark, root)
-    spark.createDataFrame([(t,) for t in moves], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_publishing")
-    _, journal = _fs(spark, f"{root}/_publishing")
+    last = (_pointers(spark, root) or [f"{_POINTER}{0:010}"])[-1]
+    live = _live(spark, root)
+    fs, _ = _fs(spark, root)
+    made = []
     try:
         for target, staged in moves.items():
-            fs, path = _fs(spark, target)
-            _, old = _fs(spark, _beside(target))
-            _, new = _fs(spark, staged)
-            fs.delete(old, True)
-            if fs.exists(path):
-                _moved(fs, path, old)
+            version = f"{target}/{_VERSION}{time.time_ns():020}-{uuid.uuid4().hex}"
+            _, path = _fs(spark, version)
             fs.mkdirs(path.getParent())
-            _moved(fs, new, path)
+            _moved(fs, _fs(spark, staged)[1], path)
+            made.append(path)
+            live[target.removeprefix(f"{root}/")] = version.removeprefix(f"{root}/")
+        _, draft = _fs(spark, f"{root}/_publishing-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        try:
+            out.write("".join(f"{t}\t{v}\n" for t, v in live.items()).encode())
+        finally:
+            out.close()
+        made.append(draft)
+        _, pointer = _fs(spark, f"{root}/{_POINTER}{int(last.removeprefix(_POINTER)) + 1:010}")
+        if fs.exists(pointer):
+            raise OSError(f"{pointer} was published by another writer")
+        _moved(fs, draft, pointer)
     except BaseException:
-        recover(spark, root)
+        for path in made:
+            fs.delete(path, True)
         raise
-    fs.delete(journal, True)
-    for target in moves:
-        fs.delete(_fs(spark, _beside(target))[1], True)
+    # Rows from before the first publication lie in the folder itself.
+    recover(spark, root)
 
 
 def staged_partition(df: DataFrame, root: str) -> str:
@@ -167,10 +221,10 @@ def replace_partition(df: DataFrame, root: str, origin: str) -> None:
 
 
 def append_partition(df: DataFrame, root: str, origin: str) -> None:
-    (df.drop("data_origin") if "data_origin" in df.columns else df).write.mode("append").parquet(
-        partition_path(root, origin)
-    )
-    df.sparkSession.catalog.refreshByPath(root)
+    spark = df.sparkSession
+    rows = df.drop("data_origin") if "data_origin" in df.columns else df
+    rows.write.mode("append").parquet(_live_folder(spark, root, partition_path("", origin)[1:]))
+    spark.catalog.refreshByPath(root)
 
 
 def drop_partition(spark: SparkSession, root: str, origin: str) -> None:
@@ -186,12 +240,13 @@ def has_rows_for(spark: SparkSession, root: str, origin: str) -> bool:
 
 
 def read_table(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    """A table written partition by partition; ``data_origin`` comes from the folder names."""
-    recover(spark, root)
+    """A table written partition by partition; ``data_origin`` comes from the folder names. Of published folders, the live versions are read."""
     reader = spark.read.option("basePath", root)
     if schema is not None:
         reader = reader.schema(T.StructType([*schema.fields, T.StructField("data_origin", T.StringType())]))
-    return reader.parquet(root)
+    fs, folder = _fs(spark, root)
+    parts = [n for n in _names(fs, folder) if n.startswith("data_origin=")]
+    return reader.parquet(*[_live_folder(spark, root, n) for n in sorted(parts)] or [root])
 
 
 def materialise_tables(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet") -> DataFrame:

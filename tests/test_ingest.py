@@ -44,19 +44,50 @@ def test_a_swap_that_fails_leaves_the_old_rows(spark, tmp_path, monkeypatch):
         files.publish(spark, root, moves)
     assert [r.x for t in tables for r in files.read_table(spark, t).collect()] == [1, 1, 1]
 
-    # The job dies in the middle: nothing is undone until the next reader or writer finds the journal.
-    calls.clear()
-    monkeypatch.setattr(files, "recover", lambda *_: None)
-    moves = {files.partition_path(t, "real"): files.staged_partition(new, t) for t in tables}
-    with pytest.raises(OSError):
-        files.publish(spark, root, moves)
-    monkeypatch.undo()
-    files.recover(spark, root)
-    assert [r.x for t in tables for r in files.read_table(spark, t).collect()] == [1, 1, 1]
     files.publish(spark, root, {files.partition_path(t, "real"): files.staged_partition(new, t) for t in tables})
     assert [r.x for t in tables for r in files.read_table(spark, t).collect()] == [2, 2, 2]
 
 
+def test_readers_see_all_old_or_all_new_rows_and_undo_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    tables = [f"{root}/{t}" for t in ("a", "b", "c")]
+
+    def seen():
+        return [r.x for t in tables for r in files.read_table(spark, t).collect()]
+
+    def publish(x):
+        df = spark.createDataFrame([(x,)], "x int")
+        files.publish(spark, root, {files.partition_path(t, "real"): files.staged_partition(df, t) for t in tables})
+
+    publish(1)
+    early = files.read_table(spark, tables[0])
+    real, between = files._moved, []
+
+    def watched(fs, source, target):
+        between.append(seen())
+        real(fs, source, target)
+        between.append(seen())
+
+    monkeypatch.setattr(files, "_moved", watched)
+    publish(2)
+    monkeypatch.undo()
+    assert between == [[1, 1, 1]] * 7 + [[2, 2, 2]] and seen() == [2, 2, 2]
+    assert [r.x for r in early.collect()] == [1]  # a reader that began before
+    # A job that dies before the commit leaves versions that nobody reads, and the next writer goes on.
+    monkeypatch.setattr(files, "_moved", lambda fs, source, target: None if "_live-" in target.getName() else real(fs, source, target))
+    publish(3)
+    monkeypatch.undo()
+    assert seen() == [2, 2, 2]
+    for x in (4, 5, 6):
+        publish(x)
+    assert seen() == [6, 6, 6]
+    assert len(list((tmp_path / "a" / "data_origin=real").glob("_v-*"))) == 2
+    files.append_partition(spark.createDataFrame([(7,)], "x int"), tables[0], "real")
+    assert sorted(seen()) == [6, 6, 6, 7]
+    files.replace_partition(spark.createDataFrame([(8,)], "x int"), tables[1], "real")
+    assert sorted(seen()) == [6, 6, 7, 8]
+
+
 def test_append_skips_loaded_keys_but_keeps_repeats(spark, tmp_path):
     root = str(tmp_path)
     schema = "record_id string, usage_end_time timestamp_ntz, usage_quantity double"
