@@ -5,7 +5,8 @@ adds the blank itself; special tokens are neither added nor recognised. A token
 U+2581 as a blank and <0xHH> as that byte. A text has tokens if the bytes of either side joined are a blank and the text.
 
 Texts are cut into units before each blank that stands alone between two other characters: there neither side has a token across (checked on both vocabularies
-when they are read; otherwise a text is one unit), so units give the same ids as the whole text, and a unit that many texts share is encoded once in a block.
+when they are read; otherwise a text is one unit), so units give the same ids as the whole text, and a unit that
+many texts share is encoded once in a block; a worker keeps a bounded number of short ones for its next blocks.
 
 Either side's cumulative ends go into a dictionary from end to index. Ends in both dictionaries (an intersection of their keys as hash sets, sorted) slice the two
 lists of ids into groups; units end with a slice. Links are expanded a slice: in it, each stretch between two neighbouring ends of either side lies
@@ -48,6 +49,8 @@ _BLANK = "▁"
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 #: Units encoded in one call.
 _CALL = 1 << 13
+#: Units of up to so many characters are kept encoded by a worker, about so many.
+_SHORT, _KEPT = 32, 1 << 17
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -73,6 +76,7 @@ class Sides:
         symbols = byte_of_symbol()
         entry = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         self.bytes_a = [self._of_entry(entry.get(i, ""), symbols) for i in range(max(entry) + 1)]
+        self.known: dict[str, tuple[list, list, bool]] = {}
         self.bytes_b = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -102,8 +106,19 @@ class Sides:
             yield _LONE.split(text[at:to])
             at = to + 1
 
-    def encode(self, units: list[str]) -> tuple[list, list, np.ndarray]:
+    def encode(self, units: list[str], often: list[int]) -> tuple[list, list, np.ndarray]:
         """Ids of both sides of each unit, empty where a side's bytes are not a blank and the unit; and whether they are."""
+        new = [x for x in units if x not in self.known]
+        a, b, right = self._encode(new)
+        found = dict(zip(new, zip(a, b, right.tolist())))
+        told = [found.get(x) or self.known[x] for x in units]
+        # Short units that the block repeats are kept for the blocks that follow.
+        if len(self.known) > _KEPT:
+            self.known.clear()
+        self.known.update((x, found[x]) for x, n in zip(units, often) if n > 1 and len(x) <= _SHORT and x in found)
+        return [x[0] for x in told], [x[1] for x in told], np.array([x[2] for x in told], bool)
+
+    def _encode(self, units: list[str]) -> tuple[list, list, np.ndarray]:
         a, b = [], []
         for at in range(0, len(units), _CALL):
             some = units[at : at + _CALL]
@@ -138,8 +153,8 @@ def common_ends(end_a: np.ndarray, end_b: np.ndarray) -> list[np.ndarray]:
 class Aligned:
     """Units laid end to end: of each its numbers, links and what the digest shows of it."""
 
-    def __init__(self, sides: Sides, units: list[str]):
-        ids_a, ids_b, self.right = sides.encode(units)
+    def __init__(self, sides: Sides, units: list[str], often: list[int]):
+        ids_a, ids_b, self.right = sides.encode(units, often)
         (a, size_a), (b, size_b) = (
             (np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))) for ids in (ids_a, ids_b)
         )
@@ -196,7 +211,8 @@ def _block(sides: Sides, ids: list, values: list, part: int, schema: pa.Schema)
     for text in _texts(values):
         parts = sides.units(text, part) if text else ()
         found.append([np.array([index.setdefault(u, len(index)) for u in some], np.int32) for some in parts])
-    aligned = Aligned(sides, list(index))
+    often = np.bincount(np.concatenate([np.zeros(0, np.int32), *(some for parts in found for some in parts)]), minlength=len(index))
+    aligned = Aligned(sides, list(index), often.tolist())
     links, place = np.unique(aligned.links, return_inverse=True)
     size, counts = aligned.numbers[3], np.zeros(len(links), np.int64)
     docs, places, times = [], [], []
