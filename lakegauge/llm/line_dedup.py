@@ -1,8 +1,8 @@
 """Repeated lines over the whole corpus, up to one edit, by deletion neighbourhoods. DataFrame functions only.
 
 A line is compared lower-cased and without outer blanks. Lines with fewer than ``min_chars`` characters are never near others, since
-short lines are one edit apart by chance; ``exact_chars`` says from which length on their exact repeats go all the same. The query leaves
-them alone, as its SQL twin does; the pipeline's stage compares every line that is not blank. Lines are ordered by doc_id, then by their place in the text. A line goes if an earlier one equals it or is one inserted, deleted or replaced
+short lines are one edit apart by chance; ``exact_chars`` says from which length on their exact repeats go all the same. The query and
+the pipeline's stage compare every line that is not blank. Lines are ordered by doc_id, then by their place in the text. A line goes if an earlier one equals it or is one inserted, deleted or replaced
 character away; all lines are judged on the input, and the earliest of a kind stays.
 
 * Equal lines: the earliest by two 64-bit hashes. From here on each distinct line counts once, so a line that a third of all
@@ -13,7 +13,8 @@ character away; all lines are judged on the input, and the earliest of a kind st
   they meet it. So a key never makes all pairs. Pairs are verified by edit distance on the texts.
 * Only lines that can have a neighbour emit variants. One edit lies in one of ``parts`` stretches of a line and leaves what is before
   and behind it alone, so neighbours share the hash of the rest for some stretch; lines that share none emit nothing. This
-  loses no neighbour. Texts of the lines that are left are picked from a second scan through a bitmap of fixed size, so other lines'
+  loses no neighbour. Whether a key has company is told by its least and greatest line, so a stretch that a third of all lines share
+  is reduced before the shuffle. Texts of the lines that are left are picked from a second scan through a bitmap of fixed size, so other lines'
   texts are not shuffled.
 
 Null texts stay null, empty ones empty. Rows without doc_id come last. Repeated rows of one document are treated alike. An
@@ -57,9 +58,9 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def _with_company(lines: DataFrame, parts_keys: str) -> DataFrame:
     """h1 of the lines that share one of their keys with another line."""
-    keyed = lines.select("h1", F.explode(parts_keys).alias("key")).distinct()
-    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    return shared.select("h1").distinct()
+    keyed = lines.select("h1", F.explode(parts_keys).alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).filter("least < most").select("key")
+    return keyed.join(shared, "key", "left_semi").select("h1").distinct()
 
 
 def _picked(lines: DataFrame, wanted: DataFrame) -> DataFrame:

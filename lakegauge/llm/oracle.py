@@ -11,11 +11,11 @@ WITH lines AS (
 ),
 firsts AS (
   SELECT norm, length(norm) AS n, min((doc_id, pos)) AS first, row_number() OVER (ORDER BY norm) AS id
-  FROM lines WHERE length(norm) >= 20 GROUP BY norm
+  FROM lines WHERE length(norm) >= 1 GROUP BY norm
 ),
 halves AS (
   SELECT id, m, h, s FROM (
-    SELECT id, n, norm, unnest([n, n - 1]) AS m FROM firsts
+    SELECT id, n, norm, unnest([n, n - 1]) AS m FROM firsts WHERE n >= 20
   ), LATERAL (SELECT unnest([0, 1]) AS s), LATERAL (
     SELECT CASE s WHEN 0 THEN left(norm, m // 2) ELSE right(norm, m - m // 2) END AS h
   )

@@ -26,7 +26,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.remove_lines(_table(spark, sf_dir, "documents"), min_chars=20)
+    found = line_dedup.remove_lines(_table(spark, sf_dir, "documents"), min_chars=20, exact_chars=1)
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_counted", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 

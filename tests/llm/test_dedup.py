@@ -88,7 +88,10 @@ def one_edit(a, b):
     return a[k:] == b[k + 1 :]
 
 
-def line_brute(rows, min_chars):
+def line_brute(rows, min_chars, exact_chars=None):
+    """``exact_chars``: length from which on exact repeats go; near ones go from ``min_chars`` on."""
+    exact_chars = min_chars if exact_chars is None else exact_chars
+
     def normal(line):
         return line.strip(" \t\r").lower()
 
@@ -96,21 +99,22 @@ def line_brute(rows, min_chars):
     first = {}
     for i, t in sorted(((i, t) for i, t in rows if t is not None), key=lambda r: r[0]):
         for k, line in enumerate(t.split("\n")):
-            if len(normal(line)) >= min_chars:
+            if len(normal(line)) >= exact_chars:
                 first.setdefault(normal(line), (i, k))
-    gone = {x for x in first for y in first if first[y] < first[x] and one_edit(x, y)}
+    long = [x for x in first if len(x) >= min_chars]
+    gone = {x for x in long for y in long if first[y] < first[x] and one_edit(x, y)}
     out = []
     for i, t in rows:
         if t is None:
             out.append((None if i == LAST else i, None, 0, 0))
             continue
-        keep = [x for k, x in enumerate(t.split("\n")) if len(normal(x)) < min_chars or (first[normal(x)] == (i, k) and normal(x) not in gone)]
+        keep = [x for k, x in enumerate(t.split("\n")) if len(normal(x)) < exact_chars or (first[normal(x)] == (i, k) and normal(x) not in gone)]
         out.append((None if i == LAST else i, "\n".join(keep), t.count("\n") + 1, t.count("\n") + 1 - len(keep)))
     return sorted(out, key=str)
 
 
-def line_rows(docs, min_chars):
-    found = line_dedup.remove_lines(docs, min_chars).select("row.doc_id", "text", "n_lines", "n_removed")
+def line_rows(docs, min_chars, exact_chars=None):
+    found = line_dedup.remove_lines(docs, min_chars, exact_chars=exact_chars).select("row.doc_id", "text", "n_lines", "n_removed")
     return sorted((tuple(r) for r in found.collect()), key=str)
 
 
@@ -133,6 +137,18 @@ def test_lines_random_edits(corpus, seed):
     assert line_rows(corpus(rows), 4) == line_brute(rows, 4)
 
 
+def test_lines_awkward_rows_short_ones_too(corpus, mixed):
+    assert line_rows(corpus(mixed), 20, 1) == line_brute(mixed, 20, 1)
+
+
+def test_lines_with_one_common_half(corpus):
+    """A half that every line has: its lines still meet, by the other stretches, and only near ones go."""
+    half = "the same beginning of every line in the table, "
+    rows = [(i, f"{half}{i * 7919:08d}{'x' * (i % 3)}\nok") for i in range(300)]
+    rows += [(1000 + i, f"{half}{i * 7919:08d}{'x' * (i % 3)}!") for i in range(0, 300, 50)]
+    assert line_rows(corpus(rows), 20, 1) == line_brute(rows, 20, 1)
+
+
 def test_lines_stage_keeps_columns_and_drops_copies(corpus, mixed):
     docs = corpus(mixed)
     left = line_dedup.without_repeated_lines(docs)
