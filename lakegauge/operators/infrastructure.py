@@ -86,28 +86,56 @@ def warehouse_demand_curve(events: DataFrame) -> DataFrame:
     )
 
 
+def _stretches(first: Column, end: Column) -> Column:
+    """(level, place) of the aligned stretches of 2^level minutes that make up the minutes from ``first`` up to, but not with, ``end``.
+
+    On each level at most one stretch sticks out on the left and one on the right, so there are at most two a level.
+    """
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(end - first, F.lit(1)))).cast("int"))
+
+    def on_level(k: Column) -> Column:
+        size = F.pow(F.lit(2), k).cast("bigint")
+        left, right = F.ceil(first / size).cast("bigint"), F.floor(end / size).cast("bigint")
+        inside = left < right
+        return F.array(
+            F.struct(k.alias("level"), F.when(inside & (left % 2 == 1), left).alias("place")),
+            F.struct(k.alias("level"), F.when(inside & (right % 2 == 1), right - 1).alias("place")),
+        )
+
+    return F.filter(F.flatten(F.transform(levels, on_level)), lambda x: x["place"].isNotNull())
+
+
 def query_window_utilization(statements: DataFrame, timeline: DataFrame) -> DataFrame:
     """Mean CPU and memory of the cluster over the minutes a statement ran in.
 
     ``statements`` has (statement_id, cluster_id, start_time, end_time). Samples are first reduced to one row per
-    (cluster, minute); a statement then meets one row for each of its minutes, so samples and statements of a busy
-    cluster are not paired.
+    (cluster, minute), then summed up over aligned stretches of 1, 2, 4, ... minutes, as long as a statement of the cluster
+    needs them. A statement meets the stretches that make up its time: at most two a length, so some 30 rows for one that
+    ran for months, and samples and statements of a busy cluster are not paired. A statement that ends before it starts, or has no
+    end, counts with the minute of its start.
     """
-    minute = F.date_trunc("minute", F.col("start_time")).alias("_minute")
-    samples = timeline.filter(F.col("cluster_id").isNotNull()).groupBy("cluster_id", minute).agg(
+    def minute(at: Column) -> Column:
+        return F.floor(F.unix_timestamp(F.date_trunc("minute", at)) / 60).cast("bigint")
+
+    samples = timeline.filter(F.col("cluster_id").isNotNull()).groupBy("cluster_id", minute(F.col("start_time")).alias("_minute")).agg(
         F.sum(F.col("cpu_user_percent") + F.col("cpu_system_percent")).alias("_cpu"),
         F.count(F.col("cpu_user_percent") + F.col("cpu_system_percent")).alias("_ncpu"),
         F.sum("mem_used_percent").alias("_mem"),
         F.count("mem_used_percent").alias("_nmem"),
         _n().alias("_n"),
     )
-    first = F.date_trunc("minute", F.col("start_time"))
-    last = F.date_trunc("minute", F.coalesce("end_time", "start_time"))
-    minutes = F.sequence(first, F.greatest(first, last), F.expr("interval 1 minute"))
     ran = statements.filter(F.col("cluster_id").isNotNull() & F.col("start_time").isNotNull())
-    spread = ran.select("statement_id", "cluster_id", F.explode(minutes).alias("_minute"))
+    first, last = minute(F.col("start_time")), minute(F.coalesce("end_time", "start_time"))
+    pieces = ran.select("statement_id", "cluster_id", F.inline(_stretches(first, F.greatest(first, last) + 1)))
+    longest = pieces.groupBy("cluster_id").agg(F.max("level").alias("_longest"))
+    sums = (
+        samples.join(longest, "cluster_id")
+        .withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_longest"))))
+        .groupBy("cluster_id", "level", F.floor(F.col("_minute") / F.pow(F.lit(2), F.col("level"))).cast("bigint").alias("place"))
+        .agg(*[F.sum(c).alias(c) for c in ("_cpu", "_ncpu", "_mem", "_nmem", "_n")])
+    )
     return (
-        spread.join(samples, ["cluster_id", "_minute"])
+        pieces.join(sums, ["cluster_id", "level", "place"])
         .groupBy("statement_id")
         .agg(
             F.sum("_n").alias("samples"),

@@ -126,13 +126,14 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 def profile_columns(df: DataFrame, table: str, samples: int = 5) -> DataFrame:
     """Type and first distinct values (in text order) of every column.
 
-    Each task keeps the few smallest values of a column before the shuffle (window group limit); only these are made distinct.
+    Values are made distinct first, so a column with few values comes to a window of few rows; of a column with many, each task keeps
+    the few smallest before the shuffle (window group limit).
     """
     typed = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v")) for c in typed])
     values = df.select(F.inline(pairs)).filter(F.col("v").isNotNull())
-    rank = F.dense_rank().over(Window.partitionBy("column_name").orderBy("v"))
-    head = values.withColumn("_rn", rank).filter(F.col("_rn") <= samples).drop("_rn").distinct()
+    rank = F.row_number().over(Window.partitionBy("column_name").orderBy("v"))
+    head = values.distinct().withColumn("_rn", rank).filter(F.col("_rn") <= samples).drop("_rn")
     packed = head.groupBy("column_name").agg(F.array_sort(F.collect_list("v")).alias("sample_values"))
     names = df.sparkSession.createDataFrame([(table, c, k) for c, k in typed.items()], "table_name string, column_name string, data_type string")
     return names.join(packed, "column_name", "left").select(
