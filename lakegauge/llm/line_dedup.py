@@ -34,8 +34,8 @@ _BITS = 1 << 26
 _BUCKET = 1 << 15
 
 
-def _normal(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(" \t\r")))
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r"))
 
 
 def _rest_keys(line: Column, size: Column, parts: int) -> Column:
@@ -51,8 +51,9 @@ def _rest_keys(line: Column, size: Column, parts: int) -> Column:
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_order, doc_key, pos, line, h1, h2 of every line that counts."""
-    each = docs.select("doc_order", "doc_key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    each = each.withColumn("line", _normal(F.col("line"))).filter(F.length("line") >= min_chars)
+    # Made normal inside the array, so that no filter repeats the work: lower() sees the whole text, and no case rule crosses a line end.
+    normal = F.transform(F.split(F.lower("text"), "\n"), _trimmed)
+    each = docs.select("doc_order", "doc_key", F.posexplode(normal).alias("pos", "line")).filter(F.length("line") >= min_chars)
     return each.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
@@ -114,7 +115,8 @@ def remove_lines(docs: DataFrame, min_chars: int = 20, parts: int = 16, exact_ch
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     text = F.col("text").cast("string")
     keyed = docs.select(F.struct("*").alias("row"), order.alias("doc_order"), F.xxhash64(text).alias("doc_key"), text.alias("text"))
-    lines = _lines(keyed.select("doc_order", "doc_key", "text"), shortest)
+    texts = keyed.select("doc_order", "doc_key", "text")
+    lines = _lines(texts, shortest)
     long_enough = F.length("line") >= min_chars
 
     first = F.min(F.struct("doc_order", "doc_key", "pos")).alias("first")
@@ -122,7 +124,7 @@ def remove_lines(docs: DataFrame, min_chars: int = 20, parts: int = 16, exact_ch
     distinct = lines.withColumn("keys", F.when(long_enough, halves)).groupBy("h1", "h2").agg(first, F.first("keys").alias("keys"))
     distinct = staged(distinct, "lines")
     wanted = staged(_with_company(distinct, "keys"), "wanted")
-    few = _picked(lines.filter(long_enough), wanted).join(wanted, "h1", "left_semi")
+    few = _picked(_lines(texts, min_chars), wanted).join(wanted, "h1", "left_semi")
     few = staged(few.groupBy("h1", "h2").agg(first, F.first("line").alias("line")), "few")
     few = few.join(_with_company(few.withColumn("keys", _rest_keys(F.col("line"), F.length("line"), parts)), "keys"), "h1", "left_semi")
     near = near_lines(staged(few, "near"))
@@ -132,8 +134,9 @@ def remove_lines(docs: DataFrame, min_chars: int = 20, parts: int = 16, exact_ch
     all_lines = F.split("text", "\n")
     joined = keyed.join(kept, ["doc_order", "doc_key"], "left").select("row", "text", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
     joined = joined.withColumn("lines", all_lines)
-    short = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.length(_normal(F.col("lines")[i])) < shortest)
-    joined = joined.withColumn("short", F.when(F.col("text").isNotNull(), short))
+    sizes = F.transform(F.split(F.lower("text"), "\n"), lambda x, i: F.struct(i.alias("i"), F.length(_trimmed(x)).alias("n")))
+    short = F.transform(F.filter(sizes, lambda s: s["n"] < shortest), lambda s: s["i"])
+    joined = joined.withColumn("short", short)
     stay = F.sort_array(F.concat("short", "kept"))
     left = F.array_join(F.transform(stay, lambda i: F.col("lines")[i]), "\n")
     count = F.coalesce(F.size("lines"), F.lit(0))
