@@ -23,6 +23,9 @@ empty table gives an empty result. Other columns pass through.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -35,7 +38,9 @@ _BUCKET = 1 << 15
 
 
 def _trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r"))
+    """The line without outer blanks; most have none, and btrim() with characters of its own walks the whole line."""
+    outer = reduce(or_, (end(c) for c in " \t\r" for end in (line.startswith, line.endswith)))
+    return F.when(outer, F.btrim(line, F.lit(" \t\r"))).otherwise(line)
 
 
 def _rest_keys(line: Column, size: Column, parts: int) -> Column:
@@ -50,11 +55,15 @@ def _rest_keys(line: Column, size: Column, parts: int) -> Column:
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_order, doc_key, pos, line, h1, h2 of every line that counts."""
-    # Made normal inside the array, so that no filter repeats the work: lower() sees the whole text, and no case rule crosses a line end.
-    normal = F.transform(F.split(F.lower("text"), "\n"), _trimmed)
-    each = docs.select("doc_order", "doc_key", F.posexplode(normal).alias("pos", "line")).filter(F.length("line") >= min_chars)
-    return each.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
+    """doc_order, doc_key, pos, line, h1 of every line that counts."""
+    # lower() sees the whole text, and no case rule crosses a line end. Blanks go after the explosion, which generated code can follow.
+    each = docs.select("doc_order", "doc_key", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+    each = each.withColumn("line", _trimmed(F.col("line"))).filter(F.length("line") >= min_chars)
+    return each.withColumn("h1", F.xxhash64("line"))
+
+
+def _second_hash(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
 def _with_company(lines: DataFrame, parts_keys: str) -> DataFrame:
@@ -73,13 +82,16 @@ def _picked(lines: DataFrame, wanted: DataFrame) -> DataFrame:
         wanted.select(bit(F.col("h1")).alias("bit")).groupBy(F.floor(F.col("bit") / _BUCKET).alias("bucket"))
         .agg(F.expr(f"bitmap_construct_agg(bit % {_BUCKET})").alias("bits"))
     )
-    at = F.col("bit") % _BUCKET
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    # Words of 64 bits, read once a bucket and not once a line; the first byte of eight is the word's highest.
+    words = F.transform(F.sequence(F.lit(0), F.lit(_BUCKET // 64 - 1)), lambda i: F.conv(F.hex(F.substring("bits", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    bitmap = bitmap.select("bucket", words.alias("words"))
+    at = (F.col("bit") % _BUCKET).cast("int")
+    word = F.get("words", F.shiftright(at, 6))
     return (
         lines.withColumn("bit", bit(F.col("h1"))).withColumn("bucket", F.floor(F.col("bit") / _BUCKET))
         .join(F.broadcast(bitmap), "bucket")
-        .filter(F.getbit(byte, (at % 8).cast("int")) == 1)
-        .drop("bit", "bucket", "bits")
+        .filter(F.getbit(word, (7 - F.shiftright(at, 3) % 8) * 8 + at % 8) == 1)
+        .drop("bit", "bucket", "words")
     )
 
 
@@ -116,7 +128,7 @@ def remove_lines(docs: DataFrame, min_chars: int = 20, parts: int = 16, exact_ch
     text = F.col("text").cast("string")
     keyed = docs.select(F.struct("*").alias("row"), order.alias("doc_order"), F.xxhash64(text).alias("doc_key"), text.alias("text"))
     texts = keyed.select("doc_order", "doc_key", "text")
-    lines = _lines(texts, shortest)
+    lines = _second_hash(_lines(texts, shortest))
     long_enough = F.length("line") >= min_chars
 
     first = F.min(F.struct("doc_order", "doc_key", "pos")).alias("first")
@@ -125,20 +137,19 @@ def remove_lines(docs: DataFrame, min_chars: int = 20, parts: int = 16, exact_ch
     distinct = staged(distinct, "lines")
     wanted = staged(_with_company(distinct, "keys"), "wanted")
     few = _picked(_lines(texts, min_chars), wanted).join(wanted, "h1", "left_semi")
-    few = staged(few.groupBy("h1", "h2").agg(first, F.first("line").alias("line")), "few")
+    few = staged(_second_hash(few).groupBy("h1", "h2").agg(first, F.first("line").alias("line")), "few")
     few = few.join(_with_company(few.withColumn("keys", _rest_keys(F.col("line"), F.length("line"), parts)), "keys"), "h1", "left_semi")
     near = near_lines(staged(few, "near"))
 
     kept = distinct.join(near, ["h1", "h2"], "left_anti")
     kept = kept.groupBy("first.doc_order", "first.doc_key").agg(F.sort_array(F.collect_list("first.pos")).alias("kept"))
-    all_lines = F.split("text", "\n")
     joined = keyed.join(kept, ["doc_order", "doc_key"], "left").select("row", "text", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
-    joined = joined.withColumn("lines", all_lines)
-    sizes = F.transform(F.split(F.lower("text"), "\n"), lambda x, i: F.struct(i.alias("i"), F.length(_trimmed(x)).alias("n")))
-    short = F.transform(F.filter(sizes, lambda s: s["n"] < shortest), lambda s: s["i"])
-    joined = joined.withColumn("short", short)
-    stay = F.sort_array(F.concat("short", "kept"))
-    left = F.array_join(F.transform(stay, lambda i: F.col("lines")[i]), "\n")
+    # Lower case can change a length, but not whether a line is blank.
+    joined = joined.withColumn("lines", F.split("text", "\n")).withColumn("cased", F.split(F.lower("text"), "\n") if shortest > 1 else F.col("lines"))
+    short = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.length(_trimmed(F.col("cased")[i])) < shortest)
+    joined = joined.withColumn("short", F.when(F.col("text").isNotNull(), short)).withColumn("stay", F.sort_array(F.concat("short", "kept")))
+    some = F.array_join(F.transform("stay", lambda i: F.col("lines")[i]), "\n")
+    left = F.when(F.size("stay") == F.size("lines"), F.col("text")).otherwise(some)
     count = F.coalesce(F.size("lines"), F.lit(0))
     counted = F.when(F.col("text").isNotNull(), count - F.size("short")).otherwise(0)
     return joined.select(

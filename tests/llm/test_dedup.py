@@ -149,6 +149,17 @@ def test_lines_with_one_common_half(corpus):
     assert line_rows(corpus(rows), 20, 1) == line_brute(rows, 20, 1)
 
 
+def test_lines_with_outer_blanks_and_case(corpus):
+    """Outer blanks and case do not count, inner ones do; letters that lower case makes longer or that depend on their place."""
+    line = "One line of More than twenty Characters"
+    rows = [
+        (1, f"{line}\n\t \r\n\tshort\r\nΟΔΟΣ İSTANBUL, a line of some length"), (2, f" \t{line.upper()}\r\nshort \nsh\tort"),
+        (3, f"{line.replace(' ', chr(9))}\n\nοδος i̇stanbul, A LINE of some length\t"), (4, f"{line[:-1]}\u00a0\n \u00a0"), (None, f"\r{line} \t"),
+    ]
+    for shortest in (1, 3, None):
+        assert line_rows(corpus(rows), 20, shortest) == line_brute(rows, 20, shortest)
+
+
 def test_lines_stage_keeps_columns_and_drops_copies(corpus, mixed):
     docs = corpus(mixed)
     left = line_dedup.without_repeated_lines(docs)
