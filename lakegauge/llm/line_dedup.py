@@ -122,7 +122,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
 
 def remove_lines(docs: DataFrame, min_chars: int = 20, parts: int = 16, exact_chars: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) without repeated lines, as ``row`` (the input row), ``text`` (what is left), ``n_lines``, ``n_counted``
-    (lines that are long enough) and ``n_removed``. Exact repeats go from ``exact_chars`` characters on (``min_chars`` if null)."""
+    (lines that are long enough), ``n_removed`` and ``n_kept`` (of those that are long enough). Exact repeats go from ``exact_chars`` characters on (``min_chars`` if null)."""
     shortest = min_chars if exact_chars is None else min(exact_chars, min_chars)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     text = F.col("text").cast("string")
@@ -155,11 +155,15 @@ def remove_lines(docs: DataFrame, min_chars: int = 20, parts: int = 16, exact_ch
     return joined.select(
         "row", F.when(F.col("text").isNotNull(), left).alias("text"), F.when(F.col("text").isNotNull(), count).otherwise(0).alias("n_lines"),
         counted.alias("n_counted"), F.when(F.col("text").isNotNull(), counted - F.size("kept")).otherwise(0).alias("n_removed"),
+        F.size("kept").alias("n_kept"),
     )
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     """docs with the lines that stay, n_chars counted anew; a document that lost lines and has nothing but blank text left goes."""
-    found = remove_lines(docs, min_chars, exact_chars=1).filter((F.col("n_removed") == 0) | (F.length(F.btrim("text", F.lit(" \t\r\n"))) > 0))
+    # Lines that count are those that are not blank. The condition looks at what the join gave and the input text: one on the new text would
+    # be pushed below, where the text is cut anew for each of its lines.
+    before = F.coalesce(F.col("row").getField("text").cast("string"), F.lit(""))
+    found = remove_lines(docs, min_chars, exact_chars=1).filter((F.col("n_kept") > 0) | (F.btrim(before, F.lit(" \t\r\n")) == ""))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
