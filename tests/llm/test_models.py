@@ -114,6 +114,44 @@ def test_bradley_terry_ranks_by_the_feature_that_matters():
     assert abs((score < 0.7).mean() - (label == 0).mean()) < 0.01
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """The few rows of label 0 come after 20,000 others in the order of hashed ids."""
+    ids = spark.range(28_000).filter(~language_id.held_out(F.col("id"))).orderBy(F.xxhash64("id").desc())
+    few = [r.id for r in ids.limit(6).collect()]
+    bad = F.col("doc_id").isin(few)
+    docs = spark.range(28_000).withColumnRenamed("id", "doc_id").select("doc_id", bad.alias("bad"))
+    docs = docs.select("doc_id", F.when(bad, "!!! ## $$ !!!").otherwise(F.concat(F.lit("some words of text "), "doc_id")).alias("text"), (~F.col("bad")).cast("int").alias("quality"))
+    ranking = quality.learn(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    assert ranking.flat is None
+    score = {r.text: r.score for r in quality.predict(docs, ranking).join(docs, "doc_id").filter(F.col("doc_id").isin(few[0], 1)).collect()}
+    assert len(score) == 2 and score["!!! ## $$ !!!"] < 0.7 <= score["some words of text 1"]
+
+
+@pytest.mark.parametrize("good, bad", [(3, 2), (9, 200), (700, 5), (40, 40)])
+def test_quality_cells_hold_every_row_and_enough_rivals(spark, good, bad):
+    label = [1] * good + [0] * bad
+    nth = [*range(good), *range(bad)]
+    rows = spark.createDataFrame([(k % 3, n // 3, v, [float(n)]) for v, size in ((1, good), (0, bad)) for n in range(size) for k in [n % 3]], "task int, nth long, label int, x array<double>")
+    per = {(t, v): len(range(t, size, 3)) for v, size in ((1, good), (0, bad)) for t in range(3)}
+    before = {(t, v): sum(per[u, v] for u in range(t)) for t, v in per}
+    held = quality.dealt(rows, before, good, bad, 2).collect()
+    met = {(v, x) for h in held for v, x in zip(h.label, h.x)}
+    assert met == {(v, float(n)) for v, n in zip(label, nth)}
+    assert all(h.label.count(v) >= min(2, good, bad) for h in held for v in (0, 1))
+    few = int(good < bad)
+    assert sum(h.label.count(1 - few) for h in held) == max(good, bad) and max(len(h.label) for h in held) <= 24
+
+
+def test_quality_pairs_are_those_of_the_cells():
+    rng = np.random.default_rng(3)
+    z, w = rng.normal(size=(60, 3)), rng.normal(size=3)
+    label, cell = rng.integers(0, 2, 60), np.sort(rng.integers(0, 7, 60))
+    d = np.array([z[i] - z[j] for i in range(60) for j in range(60) if label[i] == 1 and label[j] == 0 and cell[i] == cell[j]])
+    p = 1 / (1 + np.exp(-d @ w))
+    gradient, hessian = quality.pair_sums(z, label, cell, w)
+    assert np.allclose(gradient, d.T @ (p - 1)) and np.allclose(hessian, (d * (p * (1 - p))[:, None]).T @ d)
+
+
 def test_features_of_a_text_do_not_depend_on_its_neighbours(prose):
     texts = [prose(k, 30 + k, lines=3) for k in range(6)] + ["", "A!!", "x | y |\nz"]
 
