@@ -202,13 +202,23 @@ def publish(spark: SparkSession, root: str, moves: Mapping[str, str]) -> None:
     recover(spark, root)
 
 
-def staged_partition(df: DataFrame, root: str) -> str:
-    """Write the rows of one origin next to their table and return where."""
+def staged_folder(df: DataFrame, root: str) -> str:
+    """Write rows below a table's folder, under a name that readers skip, and return where."""
     staged = f"{root}/_staged-{uuid.uuid4().hex}"
-    (df.drop("data_origin") if "data_origin" in df.columns else df).write.parquet(staged)
+    df.write.parquet(staged)
     return staged
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
+
+
+def staged_partition(df: DataFrame, root: str) -> str:
+    """Write the rows of one origin next to their table and return where."""
+    return staged_folder(df.drop("data_origin") if "data_origin" in df.columns else df, root)
+
+
 def replace_partition(df: DataFrame, root: str, origin: str) -> None:
     """Replace the rows of one origin and leave the other origin alone.
 

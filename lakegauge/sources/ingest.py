@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakegauge.functions.checkpoints import cut
 from lakegauge.functions.common import conform
 from lakegauge.operators.scope import ORIGINS
 from lakegauge.schemas import CURSOR_COLUMNS, DEDUP_KEYS, LOAD_ORDER, SCHEMAS, struct
@@ -218,9 +217,17 @@ def load_table(df: DataFrame, root: str, table: str, origin: str, replace: bool
     elif replace or table == "workspaces" or not files.has_rows_for(spark, path, origin):
         files.replace_partition(new, path, origin)
     else:
-        if table in DEDUP_KEYS:
-            new = rows_to_append(new, files.read_table(spark, path), DEDUP_KEYS[table])
-        files.append_partition(new, path, origin)
+        if table not in DEDUP_KEYS:
+            files.append_partition(new, path, origin)
+            return
+        # Keys meet keys; what they share is mostly little, so that whole rows need not travel to meet it.
+        keys = [DEDUP_KEYS[table], "data_origin"]
+        shared = files.read_table(spark, path).select(*keys).join(new.select(*keys), keys, "left_semi").distinct()
+        folder = files.staged_folder(shared, path)
+        try:
+            files.append_partition(rows_to_append(new, spark.read.schema(shared.schema).parquet(folder), keys[0]), path, origin)
+        finally:
+            files.drop_folder(spark, folder)
 
 
 def ingest_all(
@@ -270,9 +277,10 @@ def read_cursors(spark: SparkSession, root: str) -> DataFrame:
 def incremental_load(spark: SparkSession, frames: Mapping[str, DataFrame], root: str, origin: str = "real") -> DataFrame:
     """Append what is newer than each table's cursor and advance the cursors; returns the cursor rows of this run.
 
-    The new rows are taken once, as a written snapshot. Rows that the table already holds are left out, so a run that died after
-    its rows and before its cursor does not load them twice, and rows without a time load once. A row sent again under a
-    known key with a newer time does not replace the loaded one, as in every append.
+    The new rows are taken once, as a written snapshot that goes after the load. Rows that the table already holds are left out, so a run that
+    died after its rows and before its cursor does not load them twice, and rows without a time load once. Only loaded rows after the cursor and
+    those without a time can equal a new one, so no others are compared. A row sent again under a known key with a newer time does not replace the
+    loaded one, as in every append.
     """
     known = {
         r["table_name"]: r["max_update_time"]
@@ -284,16 +292,24 @@ def incremental_load(spark: SparkSession, frames: Mapping[str, DataFrame], root:
             continue
         if time_column not in frames[table].columns:
             continue
+        path = f"{root}/{table}"
         new = conform(rows_after(frames[table], time_column, known.get(table)), struct(table))
-        if files.has_rows_for(spark, f"{root}/{table}", origin):
-            loaded = files.read_table(spark, f"{root}/{table}").filter(F.col("data_origin") == origin)
-            new = rows_not_in(new, loaded.drop("data_origin"))
-        new = cut(new)
-        # The cursor is taken before the load, from the same rows.
-        moved = spark.createDataFrame(next_cursor(new, table, origin).collect(), CURSOR_SCHEMA)
-        if new.isEmpty():
-            continue
-        load_table(new, root, table, origin, replace=False)
-        moved.filter(F.col("rows_ingested") > 0).write.mode("append").parquet(f"{root}/ingest_cursors")
+        if files.has_rows_for(spark, path, origin):
+            loaded = files.read_table(spark, path).filter(F.col("data_origin") == origin).drop("data_origin")
+            recent = rows_after(loaded, time_column, known.get(table))
+            if not recent.isEmpty():
+                new = rows_not_in(new, recent)
+        snapshot = files.staged_folder(new, root)
+        try:
+            new = spark.read.schema(new.schema).parquet(snapshot)
+            # The cursor is taken before the load, from the same rows.
+            cursor = next_cursor(new, table, origin).collect()
+            if not cursor[0]["rows_ingested"]:
+                continue
+            load_table(new, root, table, origin, replace=False)
+        finally:
+            files.drop_folder(spark, snapshot)
+        moved = spark.createDataFrame(cursor, CURSOR_SCHEMA)
+        moved.write.mode("append").parquet(f"{root}/ingest_cursors")
         run = moved if run is None else run.unionByName(moved)
     return run if run is not None else spark.createDataFrame([], CURSOR_SCHEMA)
