@@ -3,6 +3,9 @@
 The wide frame is computed once and written to a staging folder next to the tables. The six tables are then read from
 it with column pruning, so texts are analysed once and not six times, nothing has to fit in memory, and a lost executor
 only costs its own tasks. All six are written before any is published, and they are published together.
+
+Reading a statement's text takes far longer than reading its row, and millions of statements fit into one or two input splits. So rows are first dealt
+to all cores by their values.
 """
 
 from __future__ import annotations
@@ -32,6 +35,13 @@ RUN_SCHEMA = (
 )
 
 
+def spread(history: DataFrame) -> DataFrame:
+    """The rows dealt by id, text and start, as far as there are such columns, to several tasks a core."""
+    spark = history.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return history.repartition(tasks, *[c for c in ("statement_id", "statement_text", "start_time") if c in history.columns])
+
+
 def build_tables(staged: DataFrame) -> dict[str, DataFrame]:
     """The six tables as frames over the staged wide rows."""
     statements = query_etl.qi_expensive(query_etl.qi_statements(staged))
@@ -49,7 +59,7 @@ def qi_build(spark: SparkSession, history: DataFrame, root: str, origin: str = "
     status, problem, statements, bad = "success", None, 0, 0
     stage = f"{root}/_stage-{run_id}"
     try:
-        flat = query_etl.analyse(history.drop("data_origin"))
+        flat = query_etl.analyse(spread(history.drop("data_origin")))
         keyed = F.col("statement_id").isNotNull()
         watched = flat.observe(
             seen, F.count(F.lit(1)).alias("rows"), F.sum(F.when(keyed, 0).otherwise(1)).alias("bad")

@@ -185,6 +185,18 @@ def test_build_replaces_one_origin_and_counts_bad_rows(spark, tmp_path):
     assert spark.read.parquet(f"{root}/qi_extract_runs").count() == 3
 
 
+def test_build_deals_few_input_splits_to_all_cores(spark, tmp_path):
+    root = str(tmp_path)
+    rows = [(str(n) if n % 10 else None, f"SELECT a FROM m.s.t{n}", n) for n in range(300)]
+    history = spark.createDataFrame(rows, "statement_id string, statement_text string, total_duration_ms bigint").coalesce(1)
+    assert qi_build.spread(history).select(F.spark_partition_id()).distinct().count() >= 4 * spark.sparkContext.defaultParallelism // 2
+    run = qi_build.qi_build(spark, history, root).first()
+    assert (run.statements, run.bad_rows) == (270, 30)
+    assert len(list((tmp_path / "qi_statements").rglob("part-*.parquet"))) > 1
+    # Without these columns, rows are dealt as they come.
+    assert qi_build.spread(spark.range(5).coalesce(1)).count() == 5
+
+
 def test_stream_load_resumes_and_drops_repeats(spark, tmp_path):
     source, table, mark = (str(tmp_path / n) for n in ("in", "table", "mark"))
     schema = "id string, at timestamp"
