@@ -150,6 +150,24 @@ def test_alignment(corpus, texts):
     assert aligned(alignment.align(docs.repartition(3), *FILES, block_bytes=100, part_bytes=7)) == want
 
 
+def test_units_are_encoded_without_their_places():
+    sides = alignment.Sides(*alignment.read_vocabularies(*FILES))
+    whole = sides.a
+
+    class IdsOnly:
+        def encode_batch(self, *args, **options):
+            raise AssertionError("places in the text were worked out")
+
+        def encode_batch_fast(self, *args, **options):
+            return whole.encode_batch_fast(*args, **options)
+
+    sides.a = IdsOnly()
+    units = ["plain", "Ünï 日本 🙂", "<|endoftext|>", "a  b\n\tc", "\u0301x", "1234567"]
+    a, _, _ = sides.encode(units, [1] * len(units))
+    right = [whole.encode(" " + x, add_special_tokens=False).ids for x in units]
+    assert [x or y for x, y in zip(a, right)] == right and a[0] == right[0]
+
+
 def test_alignment_of_long_texts(corpus, prose):
     rng = random.Random(5)
     long = "".join(rng.choice([" ", "  ", "\n", " ", " ", ""]) + rng.choice(["word", "É", "don't", "42", "🙂", ",", "xyz"]) for _ in range(1500)).strip()
