@@ -6,7 +6,8 @@ U+2581 as a blank and <0xHH> as that byte. A text has tokens if the bytes of eit
 
 Texts are cut into units before each blank that stands alone between two other characters: there neither side has a token across (checked on both vocabularies
 when they are read; otherwise a text is one unit), so units give the same ids as the whole text, and a unit that
-many texts share is encoded once in a block; a worker keeps a bounded number of short ones for its next blocks.
+many texts share is encoded once in a block; a worker keeps a bounded number of short ones for its next blocks. Side A gets neighbouring units as one
+text, for the same reason, and its ids are cut where a unit's bytes end.
 
 Either side's cumulative ends go into a dictionary from end to index. Ends in both dictionaries (an intersection of their keys as hash sets, sorted) slice the two
 lists of ids into groups; units end with a slice. Links are expanded a slice: in it, each stretch between two neighbouring ends of either side lies
@@ -26,10 +27,12 @@ Rows without doc_id and repeated rows are rows of their own, each counted. An em
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
+from collections import defaultdict
 from functools import cache
 from itertools import chain
 
@@ -47,12 +50,22 @@ _SIDE = 1 << 31
 _BLANK = "▁"
 #: A blank that stands alone between two other characters.
 _LONE = re.compile(r"(?<=\S) (?=\S)")
+#: A blank beside another ASCII character that is white space.
+_BESIDE = ["  ", *(x for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f" for x in (f"{c} ", f" {c}"))]
 #: Units encoded in one call.
 _CALL = 1 << 13
+#: Units that side A encodes as one text.
+_RUN = 1 << 7
 #: Units of up to so many characters are kept encoded by a worker, about so many.
 _SHORT, _KEPT = 32, 1 << 17
 
 
+def _split(text: str) -> list[str]:
+    """The stretches between lone blanks; where every blank is one, the search for a plain blank finds them faster."""
+    plain = text.isascii() and text[:1] != " " and text[-1:] != " " and not any(pair in text for pair in _BESIDE)
+    return text.split(" ") if plain else _LONE.split(text)
+
+
 def byte_of_symbol() -> dict[str, int]:
     """Bytes by their symbol in byte-level vocabularies: printable Latin-1 stands for itself, the rest, in order, from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -103,7 +116,7 @@ class Sides:
         while at < len(text):
             cut = _LONE.search(text, at + part)
             to = cut.start() if cut else len(text)
-            yield _LONE.split(text[at:to])
+            yield _split(text[at:to])
             at = to + 1
 
     def encode(self, units: list[str], often: list[int]) -> tuple[list, list, np.ndarray]:
@@ -118,16 +131,38 @@ class Sides:
         self.known.update((x, found[x]) for x, n in zip(units, often) if n > 1 and len(x) <= _SHORT and x in found)
         return [x[0] for x in told], [x[1] for x in told], np.array([x[2] for x in told], bool)
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of side A, without places in the text, which nobody reads; the ids are the same."""
+        return [x.ids for x in self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
+
+    def _ids_a(self, units: list[str], length: np.ndarray) -> list[list[int]]:
+        """Ids of side A of each unit of so many bytes, its blank included. Neighbours with a lone blank between them are encoded as one text and cut there."""
+        runs = [units[at : at + _RUN] for at in range(0, len(units), _RUN)]
+        joined = [" ".join(run) for run in runs]
+        lone = [self.cuts and _split(text) == run for text, run in zip(joined, runs)]
+        told = iter(self._ids([text for text, one in zip(joined, lone) if one]))
+        out = []
+        for k, run in enumerate(runs):
+            ids = next(told) if lone[k] else []
+            end = np.cumsum(self.length_a[ids])
+            to = np.cumsum(length[k * _RUN : k * _RUN + len(run)])
+            last = np.searchsorted(end, to)
+            # Bytes that differ may hide where a unit ends.
+            if len(end) and end[-1] == to[-1] and (end[last] == to).all():
+                last = (last + 1).tolist()
+                out += [ids[i:j] for i, j in zip([0, *last], last)]
+            else:
+                out += self._ids(run)
+        return out
+
     def _encode(self, units: list[str]) -> tuple[list, list, np.ndarray]:
-        a, b = [], []
-        for at in range(0, len(units), _CALL):
-            some = units[at : at + _CALL]
-            # Without places in the text, which nobody reads; the ids are the same.
-            a += [x.ids for x in self.a.encode_batch_fast([" " + x for x in some], add_special_tokens=False)]
-            b += self.b.encode(some, num_threads=1)
         whole = [b" " + x.encode() for x in units]
         right = np.ones(len(units), bool)
         length = np.fromiter(map(len, whole), np.int64, len(whole))
+        a, b = [], []
+        for at in range(0, len(units), _CALL):
+            a += self._ids_a(units[at : at + _CALL], length[at : at + _CALL])
+            b += self.b.encode(units[at : at + _CALL], num_threads=1)
         for ids, known, of_id in ((a, self.bytes_a, self.length_a), (b, self.bytes_b, self.length_b)):
             # All at once; one by one only if something differs.
             same = b"".join(map(known.__getitem__, chain.from_iterable(ids))) == b"".join(whole)
@@ -199,9 +234,9 @@ def _texts(values: list) -> list[str | None]:
     return out
 
 
-def _pack(values: list[np.ndarray]) -> bytes:
+def _pack(values: np.ndarray) -> bytes:
     """Whole numbers, compressed."""
-    return pa.compress(np.concatenate([np.zeros(0, np.int64), *values]).astype("<i4").tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(values.astype("<i4").tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
@@ -209,38 +244,56 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def _block(sides: Sides, ids: list, values: list, part: int, schema: pa.Schema) -> pa.RecordBatch:
-    index: dict[str, int] = {}
+    index: defaultdict[str, int] = defaultdict()
+    index.default_factory = index.__len__  # a unit's number is its place among the different ones
     found = []  # of each text: the units of its parts, by number
     for text in _texts(values):
         parts = sides.units(text, part) if text else ()
-        found.append([np.array([index.setdefault(u, len(index)) for u in some], np.int32) for some in parts])
-    often = np.bincount(np.concatenate([np.zeros(0, np.int32), *(some for parts in found for some in parts)]), minlength=len(index))
-    aligned = Aligned(sides, list(index), often.tolist())
+        found.append([np.fromiter(map(index.__getitem__, some), np.int64, len(some)) for some in parts])
+    unit = np.concatenate([np.zeros(0, np.int64), *(some for parts in found for some in parts)])
+    owner = np.repeat(np.arange(len(found)), [sum(map(len, parts)) for parts in found])
+    aligned = Aligned(sides, list(index), np.bincount(unit, minlength=len(index)).tolist())
     links, place = np.unique(aligned.links, return_inverse=True)
-    size, counts = aligned.numbers[3], np.zeros(len(links), np.int64)
-    docs, places, times = [], [], []
-    for i, parts in zip(ids, found):
-        numbers, digest, different = [0] * 4, "", 0
-        if parts and all(aligned.right[some].all() for some in parts):
+    whole = np.bincount(owner, ~aligned.right[unit], minlength=len(found)) == 0
+    unit, owner = unit[whole[owner]], owner[whole[owner]]
+    numbers = np.stack([np.bincount(owner, x[unit], minlength=len(found)).astype(np.int64) for x in aligned.numbers], axis=1).tolist()
+    # The different units of each text, then its different links, with how often it has them.
+    pair, often = np.unique(owner * len(index) + unit, return_counts=True)
+    owner, unit = np.divmod(pair, max(1, len(index)))
+    many = aligned.numbers[3][unit]
+    at = np.arange(many.sum()) + np.repeat(aligned.link_at[unit] - np.cumsum(many) + many, many)
+    pair = np.repeat(owner, many) * len(links) + place[at]
+    order = np.argsort(pair)
+    pair, often = pair[order], np.repeat(often, many)[order]
+    new = np.flatnonzero(np.diff(pair, prepend=-1))
+    times = np.add.reduceat(often, new) if len(new) else often
+    owner, mine = np.divmod(pair[new], max(1, len(links)))
+    counts = np.bincount(mine, times, minlength=len(links)).astype(np.int64)
+    different = np.bincount(owner, minlength=len(found)).tolist()
+    begins = np.diff(owner, prepend=-1) > 0
+    places = np.where(begins, mine, np.diff(mine, prepend=0))
+    docs = []
+    for k, (i, parts) in enumerate(zip(ids, found)):
+        digest = ""
+        if parts and whole[k]:
             sha = hashlib.sha256()
-            for k, some in enumerate(parts):
-                sha.update((";" * (k > 0) + ";".join(map(aligned.shown.__getitem__, some.tolist()))).encode())
+            for nth, some in enumerate(parts):
+                sha.update((";" * (nth > 0) + ";".join(map(aligned.shown.__getitem__, some.tolist()))).encode())
             digest = sha.hexdigest()
-            numbers = sum(aligned.numbers[:, some].sum(axis=1) for some in parts).tolist()
-            units, often = np.unique(np.concatenate(parts), return_counts=True)
-            many = size[units]
-            at = np.arange(many.sum()) + np.repeat(aligned.link_at[units] - np.cumsum(many) + many, many)
-            mine, back = np.unique(place[at], return_inverse=True)
-            often = np.bincount(back, np.repeat(often, many), len(mine)).astype(np.int64)
-            counts[mine] += often
-            different = len(mine)
-            places.append(np.diff(mine, prepend=0))
-            times.append(often)
-        docs.append(dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "different"), (i, *numbers, digest, different))))
+        docs.append(dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "different"), (i, *numbers[k], digest, different[k]))))
     lists = ([docs], [_pack(places)], [_pack(times)], [links], [counts])
     return pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(lists, schema)], schema=schema)
 
 
+def _made(*block) -> pa.RecordBatch:
+    """A block. Its many lists of ids are in no cycles, so Python does not search them for any meanwhile."""
+    gc.disable()
+    try:
+        return _block(*block)
+    finally:
+        gc.enable()
+
+
 def _blocks_task(files, block_bytes: int, part_bytes: int, schema: pa.Schema):
     def task(batches):
         sides = _sides(*files.value)
@@ -254,10 +307,10 @@ def _blocks_task(files, block_bytes: int, part_bytes: int, schema: pa.Schema):
                     values.append(value)
                     size += len(value or b"") + 64
                     if size >= block_bytes:
-                        yield _block(sides, ids, values, part_bytes, schema)
+                        yield _made(sides, ids, values, part_bytes, schema)
                         ids, values, size = [], [], 0
         if ids:
-            yield _block(sides, ids, values, part_bytes, schema)
+            yield _made(sides, ids, values, part_bytes, schema)
 
     return task
 

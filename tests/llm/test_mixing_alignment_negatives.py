@@ -168,6 +168,27 @@ def test_units_are_encoded_without_their_places():
     assert [x or y for x, y in zip(a, right)] == right and a[0] == right[0]
 
 
+def test_neighbouring_units_are_encoded_as_one_text():
+    sides = alignment.Sides(*alignment.read_vocabularies(*FILES))
+    whole, sent = sides.a, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    rng = random.Random(7)
+    units = list(dict.fromkeys(rng.choice(["", "É", "日本", "<|endoftext|>", "a\nb", "don't", "x\u0301"]) + f"{rng.randrange(10**6)}z" for _ in range(2000)))
+    odd = ["  two", "end ", "\n", "\u00a0y", " "]  # their blanks would not be lone
+    sides.a = Counting()
+    for some in (units, units[:300] + odd + units[300:]):
+        sent.clear()
+        a, b, right = sides._encode(some)
+        alone = [whole.encode(" " + x, add_special_tokens=False).ids for x in some]
+        assert [x for x, ok in zip(a, right) if ok] == [x for x, ok in zip(alone, right) if ok]
+        assert right[: len(units[:300])].all() and len(sent) < len(some) / 4
+
+
 def test_alignment_of_long_texts(corpus, prose):
     rng = random.Random(5)
     long = "".join(rng.choice([" ", "  ", "\n", " ", " ", ""]) + rng.choice(["word", "É", "don't", "42", "🙂", ",", "xyz"]) for _ in range(1500)).strip()
