@@ -10,7 +10,7 @@ Equal sets are one class, so copies never form pairs. Within a band's bucket not
 members of other components, links merge components, used leaders leave the bucket, and the next round takes more leaders, until
 every bucket holds one component or its cross pairs are all looked at. Every other round is a probe: leaders stay, and of each member only the
 likeliest link of all its lists is looked at, which is one pair a member and merges a group of near copies before its pairs are looked at.
-Leaders come to the members as lists of bounded length; a pair leaves the task only in the first band that its two documents share (it is met there, too, as
+From the second round on, leaders and members meet as lists of bounded length, so a row is a block of pairs, and no leader is sent once a member; a pair leaves the task only in the first band that its two documents share (it is met there, too, as
 long as they are in different components), and only if it can be a link: two bounds are held against the threshold there. One counts shingles in 256 cells
 (what two sets share is at most the sum of the smaller counts, so nothing is lost); the other drops a pair if 128 one-byte
 coordinates agree in so few places that a pair at the threshold would do so less than once in 10^8. Links are confirmed on the
@@ -39,6 +39,8 @@ _SKETCH = 128
 _CELLS = 256
 #: Leaders in a list; and of a bucket in the second round and later ones.
 _LIST, _LEADERS = 32, 1024
+#: Members in a list, about; and pairs that are looked at together, which scratch memory follows.
+_MEMBERS, _PAIRS = 64, 1 << 12
 
 
 def permute32(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -134,38 +136,48 @@ def _sets_task(width: int):
     return task
 
 
+def _columns(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
+    """rep, component and n, the bands (rows, bands) and the sketch (rows, bytes) of members or leaders."""
+    rep, part, n = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "n"))
+    bands = rows.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(-1, _SKETCH + _CELLS)
+    return rep, part, n, bands, sketch
+
+
 def _possible_task(percent: int, least: int, once: bool, probe: bool):
-    """Pairs of a member and a leader of another component that can be a link: with ``once`` in the first bucket that the two share, in a probe the likeliest of a row."""
+    """Pairs of a member and a leader of another component that can be a link, from lists of both: with ``once`` in the first bucket that the
+    two share, in a probe the likeliest of a member and a list."""
 
     def task(batches):
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                rows = batch.slice(at, 512)
-                lists = rows["leaders"]
-                leaders = lists.flatten()
-                me = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
-                rep, part, n, bucket = (rows[c].to_numpy(zero_copy_only=False)[me] for c in ("rep", "component", "n", "bucket"))
-                rep2, part2, n2 = (leaders.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "n"))
-                bands, bands2 = (x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) for x in (rows["bands"], leaders.field("bands")))
-                one = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, _SKETCH + _CELLS)
-                two = np.frombuffer(b"".join(leaders.field("sketch").to_pylist()), np.uint8).reshape(-1, _SKETCH + _CELLS)
-                at_pair = np.flatnonzero((part != part2) & (100 * np.minimum(n, n2) >= percent * np.maximum(n, n2)))
+            met = np.diff(batch["members"].offsets.to_numpy()).astype(np.int64) * np.diff(batch["leaders"].offsets.to_numpy())
+            for at, to in pieces(np.append(0, np.cumsum(met)), _PAIRS):
+                rows = batch.slice(at, to - at)
+                size, size2 = (np.diff(rows[c].offsets.to_numpy()).astype(np.int64) for c in ("members", "leaders"))
+                rep, part, n, bands, one = _columns(rows["members"].flatten())
+                rep2, part2, n2, bands2, two = _columns(rows["leaders"].flatten())
+                # Every member of a row with every leader of it.
+                row = np.repeat(np.arange(len(rows)), size * size2)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(size * size2) - size * size2, size * size2)
+                me, lead = (np.cumsum(size) - size)[row] + nth // size2[row], (np.cumsum(size2) - size2)[row] + nth % size2[row]
+                may = (part[me] != part2[lead]) & (100 * np.minimum(n[me], n2[lead]) >= percent * np.maximum(n[me], n2[lead]))
+                row, me, lead = row[may], me[may], lead[may]
                 if once:
-                    first = (bands[me[at_pair]] == bands2[at_pair]).argmax(axis=1)
-                    at_pair = at_pair[bands2[at_pair, first] == bucket[at_pair]]
-                x, y = one[me[at_pair]], two[at_pair]
+                    first = (bands[me] == bands2[lead]).argmax(axis=1)
+                    here = bands2[lead, first] == rows["bucket"].to_numpy(zero_copy_only=False)[row]
+                    me, lead = me[here], lead[here]
+                x, y = one[me], two[lead]
                 alike = (x[:, :_SKETCH] == y[:, :_SKETCH]).sum(axis=1)
-                x, y = x[:, _SKETCH:], y[:, _SKETCH:]
-                fewer = np.minimum(x, y)
-                most = np.where((fewer == 255).any(axis=1), np.minimum(n, n2)[at_pair], fewer.sum(axis=1, dtype=np.int64))
-                near = (alike >= least) & ((100 + percent) * most >= percent * (n + n2)[at_pair])
-                at_pair, alike = at_pair[near], alike[near]
-                if probe and len(at_pair):
-                    order = np.lexsort((-alike, me[at_pair]))
-                    order = order[np.append(True, np.diff(me[at_pair][order]) > 0)]
-                    at_pair, alike = at_pair[order], alike[order]
-                a, b = np.minimum(rep, rep2)[at_pair], np.maximum(rep, rep2)[at_pair]
-                columns = [pa.array(x, pa.int64()) for x in (rep[at_pair], alike, a, b)]
+                fewer = np.minimum(x[:, _SKETCH:], y[:, _SKETCH:])
+                most = np.where((fewer == 255).any(axis=1), np.minimum(n[me], n2[lead]), fewer.sum(axis=1, dtype=np.int64))
+                near = (alike >= least) & ((100 + percent) * most >= percent * (n[me] + n2[lead]))
+                me, lead, alike = me[near], lead[near], alike[near]
+                if probe and len(me):
+                    order = np.lexsort((-alike, me))
+                    order = order[np.append(True, np.diff(me[order]) > 0)]
+                    me, lead, alike = me[order], lead[order], alike[order]
+                a, b = np.minimum(rep[me], rep2[lead]), np.maximum(rep[me], rep2[lead])
+                columns = [pa.array(x, pa.int64()) for x in (rep[me], alike, a, b)]
                 yield pa.RecordBatch.from_arrays(columns, ["rep", "alike", "a", "b"])
 
     return task
@@ -213,7 +225,7 @@ def _link_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, percen
         sizes = now.groupBy("bucket", "component").count()
         main = (
             sizes.groupBy("bucket")
-            .agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("main"), F.count("*").alias("parts"))
+            .agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("main"), F.count("*").alias("parts"), F.sum("count").alias("crowd"))
             .filter("parts > 1").drop("parts")
         )
         now = staged(now.join(main, "bucket"), "round")
@@ -222,8 +234,14 @@ def _link_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, percen
         known = now.join(classes, "rep")
         order = Window.partitionBy("bucket").orderBy("rep")
         lead = known.filter("component <> main").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders)
-        lists = lead.groupBy("bucket", F.floor(F.col("place") / _LIST).alias("list")).agg(F.collect_list(F.struct("rep", "component", "n", "sketch", "bands")).alias("leaders"))
-        met = known.drop("main").join(lists, "bucket").select("bucket", "rep", "component", "n", "sketch", "bands", "leaders")
+        one = F.struct("rep", "component", "n", "sketch", "bands")
+        lists = lead.groupBy("bucket", F.floor(F.col("place") / _LIST).alias("list")).agg(F.collect_list(one).alias("leaders"))
+        if leaders == 1:
+            met = known.select("bucket", F.array(one).alias("members"))
+        else:  # members meet many leaders: lists meet lists, so rows and bytes do not multiply
+            part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("crowd") / _MEMBERS)).alias("part")
+            met = known.groupBy("bucket", part).agg(F.collect_list(one).alias("members"))
+        met = met.join(lists, "bucket").select("bucket", "members", "leaders")
         pairs = met.mapInArrow(_possible_task(percent, least, leaders > 1 and not probe, probe), "rep long, alike long, a long, b long")
         if probe:
             pairs = pairs.groupBy("rep").agg(F.max(F.struct("alike", "a", "b")).alias("best")).select("best.a", "best.b")
@@ -237,8 +255,9 @@ def _link_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, percen
         )
         new = staged(new, "tested")
         tested = tested.union(new.select("a", "b"))
-        links = component.toDF("a", "b").union(new.filter("linked").select("a", "b"))
-        component = staged(connected_components(links), "components")
+        linked = new.filter("linked").select("a", "b")
+        if not linked.isEmpty():
+            component = staged(connected_components(component.toDF("a", "b").union(linked)), "components")
         if not probe:
             members = now.join(lead.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep")
         leaders, probe = _LEADERS, not probe

@@ -16,6 +16,8 @@ PLAN_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # A batch for Python is held several times (Arrow on either side, and a copy); rows with lists would fill the 64 MB of the default.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 

@@ -278,3 +278,55 @@ def test_a_group_of_near_copies_takes_a_few_pairs_a_member(monkeypatch, corpus,
     found = near_dedup.near_copies(corpus([(*r, None, None) for r in rows])).collect()
     assert {r.component_id for r in found} == {0}
     assert sum(pairs) <= 10 * size
+
+
+@pytest.mark.parametrize("once, probe", [(False, False), (True, False), (False, True)])
+def test_lists_of_members_meet_lists_of_leaders(once, probe):
+    """A row is a block of pairs; what comes out is what single pairs give."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    wide = near_dedup._SKETCH + near_dedup._CELLS
+
+    def docs(first, n):
+        sketch = np.zeros((n, wide), np.uint8)
+        sketch[:, : near_dedup._SKETCH] = rng.random((n, near_dedup._SKETCH)) < 0.3
+        sketch[:, near_dedup._SKETCH :] = rng.random((n, near_dedup._CELLS)) < 0.9
+        bands = [[int(x) for x in rng.integers(0, 3, 3)] + [9] for _ in range(n)]  # all share the last
+        return [{"rep": first + k, "component": (first + k) % 5, "n": int(rng.integers(190, 260)), "sketch": sketch[k].tobytes(), "bands": bands[k]} for k in range(n)]
+
+    rows = [{"bucket": k % 3, "members": docs(100 * k, size), "leaders": docs(10**4 + 100 * k, size2)} for k, (size, size2) in enumerate([(90, 32), (1, 1), (64, 3), (2, 32)])]
+    one = pa.struct([("rep", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), ("members", pa.list_(one)), ("leaders", pa.list_(one))]))
+    least = 60
+    want = []
+    for r in rows:
+        for m in r["members"]:
+            met = []
+            for x in r["leaders"]:
+                a, b = (np.frombuffer(y["sketch"], np.uint8).astype(int) for y in (m, x))
+                alike, most = int((a[:128] == b[:128]).sum()), int(np.minimum(a[128:], b[128:]).sum())
+                shared = [p for p, q in zip(m["bands"], x["bands"]) if p == q]
+                if m["component"] == x["component"] or 100 * min(m["n"], x["n"]) < 80 * max(m["n"], x["n"]) or once and shared[:1] != [r["bucket"]]:
+                    continue
+                if alike >= least and 180 * most >= 80 * (m["n"] + x["n"]):
+                    met.append((m["rep"], alike, min(m["rep"], x["rep"]), max(m["rep"], x["rep"])))
+            want += sorted(met, key=lambda t: -t[1])[:1] if probe else met
+    found = [tuple(r.values()) for part in near_dedup._possible_task(80, least, once, probe)([batch.slice(0, 2), batch.slice(2)]) for r in part.to_pylist()]
+    assert len(want) > 50
+    assert sorted(found) == sorted(want) if not probe else sorted(t[:2] for t in found) == sorted(t[:2] for t in want)
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    """Rows of 10 kB: not ten thousand of them in a batch, nor 64 MB."""
+    import pyarrow as pa
+    from lakegauge.session import prepare
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    rows = prepare(spark).range(0, 3000, 1, 1).select(F.repeat(F.col("id").cast("string"), 4000).alias("text"))
+    assert rows.mapInArrow(sizes, "size long").agg(F.max("size")).first()[0] < 12 << 20
