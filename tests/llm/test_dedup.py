@@ -330,3 +330,14 @@ def test_batches_for_python_are_bounded_in_bytes(spark):
 
     rows = prepare(spark).range(0, 3000, 1, 1).select(F.repeat(F.col("id").cast("string"), 4000).alias("text"))
     assert rows.mapInArrow(sizes, "size long").agg(F.max("size")).first()[0] < 12 << 20
+
+
+def test_the_bitmap_of_lines_follows_the_lines(spark):
+    from pyspark.sql import functions as F
+
+    assert line_dedup._bits(0) == line_dedup._bits(1) == 1 << 15 and line_dedup._bits(28_000) == 1 << 21 and line_dedup._bits(10**9) == 1 << 26
+    lines = spark.range(20_000).select(F.xxhash64("id").alias("h1"), "id")
+    wanted = lines.filter("id % 100 = 0").select("h1")
+    found = [r.id for r in line_dedup._picked(lines, wanted).select("id").collect()]
+    assert set(range(0, 20_000, 100)) <= set(found) and len(found) == len(set(found)) < 1000
+    assert line_dedup._picked(lines, wanted.limit(0)).count() == 0
