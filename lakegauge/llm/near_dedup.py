@@ -231,7 +231,9 @@ def _link_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, percen
         now = staged(now.join(main, "bucket"), "round")
         if now.isEmpty():
             return component
-        known = now.join(classes, "rep")
+        once = leaders > 1 and not probe
+        # Only the search for the first bucket that two share reads the bands, nearly half of a row.
+        known = now.join(classes if once else classes.withColumn("bands", F.array().cast("array<bigint>")), "rep")
         order = Window.partitionBy("bucket").orderBy("rep")
         lead = known.filter("component <> main").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders)
         one = F.struct("rep", "component", "n", "sketch", "bands")
@@ -242,7 +244,7 @@ def _link_rounds(members: DataFrame, classes: DataFrame, sets: DataFrame, percen
             part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("crowd") / _MEMBERS)).alias("part")
             met = known.groupBy("bucket", part).agg(F.collect_list(one).alias("members"))
         met = met.join(lists, "bucket").select("bucket", "members", "leaders")
-        pairs = met.mapInArrow(_possible_task(percent, least, leaders > 1 and not probe, probe), "rep long, alike long, a long, b long")
+        pairs = met.mapInArrow(_possible_task(percent, least, once, probe), "rep long, alike long, a long, b long")
         if probe:
             pairs = pairs.groupBy("rep").agg(F.max(F.struct("alike", "a", "b")).alias("best")).select("best.a", "best.b")
         pairs = pairs.select("a", "b").distinct()
